@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sizelake.llm import consistent_text, eval_leaks, natural_split, related_splits
+from sizelake.llm import consistent_text, context_packing, eval_leaks, natural_split, personal_data, related_splits
 
 QUERIES = {
     "p2_found": related_splits.p2_found,
@@ -11,8 +11,12 @@ QUERIES = {
     "p3_forms": consistent_text.p3_forms,
     "p5_found": natural_split.p5_found,
     "p5_pieces": natural_split.p5_pieces,
+    "p6_contexts": context_packing.p6_contexts,
+    "p6_fill": context_packing.p6_fill,
     "p7_found": eval_leaks.p7_found,
     "p7_leaks": eval_leaks.p7_leaks,
+    "p8_found": personal_data.p8_found,
+    "p8_redacted": personal_data.p8_redacted,
 }
 ORACLE: dict[str, str] = {
     "p5_found": """
