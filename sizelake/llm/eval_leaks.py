@@ -8,67 +8,77 @@ in the corpus is a seed, so any `run` consecutive words of an item that stand in
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sizelake.functions.unicode_forms import fold
+from sizelake.functions import unicode_forms as U
+from sizelake.session import cut
 
 GRAM, RUN = 4, 12
 #: Held-out items are a fixed list; beyond this many words in all they must be checked in several calls.
 MOST_ITEM_WORDS = 20_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-_WORD = re.compile(r"[^\W_]+")
+_FOREIGN = re.compile(U.FOREIGN)
+_LOOKALIKE = str.maketrans(U.LOOKALIKES)
+# fixed values: signs outside ASCII that part words or have an ASCII twin; what is left outside ASCII once letters are
+# decomposed (accents, invisible signs) is dropped within a word
+_PLAIN = {"đ": "d", "Đ": "d", "Ð": "d", "Ɖ": "d", "\u2013": " ", "\u2014": " ", "\u2019": "'", "\u2018": "'", "\u2026": " ", "\u00b7": " ", "\u2022": " ", "\u00d7": " "}
+_SPLIT = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in b"".join([bytes(range(256))]).lower())
 
 
-def words(text: str) -> list[str]:
+def words(text: str) -> list[bytes]:
     """Words without case, accents, punctuation, line marks and other character forms."""
-    return _WORD.findall(fold(text))
-
-
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(score, start and end in a, start and end in b) of the best local alignment of two word-id arrays. Ids of 0 match
-    nothing. Row by row; the gap within a row is a running maximum, so a row costs a few vector operations."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0, 0, 0, 0, 0
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(1, n + 1):
-        sub = np.where((b == a[i - 1]) & (a[i - 1] != 0), MATCH, MISMATCH)
-        row = np.maximum(h[i - 1, :-1] + sub, h[i - 1, 1:] + GAP)
-        row = np.maximum(row, 0)
-        full = np.concatenate(([0], row))
-        h[i] = np.maximum.accumulate(full + ramp) - ramp
-    end = int(h.argmax())
-    i, j = divmod(end, m + 1)
-    score, ei, ej = int(h[i, j]), i, j
-    while i > 0 and j > 0 and h[i, j] > 0:
-        s = MATCH if a[i - 1] == b[j - 1] and a[i - 1] != 0 else MISMATCH
-        if h[i, j] == h[i - 1, j - 1] + s:
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, i, ei, j, ej
-
-
-def longest_run(a: np.ndarray, b: np.ndarray) -> int:
-    """Most consecutive words that a and b share."""
-    best, prev = 0, np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        cur = np.zeros(len(b) + 1, dtype=np.int32)
-        if x:
-            hit = np.flatnonzero(b == x)
-            cur[hit + 1] = prev[hit] + 1
-            best = max(best, int(cur.max(initial=0)))
-        prev = cur
-    return best
+    if text.isascii():
+        return text.encode().translate(_SPLIT).split()
+    for c, plain in _PLAIN.items():
+        if c in text:
+            text = text.replace(c, plain)
+    text = unicodedata.normalize("NFKD", text)
+    if _FOREIGN.search(text):
+        text = text.translate(_LOOKALIKE)
+    return text.encode("ascii", "ignore").translate(_SPLIT).split()
+
+
+_SHIFT = 1 << 20
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """(score, start and end in the first, longest shared run) of the best local alignment of each pair of word-id arrays;
+    ids of 0 match nothing. Smith-Waterman, row by row for all pairs at once: a cell holds score and, below, how far from the
+    end the alignment began, so that the start comes along; gaps within a row are a running maximum. Ties go to the first
+    end, and there to the first start."""
+    if not pairs:
+        return []
+    p, n, m = len(pairs), max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
+    doc, item = np.zeros((p, n), dtype=np.int64), np.full((p, m), -1, dtype=np.int64)
+    for k, (a, b) in enumerate(pairs):
+        doc[k, : len(a)] = a
+        item[k, : len(b)] = b
+    fresh = _SHIFT - 1 - np.arange(n + 1, dtype=np.int64)  # score 0, begun here
+    h = np.broadcast_to(fresh, (p, n + 1)).copy()
+    ramp = np.arange(n + 1, dtype=np.int64) * (-GAP * _SHIFT)
+    best, at = np.zeros(p, dtype=np.int64), np.zeros(p, dtype=np.int64)
+    run, longest = np.zeros((p, n + 1), dtype=np.int32), np.zeros(p, dtype=np.int32)
+    every = np.arange(p)
+    for j in range(m):
+        same = (doc == item[:, j : j + 1]) & (doc != 0)
+        row = np.maximum(h[:, :-1] + np.where(same, MATCH * _SHIFT, MISMATCH * _SHIFT), h[:, 1:] + GAP * _SHIFT)
+        full = np.concatenate((h[:, :1] * 0 + fresh[0], np.maximum(row, fresh[1:])), axis=1)
+        h = np.maximum(np.maximum.accumulate(full + ramp, axis=1) - ramp, fresh)
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        longest = np.maximum(longest, run.max(axis=1))
+        score = h >> 20
+        top = score.argmax(axis=1)
+        value = h[every, top]
+        better = (value >> 20) > (best >> 20)
+        best, at = np.where(better, value, best), np.where(better, top, at)
+    return [(int(v >> 20), int(_SHIFT - 1 - (v & (_SHIFT - 1))) if v >> 20 else 0, int(e), int(r)) for v, e, r in zip(best, at, longest, strict=True)]
 
 
 class Items:
@@ -76,7 +86,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], gram: int, run: int):
         self.gram, self.run = gram, run
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in rows:
             w = words(text or "")
@@ -84,22 +94,30 @@ class Items:
         self.grams = np.unique(np.concatenate([self.keys(w) for _, w in self.items] or [np.zeros(0, dtype=np.uint64)]))
 
     def of(self, text: str) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(x, 0) for x in words(text)], dtype=np.int64)
-
-    def keys(self, w: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each gram of the word ids; grams with an unknown word have key 0."""
-        n = len(w) - self.gram + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        k = np.zeros(n, dtype=np.uint64)
-        ok = np.ones(n, dtype=bool)
+        w = words(text)
+        return np.fromiter(map(self.ids.get, w, repeat(0)), dtype=np.int64, count=len(w))
+
+    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and places of the items' grams in the word ids."""
+        known = w > 0
+        at = np.flatnonzero(known[: len(w) - self.gram + 1]) if len(w) >= self.gram else np.zeros(0, dtype=np.int64)
+        for g in range(1, self.gram):
+            at = at[known[at + g]]
+        k = self.mixed(w, at)
+        i = np.searchsorted(self.grams, k)
+        found = self.grams[np.minimum(i, len(self.grams) - 1)] == k if len(self.grams) else np.zeros(len(k), dtype=bool)
+        return k[found], at[found]
+
+    def mixed(self, w: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = np.zeros(len(at), dtype=np.uint64)
         for g in range(self.gram):
-            part = w[g : g + n]
-            ok &= part > 0
-            k = (k ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            k = (k ^ w[at + g].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             k ^= k >> np.uint64(29)
-        return np.where(ok, k | np.uint64(1), np.uint64(0))
+        return k | np.uint64(1)
+
+    def keys(self, w: np.ndarray) -> np.ndarray:
+        """A 64-bit key for each gram of an item's word ids."""
+        return self.mixed(w, np.arange(max(0, len(w) - self.gram + 1)))
 
     def seeds(self, df: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
         """key → (index of the item, place): for every window of `run` words its rarest gram (an item shorter than that is
@@ -129,9 +147,10 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = R
     """(doc_id, item_id, score, item_words, doc_from, doc_to, longest_run): the best alignment of each document and item
     that share a seed, if it scores at least least_score.
 
-    All documents are read twice, whole: once to count in how many documents each gram of an item occurs, once to look for
-    seeds and align around them. Neither pass shuffles texts. Null and empty texts hold nothing; repeated rows count once;
-    items with several texts are separate; ties go to the first alignment. Extra columns are not read."""
+    All documents are read once, whole. Those with any gram of an item are written to the shared folder as word ids with
+    the places of the grams; on these rest the count of documents by gram, the choice of seeds and the alignment. No text is
+    shuffled. Null and empty texts hold nothing; repeated rows count once; items with several texts are separate; ties go to
+    the first alignment. Extra columns are not read."""
     spark = documents.sparkSession
     rows = _collected(items)
     schema = "doc_id bigint, item_id bigint, score int, item_words int, doc_from int, doc_to int, longest_run int"
@@ -140,28 +159,35 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = R
     held = Items(rows, gram, run)
     docs = documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf["text"]:
-                k = np.unique(held.keys(held.of(t)))
-                n.update(k[np.isin(k, held.grams)].tolist())
-        yield pd.DataFrame({"k": [x - 2**63 for x in n], "n": list(n.values())}).astype("int64")
+            out = []
+            for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                w = held.of(t)
+                k, at = held.hits(w)
+                if len(k):
+                    out.append((doc, w.astype(np.int32).tobytes(), (k >> np.uint64(1)).astype(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "w", "k", "at"])
 
-    df = {r["k"] + 2**63: r["n"] for r in docs.select("text").mapInPandas(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    seeds = held.seeds(df)  # as bounded as the items: at most one a word
-    keys = np.array(sorted(seeds), dtype=np.uint64)
+    hits = cut(docs.mapInPandas(look, "doc_id bigint, w binary, k array<bigint>, at array<int>"))
+    counts = hits.select(F.explode(F.array_distinct("k")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    seeds = held.seeds({(r["k"] << 1) | 1: r["n"] for r in counts.collect()})  # as bounded as the items: at most one a word
+    keys = np.array(sorted(k >> 1 for k in seeds), dtype=np.int64)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                w = held.of(t)
-                k = held.keys(w)
-                at = np.flatnonzero(np.isin(k, keys))
+            todo: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+            for doc, raw, k, at in zip(pdf["doc_id"], pdf["w"], pdf["k"], pdf["at"], strict=True):
+                k, at = np.asarray(k, dtype=np.int64), np.asarray(at)
+                i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                chosen = np.flatnonzero(keys[i] == k)
+                if not len(chosen):
+                    continue
+                w = np.frombuffer(raw, dtype=np.int32)
                 spans: dict[int, list[list[int]]] = {}
-                for p in at.tolist():
-                    for x, place in seeds[int(k[p])]:
+                for c in chosen.tolist():
+                    p = int(at[c])
+                    for x, place in seeds[(int(k[c]) << 1) | 1]:
                         m = len(held.items[x][1])
                         slack = m // 4 + 4
                         lo, hi = max(0, p - place - slack), min(len(w), p - place + m + slack)
@@ -170,23 +196,21 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = R
                             own[-1][1] = max(own[-1][1], hi)
                         else:
                             own.append([lo, hi])
-                for x, own in spans.items():
-                    item, iw = held.items[x]
-                    best, longest = None, 0
-                    for lo, hi in own:
-                        score, a, b, _, _ = smith_waterman(w[lo:hi], iw)
-                        longest = max(longest, longest_run(w[lo:hi], iw))
-                        if best is None or score > best[0]:
-                            best = (score, lo + a, lo + b)
-                    if best and best[0] >= least_score:
-                        out.append((doc, item, best[0], len(iw), best[1], best[2], longest))
+                todo += [(doc, x, lo, w[lo:hi], held.items[x][1]) for x, own in spans.items() for lo, hi in own]
+            todo.sort(key=lambda t: len(t[3]))  # pairs of like size together
+            out = []
+            for s in range(0, len(todo), 128):
+                part = todo[s : s + 128]
+                for (doc, x, lo, _, iw), (score, a, e, longest) in zip(part, align_all([(t[3], t[4]) for t in part]), strict=True):
+                    if score >= least_score:
+                        out.append((doc, held.items[x][0], score, len(iw), lo + a, lo + e, longest))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_words", "doc_from", "doc_to", "longest_run"])
 
-    found = docs.mapInPandas(align, schema)
-    # a document delivered twice gives its rows twice; an item id with several texts gives one row, the best
+    found = hits.mapInPandas(align, schema)
+    # several places of a document, repeats of a row and several texts of an item id give one row, the best
     return found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("score", "item_words", "doc_from", "doc_to")).alias("b"), F.max("longest_run").alias("longest_run")
-    ).select("doc_id", "item_id", "b.*", "longest_run")
+        F.max(F.struct("score", F.col("item_words"), (-F.col("doc_from")).alias("f"), "doc_to")).alias("b"), F.max("longest_run").alias("longest_run")
+    ).select("doc_id", "item_id", "b.score", "b.item_words", (-F.col("b.f")).alias("doc_from"), "b.doc_to", "longest_run")
 
 
 def _leaks(spark, folder: str) -> DataFrame:
