@@ -119,7 +119,7 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap:
         for s in batches:
             yield pd.Series([None if t is None else [{"piece": i, "start": a, "new_from": b, "text": t[a:e]} for i, (a, b, e) in enumerate(cut_text(t, limit, overlap))] for t in s], dtype=object)
 
-    long = df.where(F.length(text) > limit).withColumn("__p", cut_all(F.col(text)))
+    long = df.where(F.length(text) > limit).withColumn("__p", cut_all.asNondeterministic()(F.col(text)))
     short = df.where(F.length(text) <= limit).withColumn(
         "__p", F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("new_from"), F.col(text).alias("text")))
     )
