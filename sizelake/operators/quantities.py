@@ -63,7 +63,7 @@ def amounts_udf(units: list[tuple], by_name: dict[str, str]):
                 out.append(got or (None,) * 5)
             yield pd.DataFrame(out, columns=["amount", "dims", "base_unit", "unit_group", "unit_from"])
 
-    return amounts
+    return amounts.asNondeterministic()  # or each filter on the result would evaluate it again
 
 
 def normalised_values(values: DataFrame, units: DataFrame, rule_inputs: DataFrame) -> DataFrame:
