@@ -8,32 +8,62 @@ is read as Latin when all its foreign letters are look-alikes and Latin dominate
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sizelake.functions.unicode_forms import DIRTY, FOREIGN, as_cyrillic, as_greek, as_latin, base_form, script
-import unicodedata
+from sizelake.session import cut
 
 #: A token: a run of letters and marks that holds a letter of another script.
 _TOKEN = rf"[\p{{L}}\p{{M}}]*{FOREIGN}[\p{{L}}\p{{M}}]*"
 FIELDS = ("elements.text", "gia_tri_so.cau_chua", "nhan_xet_dinh_tinh.trich_dan_tai_lieu")
 
 
-@F.pandas_udf(T.StringType())
-def _base(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: None if t is None else base_form(t))
+_DIRTY_RE = re.compile(DIRTY)
+_FOREIGN_RE = re.compile(FOREIGN)
+_NOT_LATIN = re.compile(r"[^A-Za-z\u00c0-\u024f\u1e00-\u1eff]+")
+_WORD = re.compile(r"[^\W\d_]+")
+FORM = T.StructType([T.StructField("base", T.StringType()), T.StructField("latin_text", T.BooleanType())])
 
 
-def based(text: str | Column) -> Column:
-    """Base form; only texts that hold a sign the base form may change go through Python."""
-    text = F.col(text) if isinstance(text, str) else text
-    dirty = text.rlike(DIRTY)
-    return F.when(dirty, _base(F.when(dirty, text))).otherwise(text)
+def _formed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """base where it differs from the text or holds a foreign letter; latin_text only for the latter."""
+    for s in texts:
+        base, latin = [], []
+        for t in s:
+            b = l = None
+            if t is not None and not t.isascii() and _DIRTY_RE.search(t):
+                b = base_form(t)
+                if n := len(_FOREIGN_RE.findall(b)):
+                    l = len(_NOT_LATIN.sub("", b)) > n
+            base.append(b)
+            latin.append(l)
+        yield pd.DataFrame({"base": base, "latin_text": latin}).astype({"base": object, "latin_text": object})
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct words of a partition, a part of them at a time."""
+    held: set[str] = set()
+    for pdf in batches:
+        for t in pdf["text"]:
+            if t is None:
+                continue
+            if not t.isascii() and _DIRTY_RE.search(t):
+                t = base_form(t)
+                if _FOREIGN_RE.search(t):
+                    held.update(w for w in _WORD.findall(t.lower()) if len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1)
+                    continue
+            held.update(_WORD.findall(t.lower()))
+        if len(held) > 200_000:
+            yield pd.DataFrame({"word": list(held)})
+            held.clear()
+    yield pd.DataFrame({"word": list(held)}, dtype=object)
 
 
 def readings(token: str) -> list[str]:
@@ -61,17 +91,14 @@ def _readings(tokens: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else readings(t) for t in tokens], dtype=object)
 
 
-def vocabulary(texts: DataFrame, base: str = "base") -> DataFrame:
-    """(word): every word, lower case, that is written in one script in some text. Distinct is combined before the shuffle."""
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower(F.col(base)), r"[^\p{L}\p{M}]+"))).alias("word"))
-    return words.where((F.col("word") != "") & ~F.col("word").rlike(rf"(?i)(?=.*[a-z\u00e0-\u024f]).*{FOREIGN}|{FOREIGN}.*[a-z\u00e0-\u024f]")).distinct()
+def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(word): every word, lower case, that is written in one script in some text. Each partition gives its words once."""
+    return texts.select(F.col(text).alias("text")).mapInPandas(_words, "word string").distinct()
 
 
-def repairs(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, latin_text, fixed): what each suspicious token becomes. texts has base and latin_text."""
-    tokens = texts.where(F.col("base").rlike(FOREIGN)).select(
-        "latin_text", F.explode(F.array_distinct(F.regexp_extract_all("base", F.lit(f"({_TOKEN})"), 1))).alias("token")
-    ).distinct()
+def repairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, latin_text, fixed): what each suspicious token becomes."""
+    tokens = tokens.select("latin_text", "token").distinct()
     tried = tokens.withColumn("r", _readings("token")).select("latin_text", "token", F.posexplode("r").alias("rank", "reading"))
     known = tried.withColumn("word", F.lower("reading")).join(words.withColumn("known", F.lit(True)), "word", "left")
     latin_only = ~F.col("reading").rlike(FOREIGN)
@@ -84,8 +111,6 @@ def repairs(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _replaced(texts: pd.Series, fixes: pd.Series) -> pd.Series:
-    import re
-
     token = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 
     def one(t, pairs):
@@ -98,29 +123,30 @@ def _replaced(texts: pd.Series, fixes: pd.Series) -> pd.Series:
 
 
 def _prepared(df: DataFrame, text: str) -> DataFrame:
-    foreign = F.length(F.regexp_replace("base", rf"(?!{FOREIGN}).", ""))
-    latin = F.length(F.regexp_replace("base", r"(?s)[^A-Za-z\u00c0-\u024f\u1e00-\u1eff]", ""))
-    return df.withColumn("base", based(text)).withColumn("latin_text", F.when(F.col("base").rlike(FOREIGN), latin > foreign))
+    # not deterministic as far as the optimiser knows, or it would evaluate the function again for each filter on its result
+    formed = F.pandas_udf(_formed, FORM).asNondeterministic()
+    return df.withColumn("__f", formed(F.col(text)))
 
 
 def consistent_text(df: DataFrame, text: str = "text", words: DataFrame | None = None) -> DataFrame:
     """df with a column `form`, the consistent form of `text`.
 
     The vocabulary is that of df, or `words` (word). Null text has form null, empty text the empty form; texts of any length
-    are taken whole; repeated rows are kept; an empty table gives an empty one. Columns of df may have any name but base,
-    latin_text and form."""
-    if clash := {"base", "latin_text", "form", "__k1", "__k2"} & set(df.columns):
+    are taken whole; repeated rows are kept; an empty table gives an empty one. Columns of df may have any name but those
+    that begin with two underscores and form. Texts without foreign letters take one pass; the others, few as a rule, are
+    written to the shared folder and joined with the repairs of their tokens."""
+    if clash := [c for c in df.columns if c == "form" or c.startswith("__")]:
         raise ValueError(f"columns {sorted(clash)} are reserved")
     p = _prepared(df, text)
-    words = vocabulary(p) if words is None else words
-    plain = p.where(F.col("base").isNull() | ~F.col("base").rlike(FOREIGN)).withColumn("form", F.col("base"))
-    keys = {"__k1": F.xxhash64("base"), "__k2": F.xxhash64(F.lit("2"), "base")}
-    mixed = p.where(F.col("base").rlike(FOREIGN)).withColumns(keys)
-    tokens = mixed.select("__k1", "__k2", "latin_text", F.explode(F.array_distinct(F.regexp_extract_all("base", F.lit(f"({_TOKEN})"), 1))).alias("token")).distinct()
-    fixes = tokens.join(repairs(p, words), ["token", "latin_text"]).groupBy("__k1", "__k2").agg(
+    foreign = F.col("__f.latin_text").isNotNull()
+    plain = p.where(~foreign).withColumn("form", F.coalesce("__f.base", F.col(text)))
+    mixed = cut(p.where(foreign).select(*df.columns, F.col("__f.base").alias("__base"), F.col("__f.latin_text").alias("__latin"), F.xxhash64("__f.base").alias("__k1"), F.xxhash64(F.lit("2"), "__f.base").alias("__k2")))
+    tokens = cut(mixed.select("__k1", "__k2", F.col("__latin").alias("latin_text"), F.explode(F.array_distinct(F.regexp_extract_all("__base", F.lit(f"({_TOKEN})"), 1))).alias("token")).distinct())
+    words = vocabulary(df, text) if words is None else words
+    fixes = tokens.join(repairs(tokens, words), ["token", "latin_text"]).groupBy("__k1", "__k2").agg(
         F.collect_list(F.struct("token", "fixed")).alias("__fixes")  # the tokens of one text
     )
-    repaired = mixed.join(fixes, ["__k1", "__k2"], "left").withColumn("form", _replaced("base", "__fixes"))
+    repaired = mixed.join(fixes, ["__k1", "__k2"], "left").withColumn("form", _replaced("__base", "__fixes"))
     return plain.select(*df.columns, "form").unionByName(repaired.select(*df.columns, "form"))
 
 
