@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from sizelake.operators import quantities, snapshot_diff
+from sizelake.plans import registry, tables_and_trends  # noqa: F401
 
-QUERIES = {
+QUERIES = registry.QUERIES | {
     "p1_found": quantities.p1_found,
     "p1_amounts": quantities.p1_amounts,
     "p4_found": snapshot_diff.p4_found,
     "p4_counts": snapshot_diff.p4_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(registry.ORACLE)
 FLAGSHIP = "p1_found"
