@@ -1,8 +1,8 @@
 """Problem 7: evaluation texts inside training text.
 
 Rare n-gram seeds join documents to test items, then Smith-Waterman alignment over words scores whole, partial and edited
-copies. The seeds are chosen so that none is missed: of the n-grams in every window of `run` words of an item the one rarest
-in the corpus is a seed, so any `run` consecutive words of an item that stand in a document hit a seed.
+copies. The seeds are chosen so that none is missed: of the n-grams in every window of `window` words of an item the one rarest
+in the corpus is a seed, so any `window` (8) consecutive words of an item that stand in a document hit a seed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sizelake.functions import unicode_forms as U
 from sizelake.session import cut
 
-GRAM, RUN = 4, 12
+GRAM, RUN, WINDOW = 4, 12, 8
 #: Held-out items are a fixed list; beyond this many words in all they must be checked in several calls.
 MOST_ITEM_WORDS = 20_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -84,8 +84,8 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int
 class Items:
     """The items as word ids, with the grams of each and their place."""
 
-    def __init__(self, rows: list[tuple[int, str]], gram: int, run: int):
-        self.gram, self.run = gram, run
+    def __init__(self, rows: list[tuple[int, str]], gram: int, window: int):
+        self.gram, self.window = gram, window
         self.ids: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, text in rows:
@@ -120,7 +120,7 @@ class Items:
         return self.mixed(w, np.arange(max(0, len(w) - self.gram + 1)))
 
     def seeds(self, df: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """key → (index of the item, place): for every window of `run` words its rarest gram (an item shorter than that is
+        """key → (index of the item, place): for every window of words its rarest gram (an item shorter than that is
         one window)."""
         out: dict[int, list[tuple[int, int]]] = {}
         for x, (_, w) in enumerate(self.items):
@@ -128,7 +128,7 @@ class Items:
             if not len(k):
                 continue
             n = np.array([df.get(int(v), 0) for v in k])
-            span = min(len(k), max(1, self.run - self.gram + 1))
+            span = min(len(k), max(1, self.window - self.gram + 1))
             chosen = {s + int(np.argmin(n[s : s + span])) for s in range(len(k) - span + 1)}
             for p in sorted(chosen):
                 out.setdefault(int(k[p]), []).append((x, p))
@@ -143,7 +143,7 @@ def _collected(items: DataFrame) -> list[tuple[int, str]]:
     return sorted((r["item_id"], r["text"]) for r in t.collect())
 
 
-def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = RUN, least_score: int = MATCH * 8) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW, least_score: int = MATCH * 8) -> DataFrame:
     """(doc_id, item_id, score, item_words, doc_from, doc_to, longest_run): the best alignment of each document and item
     that share a seed, if it scores at least least_score.
 
@@ -156,7 +156,7 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, run: int = R
     schema = "doc_id bigint, item_id bigint, score int, item_words int, doc_from int, doc_to int, longest_run int"
     if not rows:
         return spark.createDataFrame([], schema)
-    held = Items(rows, gram, run)
+    held = Items(rows, gram, window)
     docs = documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

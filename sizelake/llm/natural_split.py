@@ -33,7 +33,7 @@ STEP = 50
 def boundaries(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted positions of possible cuts (0 and the end included), their penalties, and the positions where an overlap may
     begin. A weaker kind of boundary counts only in gaps longer than half the room that stronger ones leave; where no
-    natural boundary comes for so long, hard ones stand in the gap, never before a combining mark."""
+    natural boundary comes for so long, hard ones stand in the gap, before a combining mark only if marks fill the room."""
     n = len(text)
     room = max(1, (limit - overlap) // 2)
     cost = {0: 0.0, n: 0.0}
@@ -56,11 +56,13 @@ def boundaries(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[n
     step = max(1, min(STEP, room))
     for p, q in zip(at, at[1:], strict=False):
         if q - p > room:
+            last = p
             for e in range(p + step, q, step):
-                while e < q and (unicodedata.combining(text[e]) or text[e] in "\u200d\ufe0e\ufe0f"):
+                while e < q and e - last < room and (unicodedata.combining(text[e]) or text[e] in "\u200d\ufe0e\ufe0f"):
                     e += 1
-                if e < q:
+                if last < e < q:
                     cost.setdefault(e, HARD)
+                    last = e
     pos = np.array(sorted(cost), dtype=np.int64)
     return pos, np.array([cost[p] for p in pos.tolist()]), np.array(sorted(begins | set(cost)), dtype=np.int64)
 
