@@ -259,9 +259,10 @@ def quote_anchor(spark, d):
     inner = F.slice(F.split("k", " "), 2, F.size(F.split("k", " ")) - 2)
     q = q.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     x = elements(spark, d).where("text <> ''").select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), X.norm(F.col("text")).alias("nt"))
-    # only the words that some quote of the document asks for are matched; the words of a text are held once
-    x = x.select("doc_id", "element_index", "other", "nt", F.explode(F.array_distinct(F.split("nt", " "))).alias("word"))
-    m = q.join(x, ["doc_id", "word"]).where(F.contains("nt", "k"))
+    # words meet as hashes; only the texts of candidates are looked at
+    words = x.select("doc_id", "element_index", F.explode(F.array_distinct(F.transform(F.split("nt", " "), lambda w: F.xxhash64(w)))).alias("h"))
+    near = q.withColumn("h", F.xxhash64("word")).join(words, ["doc_id", "h"]).select("nhan_xet_id", "k", "doc_id", "element_index")
+    m = near.join(x, ["doc_id", "element_index"]).where(F.contains("nt", "k"))
     return m.groupBy("nhan_xet_id").agg(F.min(F.struct("other", "element_index"))["element_index"].alias("element_index"))
 
 
