@@ -132,22 +132,22 @@ def consistent_text(df: DataFrame, text: str = "text", words: DataFrame | None =
     """df with a column `form`, the consistent form of `text`.
 
     The vocabulary is that of df, or `words` (word). Null text has form null, empty text the empty form; texts of any length
-    are taken whole; repeated rows are kept; an empty table gives an empty one. Columns of df may have any name but those
-    that begin with two underscores and form. Texts without foreign letters take one pass; the others, few as a rule, are
+    are taken whole; repeated rows are kept; an empty table gives an empty one. Columns of df may have any name; a column
+    called form is replaced, unless it is the text itself. Texts without foreign letters take one pass; the others, few as a rule, are
     written to the shared folder and joined with the repairs of their tokens."""
-    if clash := [c for c in df.columns if c == "form" or c.startswith("__")]:
-        raise ValueError(f"columns {sorted(clash)} are reserved")
-    p = _prepared(df, text)
+    keep = [c for c in df.columns if c != "form"]
+    own = df.select(F.struct(*keep).alias("row") if keep else F.struct(F.lit(1).alias("_")).alias("row"), F.col(text).alias("text"))
+    p = _prepared(own, "text")
     foreign = F.col("__f.latin_text").isNotNull()
-    plain = p.where(~foreign).withColumn("form", F.coalesce("__f.base", F.col(text)))
-    mixed = cut(p.where(foreign).select(*df.columns, F.col("__f.base").alias("__base"), F.col("__f.latin_text").alias("__latin"), F.xxhash64("__f.base").alias("__k1"), F.xxhash64(F.lit("2"), "__f.base").alias("__k2")))
-    tokens = cut(mixed.select("__k1", "__k2", F.col("__latin").alias("latin_text"), F.explode(F.array_distinct(F.regexp_extract_all("__base", F.lit(f"({_TOKEN})"), 1))).alias("token")).distinct())
+    plain = p.where(~foreign).select("row", F.coalesce("__f.base", "text").alias("form"))
+    mixed = cut(p.where(foreign).select("row", F.col("__f.base").alias("base"), F.col("__f.latin_text").alias("latin_text"), F.xxhash64("__f.base").alias("k1"), F.xxhash64(F.lit("2"), "__f.base").alias("k2")))
+    tokens = cut(mixed.select("k1", "k2", "latin_text", F.explode(F.array_distinct(F.regexp_extract_all("base", F.lit(f"({_TOKEN})"), 1))).alias("token")).distinct())
     words = vocabulary(df, text) if words is None else words
-    fixes = tokens.join(repairs(tokens, words), ["token", "latin_text"]).groupBy("__k1", "__k2").agg(
-        F.collect_list(F.struct("token", "fixed")).alias("__fixes")  # the tokens of one text
+    fixes = tokens.join(repairs(tokens, words), ["token", "latin_text"]).groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("token", "fixed")).alias("fixes")  # the tokens of one text
     )
-    repaired = mixed.join(fixes, ["__k1", "__k2"], "left").withColumn("form", _replaced("__base", "__fixes"))
-    return plain.select(*df.columns, "form").unionByName(repaired.select(*df.columns, "form"))
+    repaired = mixed.join(fixes, ["k1", "k2"], "left").select("row", _replaced("base", "fixes").alias("form"))
+    return plain.unionByName(repaired).select(*(["row.*"] if keep else []), "form")
 
 
 def _texts(spark, folder: str) -> DataFrame:

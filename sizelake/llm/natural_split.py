@@ -109,28 +109,25 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap:
     """One row per piece: the columns of df without `text`, and piece (from 0), start, new_from, piece_text, pieces.
 
     Lengths are Unicode code points. Null texts have no piece, empty ones one empty piece; texts within the limit pass by
-    Python unread. Repeated rows are cut each; extra columns are carried along unless they bear one of the new names."""
+    Python unread. Repeated rows are cut each; other columns are carried along, those with one of
+    the new names are replaced."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be below the limit")
-    new = {"piece", "start", "new_from", "piece_text", "pieces", "__p"}
-    if clash := new & (set(df.columns) - {text}):
-        raise ValueError(f"columns {sorted(clash)} are reserved")
+    new = {"piece", "start", "new_from", "piece_text", "pieces"}
+    keep = [c for c in df.columns if c != text and c not in new]
+    df = df.select(F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.struct(F.lit(1).alias("_")).alias("row"), F.col(text).alias("text"))
 
     @F.pandas_udf(PIECES)
     def cut_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series([None if t is None else [{"piece": i, "start": a, "new_from": b, "text": t[a:e]} for i, (a, b, e) in enumerate(cut_text(t, limit, overlap))] for t in s], dtype=object)
 
-    long = df.where(F.length(text) > limit).withColumn("__p", cut_all.asNondeterministic()(F.col(text)))
-    short = df.where(F.length(text) <= limit).withColumn(
-        "__p", F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("new_from"), F.col(text).alias("text")))
+    long = df.where(F.length("text") > limit).select("row", cut_all.asNondeterministic()(F.col("text")).alias("p"))
+    short = df.where(F.length("text") <= limit).select(
+        "row", F.array(F.struct(F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("new_from"), F.col("text").alias("text"))).alias("p")
     )
-    keep = [c for c in df.columns if c != text]
-    out = [
-        d.withColumn("pieces", F.size("__p")).select(*keep, "pieces", F.explode("__p").alias("__p")).select(*keep, "__p.piece", "__p.start", "__p.new_from", F.col("__p.text").alias("piece_text"), "pieces")
-        for d in (short, long)
-    ]
-    return out[0].unionByName(out[1])
+    out = long.unionByName(short).select("row", F.size("p").alias("pieces"), F.explode("p").alias("p"))
+    return out.select(*(["row.*"] if keep else []), "p.piece", "p.start", "p.new_from", F.col("p.text").alias("piece_text"), "pieces")
 
 
 def _texts(spark, folder: str) -> DataFrame:

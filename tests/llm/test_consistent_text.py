@@ -38,8 +38,9 @@ def test_edges(spark):
     got = forms(spark, [None, "", " ", "x" * 200_000, "а" * 1000, CLEAN, CLEAN])
     assert got[0] is None and got[1] == "" and got[2] == " " and len(got[3]) == 200_000 and got[5] == got[6] == CLEAN
     assert consistent_text(spark.createDataFrame([], "text string")).count() == 0
-    with pytest.raises(ValueError):
-        consistent_text(spark.createDataFrame([("a", "b")], "text string, form string"))
+    clash = consistent_text(spark.createDataFrame([("ＡＢ", "x", 1, "y")], "text string, form string, row int, base string")).first()
+    assert clash.asDict() == {"text": "ＡＢ", "form": "AB", "row": 1, "base": "y"}
+    assert consistent_text(spark.createDataFrame([("ＡＢ",)], "form string"), "form").first().form == "AB"
     words = {r.word for r in vocabulary(spark.createDataFrame([("Số máy Рhа СРU",), (None,)], "text string")).collect()}
     assert words == {"số", "máy"}
 

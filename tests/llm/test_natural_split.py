@@ -41,5 +41,5 @@ def test_operator(spark):
     for bad in ({"limit": 10, "overlap": 10},):
         with pytest.raises(ValueError):
             split_texts(df, **bad)
-    with pytest.raises(ValueError):
-        split_texts(spark.createDataFrame([("a", 1)], "text string, piece int"))
+    clash = split_texts(spark.createDataFrame([("a", 7, 8, "z")], "text string, piece int, p int, row string")).first()
+    assert (clash.piece, clash.p, clash.row, clash.piece_text) == (0, 8, "z", "a") and split_texts(spark.createDataFrame([("a",)], "text string")).first().pieces == 1
