@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sizelake.operators import quantities, snapshot_diff
-from sizelake.plans import documents, registry, review, tables_and_trends, values, workflow  # noqa: F401
+from sizelake.plans import amount_sql, documents, registry, review, tables_and_trends, values, workflow  # noqa: F401
 
 QUERIES = registry.QUERIES | {
     "p1_found": quantities.p1_found,
@@ -23,5 +23,5 @@ WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER
  g AS (SELECT id, ma, array_to_string(list_sort(list_distinct(list(c))), chr(2)) AS c FROM h GROUP BY 1, 2),
  n AS (SELECT ok.id AS rev, g.ma, g.c FROM ok JOIN g ON g.id = ok.id WHERE ok.prev IS NOT NULL), o AS (SELECT ok.id AS rev, g.ma, g.c FROM ok JOIN g ON g.id = ok.prev)
 SELECT rev AS revision_id, ma, CASE WHEN o.c IS NULL THEN 'added' WHEN n.c IS NULL THEN 'removed' ELSE 'changed' END AS change_type FROM n FULL JOIN o USING (rev, ma) WHERE n.c IS DISTINCT FROM o.c"""
-ORACLE: dict[str, str] = registry.ORACLE | {"p4_found": _P4, "p4_counts": f"SELECT change_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT revision_id) AS BIGINT) AS revisions FROM ({_P4}) GROUP BY 1"}
+ORACLE: dict[str, str] = registry.ORACLE | {"p1_found": amount_sql.P1_FOUND, "p4_found": _P4, "p4_counts": f"SELECT change_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT revision_id) AS BIGINT) AS revisions FROM ({_P4}) GROUP BY 1"}
 FLAGSHIP = "rule_outcomes"
