@@ -99,7 +99,17 @@ def first_fit_clusters(spark, d):
     return first_fit(i, "category", "item_id", "w", 0.35)
 
 
-@query("JOIN-11")
+def _pass(no: int, keys: str, left: str, right: str) -> str:
+    some = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    rank = lambda i, x: f"(SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {i}) AS k FROM {x} WHERE {some})"
+    return f"""p{no} AS (SELECT value_id, number_id, {no} AS pass FROM {rank("value_id", left)} x JOIN {rank("number_id", right)} y USING ({keys}, k)),
+ a{no} AS (SELECT * FROM {left} WHERE value_id NOT IN (SELECT value_id FROM p{no})), b{no} AS (SELECT * FROM {right} WHERE number_id NOT IN (SELECT number_id FROM p{no}))"""
+
+
+@query("JOIN-11", f"""
+WITH a AS (SELECT DISTINCT value_id, doc_id, scope_key, name, trim(gia_tri_nguyen_van) AS raw FROM gia_tri_so), b AS (SELECT DISTINCT number_id, doc_id, scope_key, name, trim(gia_tri_raw) AS raw FROM so_lieu_anh),
+ {_pass(1, "doc_id, scope_key, name, raw", "a", "b")}, {_pass(2, "doc_id, scope_key, name", "a1", "b1")}, {_pass(3, "doc_id, scope_key", "a2", "b2")}
+SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""")
 def cascade_pairs(spark, d):
     """Values paired with image numbers of their document one to one: by name and reading, else by name, else by what is
     left of the scope."""
