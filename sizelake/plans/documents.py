@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sizelake.functions import numbers as N
 from sizelake.functions import text as X
+from sizelake.functions.rows import table_row_labels
 from sizelake.operators.running import neighbours, running
 from sizelake.plans.registry import query
 from sizelake.sources.tables import table as t
@@ -358,3 +359,16 @@ def token_similarity(spark, d):
     w = t(spark, d, "eval_items").select("item_id", "category", F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 1)).alias("t"))
     a, b = w.select(F.col("item_id").alias("a"), "category", F.col("t").alias("ta"), (F.col("item_id") + 1).alias("b")), w.select(F.col("item_id").alias("b"), "category", F.col("t").alias("tb"))
     return a.join(b, ["b", "category"]).select("a", "b", F.round(X.jaccard(F.col("ta"), F.col("tb")), 6).alias("jaccard"), F.round(X.token_f1(F.col("ta"), F.col("tb")), 6).alias("f1"))
+
+
+@query("FUN-A6", f"""
+WITH {HEAD}, one AS (SELECT n.doc_id, n.element_index, n.r - h.n_head AS k, list(trim(n.text) ORDER BY n.c) AS t FROM num n JOIN head h USING (doc_id, element_index) WHERE n.r >= h.n_head AND n.c = 0 GROUP BY 1, 2, 3),
+ ok AS (SELECT doc_id, element_index FROM one GROUP BY 1, 2 HAVING count(*) = count(DISTINCT t[1]) AND min(length(t[1])) > 0 AND NOT bool_and(regexp_full_match(t[1], '[0-9.,]+')))
+SELECT doc_id, element_index, CAST(k AS INT) AS k, t[1] AS label FROM one JOIN ok USING (doc_id, element_index)""")
+def row_labels(spark, d):
+    """Labels that tell a table's rows apart; here those of tables whose first column does."""
+    e = elements(spark, d).where("kind = 'table' and size(rows) > 1").select("doc_id", "element_index", table_row_labels("rows").alias("l"))
+    x = e.select("doc_id", "element_index", F.posexplode("l").alias("k", "label"))
+    h = headed(elements(spark, d)).where("c = 0").where("r >= n_head").groupBy("doc_id", "element_index").agg(
+        F.count("*").alias("n"), F.countDistinct(F.trim("text")).alias("m"), F.min(F.length(F.trim("text"))).alias("s"), F.bool_and(F.trim("text").rlike("^[0-9.,]+$")).alias("nums"))
+    return x.join(h.where("n = m and s > 0 and not nums"), ["doc_id", "element_index"]).select("doc_id", "element_index", "k", "label")

@@ -1,9 +1,10 @@
-"""Formulas in cells and the leaves of JSON."""
+"""Formulas in cells, the leaves of JSON, labels of rows."""
 
 import pytest
 
 from sizelake.functions.cell_formulas import lacks_factor, read_formula
 from sizelake.functions.json_walk import leaves
+from sizelake.functions.rows import row_labels
 
 
 @pytest.mark.parametrize("cell, holds", [
@@ -27,3 +28,9 @@ def test_leaves():
     got = leaves('{"a": {"b": [1, null, {"c": "x"}]}, "d": true, "e": {}}')
     assert [(x["path"], x["kind"], x["value"]) for x in got] == [("$.a.b[0]", "number", "1"), ("$.a.b[1]", "null", None), ("$.a.b[2].c", "text", "x"), ("$.d", "bool", "true")]
     assert leaves(None) is None and leaves("{") is None and leaves("[]") == [] and len(leaves("[" * 500 + "1" + "]" * 500)) == 1 and leaves("5")[0]["path"] == "$"
+
+
+def test_row_labels():
+    assert row_labels([["Tên", "CPU"], ["a", "1"], ["b", "2"]]) == ["a", "b"]
+    assert row_labels([["Tên", "Loại", "CPU"], ["Worker", "Tổng", "8"], ["Worker", "Thiết kế", "9"]]) == ["Worker / Tổng", "Worker / Thiết kế"]
+    assert row_labels([["", "A", "A"], ["", "x", "y"], ["w", "8", "1"]]) == ["w"] and row_labels([["a", "b"], ["1", "2"]]) == ["1"] and row_labels([]) is None and row_labels(None) is None and row_labels([["a"]]) == []
