@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sizelake.operators.ordering import dense_index
+from sizelake.session import cut
 
 LIST_KEY = "dinhCoHeThongContent"
 ROW_KEY = "ma"
@@ -113,7 +114,8 @@ def snapshot_changes(revisions: DataFrame) -> DataFrame:
     created_at go by id. Repeated rows are one delivery. An empty table gives no rows. Extra columns are not read. A
     project may hold any share of the rows: snapshots are numbered by a global sort, and rows meet by (project, position,
     key)."""
-    snaps = dense_index(full_snapshots(revisions), ["project_id", F.col("created_at").asc_nulls_first(), "revision_id"])
+    # written first, as the range sort reads its input twice and the contents would be parsed twice
+    snaps = dense_index(cut(full_snapshots(revisions)), ["project_id", F.col("created_at").asc_nulls_first(), "revision_id"])
     heads = snaps.select("idx", "project_id", "revision_id")
     rows = snaps.select("idx", "project_id", F.explode("rows").alias("r")).select("idx", "project_id", "r.ma", "r.h")
     # a snapshot's rows count as `new` at its own place and as `old` at the next one, if that is of the same project
