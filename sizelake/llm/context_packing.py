@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sizelake.operators.ordering import dense_index
+from sizelake.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The public pre-tokenising pattern of byte-level BPE vocabularies.
@@ -147,7 +148,8 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPAC
     pieces = sized.where("n > 0").select(
         "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity)), lambda i: F.least(F.lit(capacity).cast("long"), F.col("n") - i * capacity))).alias("piece", "n_tokens")
     )
-    ranked = dense_index(pieces, ["n_tokens", F.col("doc_id").asc_nulls_first(), "piece"], "__idx")
+    # written first, as the range sort reads its input twice and the tokens would be counted twice
+    ranked = dense_index(cut(pieces), ["n_tokens", F.col("doc_id").asc_nulls_first(), "piece"], "__idx")
     histogram = {r["n_tokens"]: r["n"] for r in ranked.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     starts, total = {}, 0
     for s in sorted(histogram):
