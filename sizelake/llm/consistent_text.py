@@ -47,23 +47,33 @@ def _formed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"base": base, "latin_text": latin}).astype({"base": object, "latin_text": object})
 
 
+def _words_of(tokens: set[str]) -> set[str]:
+    """The words, lower case and of one script, in blank-separated tokens."""
+    out: set[str] = set()
+    for t in tokens:
+        if t.isascii():
+            out.update(_WORD.findall(t.lower()))
+            continue
+        t = base_form(t)
+        words = _WORD.findall(t.lower())
+        if _FOREIGN_RE.search(t):
+            words = [w for w in words if len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1]
+        out.update(words)
+    return out
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct words of a partition, a part of them at a time."""
-    held: set[str] = set()
+    """The distinct words of a partition, a part of them at a time. Texts are only parted at blanks (of any kind); forms and
+    scripts are looked at once for each distinct token."""
+    tokens: set[str] = set()
     for pdf in batches:
         for t in pdf["text"]:
-            if t is None:
-                continue
-            if not t.isascii() and _DIRTY_RE.search(t):
-                t = base_form(t)
-                if _FOREIGN_RE.search(t):
-                    held.update(w for w in _WORD.findall(t.lower()) if len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1)
-                    continue
-            held.update(_WORD.findall(t.lower()))
-        if len(held) > 200_000:
-            yield pd.DataFrame({"word": list(held)})
-            held.clear()
-    yield pd.DataFrame({"word": list(held)}, dtype=object)
+            if t is not None:
+                tokens.update(t.split())
+        if len(tokens) > 200_000:
+            yield pd.DataFrame({"word": list(_words_of(tokens))}, dtype=object)
+            tokens.clear()
+    yield pd.DataFrame({"word": list(_words_of(tokens))}, dtype=object)
 
 
 def readings(token: str) -> list[str]:
