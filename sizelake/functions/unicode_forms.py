@@ -38,12 +38,12 @@ FOREIGN = r"[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]"
 def base_form(s: str) -> str:
     """Invisible signs out, blanks and full-width forms to their plain twins, accents composed. Case, line ends and runs of
     blanks stay."""
-    return unicodedata.normalize("NFC", s.translate(_BASE))
+    return s if s.isascii() else unicodedata.normalize("NFC", s.translate(_BASE))
 
 
 def as_latin(s: str) -> str:
     """Look-alikes of other scripts as Latin; decomposed first, as a foreign letter may carry the accent."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_TO_LATIN))
+    return s if s.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_TO_LATIN))
 
 
 def as_cyrillic(s: str) -> str:
@@ -69,5 +69,7 @@ _MARKS = re.compile("[\u0300-\u036f]")
 
 def fold(s: str) -> str:
     """For matching only: plain lower-case Latin without accents, from any of the forms above."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFD", s.translate(_BASE)).translate(_TO_LATIN)
     return _MARKS.sub("", s).replace("đ", "d").replace("Đ", "D").lower()
