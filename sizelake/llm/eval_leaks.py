@@ -2,7 +2,8 @@
 
 Rare n-gram seeds join documents to test items, then Smith-Waterman alignment over words scores whole, partial and edited
 copies. The seeds are chosen so that none is missed: of the n-grams in every window of `window` words of an item the one rarest
-in the corpus is a seed, so any `window` (10) consecutive words of an item that stand in a document hit a seed.
+in the corpus is a seed, so any `window` (7) consecutive words of an item that stand in a document hit a seed: every passage of 8 words, which alone
+makes a result, and copies with every eighth word edited.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from sizelake.functions import unicode_forms as U
 from sizelake.session import cut
 
-GRAM, RUN, WINDOW = 4, 12, 10
+GRAM, RUN, WINDOW = 4, 12, 7
 #: Held-out items are a fixed list; beyond this many words in all they must be checked in several calls.
 MOST_ITEM_WORDS = 20_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1

@@ -67,3 +67,16 @@ def test_forms_and_edits(spark):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), empty).count() == 0
     assert leaks(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(9, item)], "item_id bigint, text string")).count() == 0
+
+
+def test_short_and_edited_copies(spark):
+    """Exact passages of 8 and 9 words at every place, and copies with every eighth or ninth word edited from any start on."""
+    item = W[:60]
+    docs, filler = [], [f"la{i}" for i in range(40)]
+    for n in (8, 9):
+        docs += [" ".join(filler[:20] + item[s : s + n] + filler[20:]) for s in range(len(item) - n + 1)]
+        docs += [" ".join("sua" if i % n == first else x for i, x in enumerate(item)) for first in range(n)]
+    common = [" ".join(filler[:3] + item[s : s + 4] + filler[3:6]) for s in range(0, 57, 3)] * 2  # some grams are rarer than others
+    rows = [(i, x) for i, x in enumerate(docs + common)]
+    got = {x.doc_id for x in leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert got == set(range(len(docs)))
