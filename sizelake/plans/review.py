@@ -191,9 +191,20 @@ LABEL = "l AS (SELECT item_id AS label_id, split AS dossier, vong AS round, cate
 
 
 def labels(spark, d):
-    code = lambda x: F.concat(F.lit("DL-"), F.lpad((x % 30 + 1).cast("string"), 2, "0"))
+    """Items as labels. The tables name neither code nor dossier of an item; both are laid out from its number, in the form
+    that findings have, over the dossiers 0 to 15 of the smallest tables."""
+    code = lambda x: F.concat(F.lit("DT-"), F.lpad((x % 30 + 1).cast("string"), 2, "0"))
+    dossier = F.concat(F.lit("HS-00-"), F.lpad((F.col("item_id") % 16).cast("string"), 6, "0"))
     i = t(spark, d, "eval_items")
-    return i.select(F.col("item_id").alias("label_id"), F.col("split").alias("dossier"), F.col("vong").alias("round"), "category", F.array(code(F.col("item_id")), code(F.col("item_id") * 7)).alias("refs"), "text")
+    return i.select(F.col("item_id").alias("label_id"), dossier.alias("dossier"), F.col("vong").alias("round"), "category", F.array(code(F.col("item_id")), code(F.col("item_id") * 7)).alias("refs"), "text")
+
+
+def label_hits(labels, findings):
+    """(label_id, category, hit, hard) of each label: a finding of the same dossier has one of its codes; passes are none."""
+    f = findings.where(F.col("category") != "pass_with_evidence")
+    c = f.groupBy(F.col("doc_id").alias("dossier"), F.col("rule_ref").alias("ref")).agg(F.bool_or(F.col("category") == "missing_info").alias("hard"))
+    refs = labels.select("label_id", "dossier", "category", F.explode_outer("refs").alias("ref"))
+    return refs.join(c, ["dossier", "ref"], "left").groupBy("label_id", "category").agg(F.bool_or(F.col("hard").isNotNull()).alias("hit"), F.coalesce(F.bool_or("hard"), F.lit(False)).alias("hard"))
 
 
 @query("JOIN-10 AGG-10 AGG-11 RUL-19 SET-3", f"""
@@ -204,10 +215,7 @@ FROM h GROUP BY ROLLUP (category)""")
 def label_hit_recall(spark, d):
     """Recall of labels by class: a label counts once however many codes match, misses stay in the denominator, passes are
     no hits; substantive hits need a finding of a hard class."""
-    f = findings(spark, d).where((F.col("category") != "pass_with_evidence") & (F.right("rule_ref", F.lit(2)).cast("int") % 2 == 0))
-    c = f.groupBy(F.col("rule_ref").alias("ref")).agg(F.bool_or(F.col("category") == "missing_info").alias("hard"))
-    h = labels(spark, d).select("label_id", "category", F.explode("refs").alias("ref")).join(c, "ref", "left").groupBy("label_id", "category").agg(
-        F.bool_or(F.col("hard").isNotNull()).alias("hit"), F.coalesce(F.bool_or("hard"), F.lit(False)).alias("hard"))
+    h = label_hits(labels(spark, d), findings(spark, d))
     one = lambda x: F.round(F.avg(F.when(F.col(x), 1.0).otherwise(0.0)), 6)
     return h.rollup("category").agg(F.count("*").alias("labels"), F.count_if("hit").alias("hits"), one("hit").alias("recall"), one("hard").alias("substantive")).select(F.coalesce("category", F.lit("all")).alias("category"), "labels", "hits", "recall", "substantive")
 
