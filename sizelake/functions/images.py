@@ -88,23 +88,36 @@ def decode_png(data: bytes) -> np.ndarray | None:
     return np.repeat(px[:, :, :1], 3, axis=2) if planes < 3 else px[:, :, :3]
 
 
-STATS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("luma", "dark", "saturation", "background", "transitions")] + [T.StructField("colours", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+def encode_png(rgb: np.ndarray) -> bytes:
+    """An 8-bit RGB PNG of an array (height, width, 3)."""
+    h, w, _ = rgb.shape
+    raw = np.concatenate((np.zeros((h, 1), np.uint8), rgb.astype(np.uint8).reshape(h, w * 3)), axis=1).tobytes()
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+MEASURES = ("luma", "dark", "saturation", "grey", "background", "vivid", "transitions", "busy_rows")
+STATS = T.StructType([T.StructField(n, T.DoubleType()) for n in MEASURES] + [T.StructField(n, T.IntegerType()) for n in ("colours", "width", "height")])
 
 
 def pixel_stats(data: bytes | None) -> tuple:
-    """Mean luma, share of dark pixels, mean saturation, share of the commonest colour, mean changes a line, colours (4 bits a
-    channel), size. Images that can't be decoded have a size only."""
+    """Measures of an image: mean luma (0 to 1), share of dark pixels, mean saturation, shares of grey pixels and of the
+    commonest colour (3 bits a channel), share of vivid pixels, mean number of changes between light and dark on a scan line,
+    share of lines with many changes; number of colours; size. Images that can't be decoded have a size only."""
     w, h = header_size(data)
     px = decode_png(data) if data else None
-    if px is None:
-        return (None, None, None, None, None, None, w, h)
+    if px is None or not px.size:
+        return (*(None,) * len(MEASURES), None, w, h)
     f = px.astype(np.float64)
+    top, spread = f.max(axis=2), f.max(axis=2) - f.min(axis=2)
     luma = f @ np.array([0.299, 0.587, 0.114])
-    top, low = f.max(axis=2), f.min(axis=2)
-    codes = (px >> 4).astype(np.int32) @ np.array([256, 16, 1])
-    _, n = np.unique(codes, return_counts=True)
-    bright = luma > 128
-    return (float(luma.mean()), float((luma < 80).mean()), float(np.where(top > 0, (top - low) / np.maximum(top, 1), 0).mean()), float(n.max() / codes.size), float((bright[:, 1:] != bright[:, :-1]).sum(axis=1).mean()), len(n), w, h)
+    share = spread / np.maximum(top, 1)
+    _, n = np.unique((px >> 5).astype(np.int32) @ np.array([64, 8, 1]), return_counts=True)
+    at = np.s_[:: max(1, px.shape[0] // 120), :: max(1, px.shape[1] // 200)]  # scan lines, a few hundred points each
+    light = luma[at] > 110
+    changes = (light[:, 1:] != light[:, :-1]).sum(axis=1)
+    vivid = (share[at] >= 0.35) & (top[at] >= 80)
+    return (float((luma / 255).mean()), float((luma / 255 < 0.25).mean()), float(share.mean()), float((spread < 25).mean()), float(n.max() / n.sum()), float(vivid.mean()), float(changes.mean()), float((changes >= 12).mean()), len(n), w, h)
 
 
 @F.pandas_udf(STATS)
@@ -112,7 +125,19 @@ def image_stats(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([pixel_stats(x) for x in data], columns=STATS.names)
 
 
-def image_kind(luma: Column, dark: Column, saturation: Column, colours: Column, background: Column, transitions: Column) -> Column:
-    """A decision ladder over the statistics: terminal, chart, diagram, photo or unknown."""
-    return (F.when(luma.isNull(), "unknown").when((dark > 0.6) & (transitions > 4), "terminal").when((background > 0.5) & (colours <= 24) & (transitions > 2), "diagram")
-            .when((background > 0.4) & (saturation > 0.03), "chart").when(colours > 400, "photo").otherwise("unknown"))
+# fixed values: thresholds of the decision ladder
+DARK, BRIGHT, FEW_DARK, DENSE, SPARSE, BUSY, COLOURFUL, VIVID, GREY = 0.60, 0.75, 0.15, 15.0, 11.5, 0.40, 45, 0.02, 0.85
+
+
+def image_kind(s: Column) -> Column:
+    """console, dashboard, diagram, text or unknown, from the measures; an image between two thresholds stays unknown."""
+    dense = (s["transitions"] >= DENSE) & (s["busy_rows"] >= BUSY)
+    on_dark = F.when(dense, "console").when(s["transitions"] <= SPARSE, "dashboard").otherwise("unknown")
+    on_bright = F.when((s["colours"] >= COLOURFUL) & (s["vivid"] >= VIVID) & ~dense, "diagram").when((s["grey"] >= GREY) & (s["vivid"] < VIVID), "text").otherwise("unknown")
+    return F.when(s["dark"] >= DARK, on_dark).when((s["luma"] >= BRIGHT) & (s["dark"] <= FEW_DARK), on_bright).otherwise("unknown")
+
+
+def aspect_ratio(width: Column, height: Column, shown_width: Column, shown_height: Column) -> Column:
+    """Width by height of the pixels, else of the place on the page; null where neither has both sides."""
+    of = lambda w, h: F.when((w > 0) & (h > 0), w / h)
+    return F.coalesce(of(width, height), of(shown_width, shown_height))

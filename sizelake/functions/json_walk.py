@@ -37,3 +37,13 @@ def leaves(text: str | None) -> list[dict] | None:
 def json_leaves(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield pd.Series([leaves(t) for t in s], dtype=object)
+
+
+def canonical(c: Column) -> Column:
+    """JSON with the properties of every object in order and without blanks; null for null and for what is no JSON."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def canonical_hash(c: Column) -> Column:
+    """SHA-256 of the canonical form, so that objects that differ in order or blanks only have one hash."""
+    return F.sha2(F.encode(canonical(c), "UTF-8"), 256)

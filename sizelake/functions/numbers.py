@@ -15,13 +15,23 @@ def _double(c: Column) -> Column:
     return c.try_cast("double")
 
 
+# fixed values: full-width digits and marks, and blanks of other widths
+_WIDE = "".join(chr(0xFF10 + k) for k in range(10)) + "．，－＋％／（）" + "\u00a0\u2002\u2003\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_NARROW = "0123456789.,-+%/()" + " " * 10
+
+
+def plain_digits(c: Column) -> Column:
+    """Digits, marks and blanks of other widths as the plain ones."""
+    return F.translate(c, _WIDE, _NARROW)
+
+
 def parse_number(text: Column, style: str = "vi", group: int = 3) -> Column:
-    """The first number in the text: struct(value, raw, ambiguous, alt_value), null where there is none or it can't be read.
+    """The first number in the text, which may be written in full width: struct(value, raw, ambiguous, alt_value), null where there is none or it can't be read.
 
     Both marks: the last is decimal. One mark repeated: groups, ambiguous if uneven. One mark once: decimal unless exactly
     `group` digits follow; then groups or decimal by style, ambiguous, with the other reading as alt_value; a leading zero
     leaves the decimal reading only."""
-    raw = F.regexp_extract(text, NUMBER, 0)
+    raw = F.regexp_extract(plain_digits(text), NUMBER, 0)
     body = F.regexp_replace(F.replace(raw, F.lit(" "), F.lit("")), r"^[-+]+", "")
     sign = F.when(F.replace(raw, F.lit(" "), F.lit("")).startswith("-"), -1.0).otherwise(1.0)
     dots, commas = F.regexp_count(body, F.lit(r"\.")), F.regexp_count(body, F.lit(","))
@@ -48,13 +58,13 @@ def parse_number(text: Column, style: str = "vi", group: int = 3) -> Column:
 
 
 def all_numbers(text: Column, style: str = "vi") -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), lambda x: parse_number(x, style)["value"])
+    return F.transform(F.regexp_extract_all(plain_digits(text), F.lit(f"({NUMBER})"), 1), lambda x: parse_number(x, style)["value"])
 
 
 def parse_percent(text: Column) -> Column:
     """A ratio where a percent sign is present, else the bare number."""
     v = parse_number(text)["value"]
-    return F.when(text.contains("%"), v / 100).otherwise(v)
+    return F.when(plain_digits(text).contains("%"), v / 100).otherwise(v)
 
 
 def is_number_cell(c: Column) -> Column:
@@ -64,7 +74,7 @@ def is_number_cell(c: Column) -> Column:
 
 def looks_like_value(c: Column, longest: int = 30, first_digit: int = 6, ranges: bool = True) -> Column:
     """Whether the text is one value, not a sentence that holds a number. With ranges=False ranges pass, too."""
-    s = F.trim(F.coalesce(c, F.lit("")))
+    s = F.trim(plain_digits(F.coalesce(c, F.lit(""))))
     at = F.regexp_instr(s, F.lit(r"\d"))
     ok = (s != "") & (F.length(s) <= longest) & (at >= 1) & (at <= first_digit + 1)
     return ok & ~s.rlike(RANGE) if ranges else ok
@@ -79,6 +89,21 @@ def whole_or_two(c: Column) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.format_string("%.2f", c))
 
 
+def four_digits(c: Column) -> Column:
+    """Four significant digits, thousands grouped; large and small numbers with an exponent. Ties of what is printed go to
+    the even digit."""
+    size = F.floor(F.log10(F.abs(c))).cast("int")
+    rounded = F.bround(c / F.pow(F.lit(10.0), size), 3)
+    over = F.abs(rounded) >= 10
+    exp, head = F.when(over, size + 1).otherwise(size), F.when(over, rounded / 10).otherwise(rounded)
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    fixed = F.when(exp >= 3, F.format_string("%,.0f", head * F.pow(F.lit(10.0), exp)))
+    for k in (2, 1, 0, -1, -2, -3, -4):
+        fixed = F.when(exp == k, bare(F.format_string(f"%.{3 - k}f", head * F.pow(F.lit(10.0), exp)))).otherwise(fixed)
+    power = F.concat(bare(F.format_string("%.3f", head)), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    return F.when(c == 0, F.lit("0")).when((exp < -4) | (exp >= 4), power).otherwise(fixed)
+
+
 def rewrite_convention(c: Column, convention: str) -> Column:
     """us: commas group; vn: dots group, the comma is decimal."""
     return F.replace(c, F.lit(","), F.lit("")) if convention == "us" else F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit("."))

@@ -7,13 +7,16 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = [chr(c) for c in (*range(0xC0, 0x1B5), *range(0x1EA0, 0x1EFA)) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
+# letters of any alphabet that are a letter and marks
+_ACCENTED = [c for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
 PLAIN_FROM = "".join(_ACCENTED) + "đĐ"
 PLAIN_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED) + "dD"
+#: Blanks of any kind, line ends included.
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
 def norm(c: Column) -> Column:
@@ -26,7 +29,8 @@ def fold_key(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, PLAIN_FROM, PLAIN_TO)
+    """Letters without their marks, whether composed or not, and đ as d."""
+    return F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), PLAIN_FROM, PLAIN_TO)
 
 
 def tokens(c: Column, stop: tuple[str, ...] = (), longer_than: int = 1) -> Column:
@@ -45,8 +49,10 @@ def cut_hard(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit - 3), F.lit("..."))).otherwise(c)
 
 
-def table_cell(c: Column, limit: int = 80) -> Column:
-    return F.rtrim(F.substring(F.replace(squeeze(c), F.lit("|"), F.lit("/")), 1, limit))
+def table_cell(c: Column, limit: int = 170) -> Column:
+    """A cell of a Markdown table: one line, bars escaped, what is too long cut with an ellipsis; `limit` signs at most."""
+    s = F.replace(squeeze(c), F.lit("|"), F.lit("\\|"))
+    return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.rtrim(F.substring(s, 1, limit - 1)), F.lit("…")))
 
 
 def outer_json(c: Column) -> Column:
@@ -66,6 +72,16 @@ def html_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def html_table(c: Column) -> Column:
+    """The first table of a text as an array of rows: the cells of its head's first row, if it has a head, then those of the
+    rows of its body; rows without cells are left out."""
+    cells = lambda row, tag: F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), 1), html_to_text)
+    head = F.regexp_extract(c, r"(?is)<thead(?:\s[^>]*)?>.*?<tr(?:\s[^>]*)?>(.*?)</tr>.*?</thead>", 1)
+    body = F.regexp_extract(c, r"(?is)<tbody(?:\s[^>]*)?>(.*?)</tbody>", 1)
+    rows = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), 1), lambda r: cells(r, "td"))
+    return F.filter(F.concat(F.array(cells(head, "th")), rows), lambda r: F.size(r) > 0)
+
+
 def section_root(c: Column) -> Column:
     return F.upper(F.trim(F.substring_index(F.coalesce(c, F.lit("")), ".", 1)))
 

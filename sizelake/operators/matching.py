@@ -36,26 +36,38 @@ def cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, pass
     return out
 
 
-def first_fit(df: DataFrame, group: str, order: str, words: str, least: float = 0.6) -> DataFrame:
-    """(group, order, cluster): within each group, in order, a row joins the first cluster whose first member's words are
-    alike (Jaccard), else begins one. It depends on the order, so that a group is worked on as a whole; groups are meant to
-    be files of one dossier."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        firsts: list[set] = []
-        out = []
-        for w in pdf[words]:
-            s = set(w if w is not None else [])
-            k = next((i for i, f in enumerate(firsts) if (len(s | f) == 0) or len(s & f) / len(s | f) >= least), None)
-            if k is None:
-                firsts.append(s)
-                k = len(firsts) - 1
-            out.append(k)
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "cluster": out})
-
-    types = dict(df.dtypes)
-    return df.select(group, order, words).groupBy(group).applyInPandas(fit, f"{group} {types[group]}, {order} {types[order]}, cluster int")
+def first_fit(df: DataFrame, group: str, order: str, words: str, least: float = 0.6, most_rounds: int = 100) -> DataFrame:
+    """(group, order, first): within each group, in order, a row joins the first cluster whose first member's words are alike
+    (Jaccard of at least `least`), else begins one; first is the order value of that member, its own for one that begins.
+
+    A row begins a cluster if and only if no cluster's first member before it is like it, so that the order matters between
+    like rows only: pairs of like rows come from a join on rare words (two sets that are alike share one of the rarest
+    |a| - ceil(least |a|) + 1 words of each), then, round by round, rows whose earlier likes are all decided are decided.
+    No group is gathered. Rows without words, null or empty, are like each other and like nothing else; (group, order) must
+    be unique; null groups or orders are passed over."""
+    x = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_distinct(F.coalesce(F.array_compact(words), F.array().cast("array<string>"))).alias("w")).where("g is not null and o is not null")
+    x = cut(x)
+    n = x.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    rare = x.select("g", "o", F.size("w").alias("size"), F.explode("w").alias("t")).join(n, ["g", "t"]).groupBy("g", "o", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t")))["t"].alias("ts"))  # the words of one row
+    keys = rare.select("g", "o", F.explode(F.slice("ts", 1, (F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1).cast("int"))).alias("t"))
+    pairs = keys.select("g", "t", F.col("o").alias("a")).join(keys.select("g", "t", F.col("o").alias("b")), ["g", "t"]).where("a < b").select("g", "a", "b").distinct()
+    side = lambda o, w: x.select("g", F.col("o").alias(o), F.col("w").alias(w))
+    like = pairs.join(side("a", "wa"), ["g", "a"]).join(side("b", "wb"), ["g", "b"]).where(F.size(F.array_intersect("wa", "wb")) >= F.lit(least) * F.size(F.array_union("wa", "wb")) - 1e-9)
+    bare = x.where("size(w) = 0").groupBy("g").agg(F.min("o").alias("a"))
+    like = cut(like.select("g", "a", "b").unionByName(x.where("size(w) = 0").join(bare, "g").where("o > a").select("g", "a", F.col("o").alias("b"))))
+    done = cut(x.select("g", "o").join(like.select("g", F.col("b").alias("o")).distinct(), ["g", "o"], "left_anti").select("g", "o", F.col("o").alias("first")))
+    open_rows = cut(x.select("g", "o").join(done, ["g", "o"], "left_anti"))
+    for _ in range(most_rounds):
+        if open_rows.isEmpty():
+            return done.select(F.col("g").alias(group), F.col("o").alias(order), "first")
+        # for each open row: the least of its likes that begins a cluster, and whether an earlier one is open still
+        near = like.join(open_rows.select("g", F.col("o").alias("b")), ["g", "b"])
+        near = near.join(done.select("g", F.col("o").alias("a"), F.col("first").alias("of")), ["g", "a"], "left")
+        s = near.groupBy("g", "b").agg(F.min(F.when(F.col("of") == F.col("a"), F.col("a"))).alias("hit"), F.min(F.when(F.col("of").isNull(), F.col("a"))).alias("waits"))
+        new = s.where("waits is null or hit < waits").select("g", F.col("b").alias("o"), F.coalesce("hit", "b").alias("first"))
+        done = cut(done.unionByName(new))
+        open_rows = cut(open_rows.join(done, ["g", "o"], "left_anti"))
+    raise RuntimeError(f"not decided after {most_rounds} rounds")
 
 
 BLOCKS = T.StructType([T.StructField(n, k) for n, k in (("ratio", T.DoubleType()), ("inserted", T.IntegerType()), ("deleted", T.IntegerType()), ("replaced", T.IntegerType()))])

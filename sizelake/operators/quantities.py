@@ -47,6 +47,13 @@ def rule_units(rule_inputs: DataFrame, table: UnitTable) -> dict[str, str]:
     return by
 
 
+def rule_targets(units: DataFrame, rule_inputs: DataFrame) -> DataFrame:
+    """(name, rule_dims, rule_factor): the unit that each rule input expects; a vocabulary, like the units themselves."""
+    held = UnitTable(unit_rows(units))
+    rows = [(n, ";".join(f"{k}^{e}" for k, e in u.dims), u.factor) for n, t in rule_units(rule_inputs, held).items() for u in [held.resolve(t)]]
+    return units.sparkSession.createDataFrame(rows, "name string, rule_dims string, rule_factor double")
+
+
 def amounts_udf(units: list[tuple], by_name: dict[str, str]):
     """Arrow UDF (raw, beside, header, quote, name) → AMOUNT; the unit table is built once a worker."""
     held: dict[str, UnitTable] = {}

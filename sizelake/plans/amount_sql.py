@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sizelake.functions import unicode_forms as U
-
-_FROM = "".join(U.FULLWIDTH) + U.SPACES + "".join(U.LATIN_TWINS) + "".join(U.LOOKALIKES) + U.INVISIBLE
-_TO = "".join(U.FULLWIDTH.values()) + " " * len(U.SPACES) + "".join(U.LATIN_TWINS.values()) + "".join(U.LOOKALIKES.values())
+# fixed values, written out apart from the operator's own: full-width signs, blanks, letters drawn alike, signs drawn as nothing
+_WIDE = "！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～"
+_NARROW = "!\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~"
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_ALIKE, _LATIN = "аеорсухіјѕԁԛԝһАВЕКМНОРСТУХІЈЅοΑΒΕΖΗΙΚΜΝΟΡΤΥΧÐƉ", "aeopcyxijsdqwhABEKMHOPCTYXIJSoABEZHIKMNOPTYXĐĐ"
+_NOTHING = "\u00ad\u034f\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_FROM, _TO = _WIDE + _BLANKS + _ALIKE + _NOTHING, _NARROW + " " * len(_BLANKS) + _LATIN
 
 
 def plain(c: str) -> str:
@@ -49,10 +52,21 @@ def side(name: str, key: str, raw: str, beside: str, quote: str, source: str) ->
    CASE WHEN p.n2 <> '' THEN {number("p.n1")} * tf + {number("p.n2")} * of_ ELSE {number("p.n1")} * {SCALE.format("p.sc")} * coalesce(of_, bf, qf, rf) END AS amount FROM {name}5 WHERE p.u1 = '' OR od IS NOT NULL)"""
 
 
-P1_FOUND = f"""
-WITH l AS (SELECT unit_group AS g, CASE WHEN factor IS NULL THEN 'unit:' || unit ELSE unit_group END AS dims, alias, case_sensitive AS ex, coalesce(factor, 1.0) AS f FROM units UNION ALL SELECT * FROM (SELECT g, g AS dims, a AS alias, ex, f FROM (VALUES {EXTRA}) v(g, base, a, ex, f))),
+UNITS = f"""l AS (SELECT unit_group AS g, CASE WHEN factor IS NULL OR isnan(factor) THEN 'unit:' || unit ELSE unit_group END AS dims, alias, case_sensitive AS ex, CASE WHEN factor IS NULL OR isnan(factor) THEN 1.0 ELSE factor END AS f FROM units UNION ALL SELECT * FROM (SELECT g, g AS dims, a AS alias, ex, f FROM (VALUES {EXTRA}) v(g, base, a, ex, f))),
  u AS (SELECT a, ex, min(dims) AS dims, min(f) AS f FROM (SELECT CASE WHEN ex THEN alias ELSE lower(alias) END AS a, ex, dims, f FROM l) GROUP BY 1, 2),
- r AS (SELECT name, min(dims) AS dims, min(f) AS f FROM (SELECT name, trim(unit) AS t FROM rule_inputs) x JOIN u ON u.a = CASE WHEN u.ex THEN x.t ELSE lower(x.t) END GROUP BY 1),
- {side("va", "value_id", "gia_tri_nguyen_van", "regexp_extract(tieu_de_cot, '[(]([^()]*)[)][^()]*$', 1)", "cau_chua", "gia_tri_so")},
- {side("im", "number_id", "gia_tri_raw", "don_vi", "trich_dan", "so_lieu_anh")}
+ r AS (SELECT name, min(dims) AS dims, min(f) AS f FROM (SELECT name, trim(unit) AS t FROM rule_inputs) x JOIN u ON u.a = CASE WHEN u.ex THEN x.t ELSE lower(x.t) END GROUP BY 1)"""
+VALUES = side("va", "value_id", "gia_tri_nguyen_van", "regexp_extract(tieu_de_cot, '[(]([^()]*)[)][^()]*$', 1)", "cau_chua", "gia_tri_so")
+IMAGES = side("im", "number_id", "gia_tri_raw", "don_vi", "trich_dan", "so_lieu_anh")
+P1_FOUND = f"""
+WITH {UNITS}, {VALUES}, {IMAGES}
 SELECT DISTINCT va.id AS value_id, im.id AS number_id FROM va JOIN im USING (doc_id, scope_key, name, dims) WHERE abs(va.amount - im.amount) > 0.01 * greatest(abs(va.amount), abs(im.amount))"""
+_ALL = "a AS (SELECT DISTINCT number_id, name FROM so_lieu_anh), x AS (SELECT a.number_id, a.name, im.dims, im.amount, im.id IS NOT NULL AS single FROM a LEFT JOIN im ON im.id = a.number_id AND im.name IS NOT DISTINCT FROM a.name)"
+GATE = f"""
+WITH {UNITS}, {IMAGES}, {_ALL}
+SELECT DISTINCT x.number_id, CASE WHEN NOT single OR (x.dims IS NOT NULL AND x.amount IS NULL) THEN 'no value' WHEN x.dims IS NULL THEN 'no unit' WHEN r.dims IS NULL THEN 'rule without unit' WHEN x.dims <> r.dims THEN 'other kind' WHEN abs(x.amount / r.f) > 1e6 THEN 'out of range' ELSE 'ok' END AS outcome
+FROM x LEFT JOIN r ON r.name = x.name"""
+CONVERTED = f"""
+WITH {UNITS}, {IMAGES}, {_ALL}, b AS (SELECT unit_group AS dims, min(base_unit) AS base FROM units WHERE factor IS NOT NULL AND NOT isnan(factor) GROUP BY 1)
+SELECT DISTINCT number_id, round(CASE WHEN single THEN amount END, 3) AS amount, CASE WHEN amount IS NULL THEN NULL WHEN starts_with(x.dims, 'unit:') THEN x.dims[6:] ELSE b.base END AS base,
+ CASE WHEN NOT single OR (x.dims IS NOT NULL AND amount IS NULL) THEN 'no value' WHEN x.dims IS NULL THEN 'no unit' WHEN starts_with(x.dims, 'unit:') THEN 'not convertible' ELSE 'converted' END AS state, coalesce(b.base IS NOT NULL AND amount BETWEEN 1 AND 1e15, false) AS in_range
+FROM x LEFT JOIN b ON b.dims = x.dims"""

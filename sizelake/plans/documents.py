@@ -6,25 +6,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sizelake.functions import numbers as N
+from sizelake.functions import rows as R
 from sizelake.functions import text as X
-from sizelake.functions.rows import table_row_labels
 from sizelake.operators.running import neighbours, running
 from sizelake.plans.registry import query
 from sizelake.sources.tables import table as t
 
+#: Blanks of any kind, for SQL.
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 E = "e AS (SELECT DISTINCT doc_id, element_index, kind, text, page, section, section_title, level, style, rows FROM elements WHERE doc_id IS NOT NULL AND element_index IS NOT NULL)"
 
 
-def elements(spark, d):
-    """Each element once: repeats of a row are equal in all columns."""
-    return t(spark, d, "elements").where("doc_id is not null and element_index is not null").dropDuplicates(["doc_id", "element_index"])
+COLUMNS = ("kind", "text", "page", "section", "section_title", "level", "style", "rows")
+
+
+def elements(spark, d, *columns):
+    """Each element once, with the columns named (all but the time of loading if none is): repeats of a row are equal in all
+    of them. As all columns are keys, filters behind it reach the scan, and what is not named is neither read nor shuffled."""
+    return t(spark, d, "elements").where("doc_id is not null and element_index is not null").select("doc_id", "element_index", *(columns or COLUMNS)).distinct()
 
 
 @query("FLT-1 AGG-26 AGG-37", f"""
 WITH {E} SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(max(page) AS INT) AS last_page, round(avg(CASE WHEN page IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS with_page,
  CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM e GROUP BY 1""")
 def elements_by_kind(spark, d):
-    return elements(spark, d).groupBy("kind").agg(
+    return elements(spark, d, "kind", "page").groupBy("kind").agg(
         F.count("*").alias("n"), F.max("page").alias("last_page"), F.round(F.avg(F.when(F.col("page").isNotNull(), 1.0).otherwise(0.0)), 6).alias("with_page"),
         F.countDistinct("doc_id").alias("docs"))
 
@@ -34,16 +41,28 @@ WITH {E} SELECT doc_id, upper(trim(split_part(coalesce(section, ''), '.', 1))) A
 FROM e WHERE section = '1' OR starts_with(section, '1.') GROUP BY 1, 2""")
 def section_subtree(spark, d):
     s = F.col("section")
-    return elements(spark, d).where((s == "1") | s.startswith("1.")).groupBy("doc_id", X.section_root(s).alias("root")).agg(F.count("*").alias("n"))
+    return elements(spark, d, "section").where((s == "1") | s.startswith("1.")).groupBy("doc_id", X.section_root(s).alias("root")).agg(F.count("*").alias("n"))
+
+
+LOCATION = "concat_ws(', ', CASE WHEN section <> '' THEN 'Mục ' || section END, CASE WHEN page IS NOT NULL THEN 'trang ' || page END)"
+
+
+def location():
+    return F.concat_ws(", ", F.when(F.col("section") != "", F.concat(F.lit("Mục "), "section")), F.when(F.col("page").isNotNull(), F.concat(F.lit("trang "), F.col("page").cast("string"))))
 
 
-@query("FLT-3 PRJ-1", f"""
-WITH {E} SELECT doc_id, element_index, concat_ws(', ', CASE WHEN section <> '' THEN 'Mục ' || section END, CASE WHEN page IS NOT NULL THEN 'trang ' || page END) AS location
-FROM e WHERE element_index >= 10 AND element_index < 20""")
+@query("PRJ-1", f"""
+WITH {E} SELECT doc_id, element_index, CASE WHEN {LOCATION} = '' THEN 'phần tử #' || element_index ELSE {LOCATION} END AS location FROM e""")
 def element_location(spark, d):
-    """Where the elements of a half-open range stand."""
-    loc = F.concat_ws(", ", F.when(F.col("section") != "", F.concat(F.lit("Mục "), "section")), F.when(F.col("page").isNotNull(), F.concat(F.lit("trang "), F.col("page").cast("string"))))
-    return elements(spark, d).where((F.col("element_index") >= 10) & (F.col("element_index") < 20)).select("doc_id", "element_index", loc.alias("location"))
+    """Where each element stands: section and page, its number where both are missing."""
+    e = elements(spark, d, "section", "page")
+    return e.select("doc_id", "element_index", F.when(location() == "", F.concat(F.lit("phần tử #"), F.col("element_index").cast("string"))).otherwise(location()).alias("location"))
+
+
+@query("FLT-3", f"WITH {E} SELECT doc_id, element_index, kind FROM e WHERE element_index >= 10 AND element_index < 20")
+def element_range(spark, d):
+    """The elements of a half-open range; the bounds reach the scan."""
+    return elements(spark, d, "kind").where((F.col("element_index") >= 10) & (F.col("element_index") < 20))
 
 
 def cells_of(e):
@@ -64,7 +83,7 @@ IS_NUM = "(trim(coalesce(text, '')) <> '' AND regexp_matches(text, '[0-9]') AND
 WITH {CELLS} SELECT doc_id, element_index, r, c, text, {IS_NUM} AS is_number FROM cells""")
 def table_cells(spark, d):
     """Every cell of every table, with whether it holds a number."""
-    return cells_of(elements(spark, d)).select("doc_id", "element_index", "r", "c", "text", N.is_number_cell(F.col("text")).alias("is_number"))
+    return cells_of(elements(spark, d, "kind", "rows")).select("doc_id", "element_index", "r", "c", "text", N.is_number_cell(F.col("text")).alias("is_number"))
 
 
 HEAD = f"""{CELLS}, num AS (SELECT *, {IS_NUM} AS is_num FROM cells),
@@ -81,25 +100,42 @@ def headed(e):
 
 @query("WIN-10", f"WITH {HEAD} SELECT doc_id, element_index, CAST(n_head AS INT) AS n_head FROM head")
 def header_rows(spark, d):
-    return headed(elements(spark, d)).select("doc_id", "element_index", "n_head").distinct()
+    return headed(elements(spark, d, "kind", "rows")).select("doc_id", "element_index", "n_head").distinct()
+
+
+# the texts of the header rows of a column with the uppermost k left out, repeats said once; k is the least number that keeps
+# every header of the table within 80 signs
+HEADERS = f"""{HEAD}, tier AS (SELECT n.doc_id, n.element_index, n.c, k.k, h.n_head, array_to_string(list_filter(list(trim(coalesce(n.text, '')) ORDER BY n.r), lambda x: x <> ''), chr(31)) AS l
+   FROM num n JOIN head h USING (doc_id, element_index) JOIN (VALUES (0), (1), (2)) k(k) ON k.k < h.n_head AND n.r >= k.k AND n.r < h.n_head GROUP BY ALL),
+ said AS (SELECT doc_id, element_index, c, k, n_head, array_to_string(list_filter(string_split(l, chr(31)), lambda x, i: list_position(string_split(l, chr(31)), x) = i), ' / ') AS header FROM tier),
+ fit AS (SELECT doc_id, element_index, coalesce(min(k) FILTER (WHERE longest <= 80), max(k)) AS k FROM (SELECT doc_id, element_index, k, max(length(header)) AS longest FROM said GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ headers AS (SELECT doc_id, element_index, c, trim(left(header, 80)) AS header FROM said JOIN fit USING (doc_id, element_index, k))"""
+
+
+def headers_of(e):
+    """(doc_id, element_index, c, header) of tables: headers of several rows joined, see rows.column_headers."""
+    return e.where("kind = 'table' and size(rows) > 0").select("doc_id", "element_index", F.posexplode(R.column_headers(F.col("rows"))).alias("c", "header"))
+
+
+@query("FUN-A3 FUN-A5", f"WITH {HEADERS} SELECT doc_id, element_index, c, header FROM headers")
+def column_headers(spark, d):
+    return headers_of(elements(spark, d, "kind", "rows"))
+
+
+SERIAL = r"(?i)^\\s*(stt|tt|s[ốo]\\s*(tt|th[ứu]\\s*t[ựu])|#|no\\.?|num(ber)?|index)\\s*\\.?\\s*$"
 
 
 @query("FLT-7 FUN-A4 AGG-23", f"""
-WITH {HEAD}, col AS (
-  SELECT n.doc_id, n.element_index, n.c, string_agg(DISTINCT nullif(trim(n.text), ''), ' / ') FILTER (WHERE n.r < h.n_head AND h.n_head = 1) AS header,
-    bool_and(n.is_num) FILTER (WHERE n.r >= h.n_head AND trim(n.text) <> '') AS numeric, count(*) FILTER (WHERE n.r >= h.n_head AND trim(n.text) <> '') AS filled
-  FROM num n JOIN head h USING (doc_id, element_index) WHERE h.n_head = 1 GROUP BY 1, 2, 3),
- ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, element_index, header ORDER BY c) AS k FROM col WHERE numeric AND filled > 0 AND header IS NOT NULL
-   AND NOT regexp_full_match(lower(header), '\\s*(stt|tt|#|no\\.?|index)\\s*\\.?\\s*'))
+WITH {HEADERS}, col AS (SELECT n.doc_id, n.element_index, n.c, bool_and(n.is_num) AS numeric FROM num n JOIN head h USING (doc_id, element_index) WHERE n.r >= h.n_head AND trim(n.text) <> '' GROUP BY 1, 2, 3),
+ ok AS (SELECT doc_id, element_index, c, header, count(*) OVER (PARTITION BY doc_id, element_index, header) AS k FROM col JOIN headers USING (doc_id, element_index, c) WHERE numeric AND header <> '' AND NOT regexp_matches(header, '{SERIAL}'))
 SELECT doc_id, element_index, c, header FROM ok WHERE k = 1""")
 def data_columns(spark, d):
-    """Columns of one-row headers that hold numbers and nothing else; serial numbers and repeated headers left out."""
-    c = headed(elements(spark, d)).where("n_head = 1")
-    col = c.groupBy("doc_id", "element_index", "c").agg(
-        F.max(F.when(F.col("r") == 0, F.nullif(F.trim("text"), F.lit("")))).alias("header"),
-        F.bool_and(F.when((F.col("r") >= 1) & (F.trim("text") != ""), F.col("is_num"))).alias("numeric"))
-    ok = col.where("numeric and header is not null").where(~F.lower("header").rlike(r"^\s*(stt|tt|#|no\.?|index)\s*\.?\s*$"))
-    return ok.groupBy("doc_id", "element_index", "header").agg(F.min("c").alias("c")).select("doc_id", "element_index", "c", "header")
+    """Columns that hold numbers and nothing else, with their headers. Serial numbers are left out, and so are all columns of
+    one name: nothing says which of them is meant."""
+    e = elements(spark, d, "kind", "rows")
+    c = headed(e).where("r >= n_head and trim(text) <> ''").groupBy("doc_id", "element_index", "c").agg(F.bool_and("is_num").alias("numeric")).where("numeric").drop("numeric")
+    ok = c.join(headers_of(e), ["doc_id", "element_index", "c"]).where((F.col("header") != "") & ~F.col("header").rlike(SERIAL))
+    return ok.groupBy("doc_id", "element_index", "header").agg(F.min("c").alias("c"), F.count("*").alias("n")).where("n = 1").select("doc_id", "element_index", "c", "header")
 
 
 @query("FLT-12 FUN-A1", f"""
@@ -107,7 +143,7 @@ WITH {E} SELECT doc_id, element_index, list_transform(rows, lambda r: array_to_s
 def compact_runs(spark, d):
     """Rows as lines, equal neighbouring cells said once."""
     line = lambda r: F.array_join(F.filter(r, lambda x, i: (i == 0) | (x != F.get(r, i - 1))), " | ")
-    return elements(spark, d).where("kind = 'table'").select("doc_id", "element_index", F.transform("rows", line).alias("lines"))
+    return elements(spark, d, "kind", "rows").where("kind = 'table'").select("doc_id", "element_index", F.transform("rows", line).alias("lines"))
 
 
 @query("WIN-1", f"""
@@ -115,8 +151,8 @@ WITH {E} SELECT doc_id, element_index, last_value(CASE WHEN kind = 'heading' THE
 FROM e""")
 def carry_forward_marker(spark, d):
     """The heading that each element stands under."""
-    e = elements(spark, d).select("doc_id", "element_index", "kind", "text")
-    return running(e, "doc_id", ["element_index"], lasts={"heading": F.when(F.col("kind") == "heading", F.col("text"))}).select("doc_id", "element_index", "heading")
+    mark = F.when(F.col("kind") == "heading", F.col("text")).alias("mark")  # other texts are neither shuffled nor sorted
+    return running(elements(spark, d, mark), "doc_id", ["element_index"], lasts={"heading": F.col("mark")}).select("doc_id", "element_index", "heading")
 
 
 @query("WIN-2 WIN-6", f"""
@@ -124,7 +160,7 @@ WITH {E} SELECT doc_id, element_index, CAST(1 + sum(CASE WHEN kind = 'heading' A
   CAST(sum(CASE WHEN kind = 'image' THEN 1 ELSE 0 END) OVER w AS BIGINT) > 0 AS image_seen FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY element_index ROWS UNBOUNDED PRECEDING)""")
 def running_counter(spark, d):
     """A counter that a break raises before it is given to the break itself, and whether an image has come yet."""
-    e = elements(spark, d).select("doc_id", "element_index", "kind", "level")
+    e = elements(spark, d, "kind", "level")
     r = running(e, "doc_id", ["element_index"], sums={
         "breaks": F.when((F.col("kind") == "heading") & (F.col("level") == 1), 1).otherwise(0), "images": F.when(F.col("kind") == "image", 1).otherwise(0)})
     return r.select("doc_id", "element_index", (F.col("breaks") + 1).alias("page"), (F.col("images") > 0).alias("image_seen"))
@@ -138,7 +174,7 @@ WITH {E}, h AS (SELECT doc_id, element_index, level, sum(CASE WHEN level = 1 THE
 SELECT doc_id, element_index, concat_ws('.', CAST(n1 AS BIGINT), CASE WHEN level >= 2 THEN CAST(n2 AS BIGINT) END, CASE WHEN level >= 3 THEN CAST(n3 AS BIGINT) END) AS label FROM k""")
 def heading_stack(spark, d):
     """Numbers of headings by level: a level's count begins anew under each shallower heading."""
-    h = elements(spark, d).where("kind = 'heading'").select("doc_id", "element_index", "level")
+    h = elements(spark, d, "kind", "level").where("kind = 'heading'").select("doc_id", "element_index", "level")
     lev = F.col("level")
     one = lambda c: F.when(c, 1).otherwise(0)
     h = running(h, "doc_id", ["element_index"], sums={"n1": one(lev == 1), "g3": one(lev <= 2), "all2": one(lev == 2), "all3": one(lev == 3)})
@@ -155,18 +191,20 @@ WITH {CELLS} SELECT doc_id, element_index, r, c, last_value(nullif(text, '') IGN
 def vertical_fill(spark, d):
     """Blank cells take the text of the nearest filled cell above; a table is one element, so its window is small."""
     w = W.partitionBy("doc_id", "element_index", "c").orderBy("r").rowsBetween(W.unboundedPreceding, 0)
-    return cells_of(elements(spark, d)).select("doc_id", "element_index", "r", "c", F.last(F.nullif(F.col("text"), F.lit("")), ignorenulls=True).over(w).alias("text"))
+    return cells_of(elements(spark, d, "kind", "rows")).select("doc_id", "element_index", "r", "c", F.last(F.nullif(F.col("text"), F.lit("")), ignorenulls=True).over(w).alias("text"))
+
+
+MOST_NEAR = 400  # fixed value: signs of a neighbour that are kept
 
 
 @query("WIN-8", f"""
-WITH {E}, x AS (SELECT doc_id, element_index, text FROM e WHERE text <> '')
-SELECT doc_id, element_index, list(text) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before,
-  list(text) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS after FROM x
-""".replace("list(text) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)", "coalesce(list(left(text, 40)) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), [])").replace("list(text) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)", "coalesce(list(left(text, 40)) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), [])"))
+WITH {E}, x AS (SELECT doc_id, element_index, left(text, {MOST_NEAR}) AS s FROM e WHERE text <> '')
+SELECT doc_id, element_index, coalesce(list(s) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS before,
+  coalesce(list(s) OVER (PARTITION BY doc_id ORDER BY element_index ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), []) AS after FROM x""")
 def neighbours_k3(spark, d):
-    """The beginnings of the three filled elements before and after each."""
-    e = elements(spark, d).where("text <> ''").select("doc_id", "element_index", F.substring("text", 1, 40).alias("text"))
-    return neighbours(e, "doc_id", ["element_index"], "text", 3).select("doc_id", "element_index", "before", "after")
+    """The texts, up to 400 signs of each, of the three filled elements before and after each."""
+    e = elements(spark, d, F.substring("text", 1, MOST_NEAR).alias("s")).where("s <> ''")
+    return neighbours(e, "doc_id", ["element_index"], "s", 3).select("doc_id", "element_index", "before", "after")
 
 
 CAP = "(length(trim({0})) <= 200 AND regexp_matches(trim({0}), '(?i)^\\s*(hình|biểu đồ|sơ đồ|ảnh|bảng|figure|table)\\s*[0-9.]*\\s*[:.\\-]?\\s*\\S+'))"
@@ -179,12 +217,12 @@ SELECT doc_id, element_index, CASE WHEN {CAP.format("text")} THEN 'self' WHEN {C
 def caption_search(spark, d):
     """Where an image's caption stands: in its own paragraph, right after, right before. The nearest filled text on either
     side comes from two running values, so that no window holds a whole document."""
-    x = elements(spark, d).where("kind = 'image' or text <> ''").select("doc_id", "element_index", "kind", F.coalesce("text", F.lit("")).alias("text"))
-    filled = F.nullif(F.col("text"), F.lit(""))
-    x = running(x, "doc_id", ["element_index"], lasts={"prv": filled}, inclusive=False).withColumn("back", -F.col("element_index"))
-    x = running(x, "doc_id", ["back"], lasts={"nxt": filled}, inclusive=False)
-    cap = lambda c: F.coalesce(X.is_caption(F.col(c)), F.lit(False))
-    src = F.when(cap("text"), "self").when(cap("nxt"), "after").when(cap("prv"), "before").otherwise("none")
+    filled = F.col("text") != ""
+    x = elements(spark, d, "kind", F.when(filled, X.is_caption(F.col("text"))).alias("cap"))  # whether it is one is all that is carried
+    x = x.where("kind = 'image' or cap is not null")
+    x = running(x, "doc_id", ["element_index"], lasts={"prv": F.col("cap")}, inclusive=False).withColumn("back", -F.col("element_index"))
+    x = running(x, "doc_id", ["back"], lasts={"nxt": F.col("cap")}, inclusive=False)
+    src = F.when(F.col("cap"), "self").when(F.col("nxt"), "after").when(F.col("prv"), "before").otherwise("none")
     return x.where("kind = 'image'").select("doc_id", "element_index", src.alias("caption_from"))
 
 
@@ -196,7 +234,7 @@ SELECT doc_id, element_index, r, last_value(CASE WHEN filled >= 2 AND kinds = 1
 def band_rows(spark, d):
     """The label of the band that a row of a stacked table stands in: the nearest row above whose cells are all equal."""
     filled = F.when(F.trim("text") != "", F.trim("text"))
-    r = cells_of(elements(spark, d)).groupBy("doc_id", "element_index", "r").agg(F.count(filled).alias("filled"), F.min(filled).alias("label"), F.max(filled).alias("top"))
+    r = cells_of(elements(spark, d, "kind", "rows")).groupBy("doc_id", "element_index", "r").agg(F.count(filled).alias("filled"), F.min(filled).alias("label"), F.max(filled).alias("top"))
     band = F.when((F.col("filled") >= 2) & (F.col("label") == F.col("top")) & ~F.col("label").rlike(r"^[0-9.,%\s]+$"), F.col("label"))
     w = W.partitionBy("doc_id", "element_index").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     return r.select("doc_id", "element_index", "r", F.last(band, ignorenulls=True).over(w).alias("band"))
@@ -210,10 +248,10 @@ SELECT x.doc_id, x.element_index, s.owner FROM e x LEFT JOIN s ON s.doc_id = x.d
 def interval_owner(spark, d):
     """Each table's owner: the marker whose interval holds it, within the same root section. The intervals of a document
     don't overlap, so the interval join is the last marker at or before the table, kept if the sections agree."""
-    e = elements(spark, d).select("doc_id", "element_index", "kind", "section", "text")
-    mark = F.when(F.col("kind") == "heading", F.struct(F.col("text").alias("owner"), X.section_root(F.col("section")).alias("root")))
-    r = running(e, "doc_id", ["element_index"], lasts={"m": mark})
-    return r.where("kind = 'table'").select("doc_id", "element_index", F.when(F.col("m.root") == X.section_root(F.col("section")), F.col("m.owner")).alias("owner"))
+    mark = F.when(F.col("kind") == "heading", F.struct(F.col("text").alias("owner"), X.section_root(F.col("section")).alias("root"))).alias("mark")
+    e = elements(spark, d, "kind", X.section_root(F.col("section")).alias("root"), mark)
+    r = running(e, "doc_id", ["element_index"], lasts={"m": F.col("mark")})
+    return r.where("kind = 'table'").select("doc_id", "element_index", F.when(F.col("m.root") == F.col("root"), F.col("m.owner")).alias("owner"))
 
 
 @query("JOIN-6", f"""
@@ -221,7 +259,7 @@ WITH {E}, i AS (SELECT doc_id, element_index AS at, coalesce(lag(element_index)
 SELECT i.doc_id, i.at AS element_index, CAST(max(h.element_index) AS INT) AS heading_index FROM i LEFT JOIN e h ON h.doc_id = i.doc_id AND h.kind = 'heading' AND h.element_index > i.lo AND h.element_index <= i.at GROUP BY 1, 2""")
 def asof_heading(spark, d):
     """The nearest heading before each image that comes after the image before."""
-    e = elements(spark, d).select("doc_id", "element_index", "kind")
+    e = elements(spark, d, "kind")
     r = running(e, "doc_id", ["element_index"], lasts={"h": F.when(F.col("kind") == "heading", F.col("element_index"))})
     r = running(r, "doc_id", ["element_index"], lasts={"lo": F.when(F.col("kind") == "image", F.col("element_index"))}, inclusive=False)
     return r.where("kind = 'image'").select("doc_id", "element_index", F.when(F.col("h") > F.coalesce("lo", F.lit(-1)), F.col("h")).alias("heading_index"))
@@ -232,7 +270,7 @@ WITH {E}, x AS (SELECT CASE kind WHEN 'image' THEN 1 WHEN 'table' THEN 2 ELSE 9
 SELECT kind, CAST(prio AS INT) AS prio, CAST(count(*) AS BIGINT) AS n, list_slice(list_sort(list(x.at)), 1, 5) AS first_five, CAST(greatest(count(*) - 5, 0) AS BIGINT) AS more FROM x GROUP BY 1, 2""")
 def kinds_first_five(spark, d):
     """Kinds in a fixed order with their count and first five places; the five least are kept by rank, never the whole list."""
-    x = elements(spark, d).select("kind", F.concat("doc_id", F.lit("#"), F.col("element_index").cast("string")).alias("at"))
+    x = elements(spark, d, "kind").select("kind", F.concat("doc_id", F.lit("#"), F.col("element_index").cast("string")).alias("at"))
     top = x.withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("at"))).where("k <= 5").groupBy("kind").agg(F.array_sort(F.collect_list("at")).alias("first_five"))
     prio = F.when(F.col("kind") == "image", 1).when(F.col("kind") == "table", 2).otherwise(9)
     n = x.groupBy("kind").agg(F.count("*").alias("n"))
@@ -242,53 +280,56 @@ def kinds_first_five(spark, d):
 @query("WIN-17 WIN-20", f"""
 WITH {E} SELECT doc_id, element_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY element_index) AS BIGINT) AS no, CAST(count(*) OVER (PARTITION BY doc_id) AS BIGINT) AS of_all FROM e WHERE kind = 'image'""")
 def image_numbering(spark, d):
-    e = elements(spark, d).where("kind = 'image'").select("doc_id", "element_index")
+    e = elements(spark, d, "kind").where("kind = 'image'").select("doc_id", "element_index")
     r = running(e, "doc_id", ["element_index"], sums={"no": F.lit(1)})
     return r.join(e.groupBy("doc_id").agg(F.count("*").alias("of_all")), "doc_id").select("doc_id", "element_index", F.col("no").cast("long").alias("no"), "of_all")
 
 
 @query("JOIN-14 FUN-S1 ORD-6", f"""
-WITH {E}, k AS (SELECT DISTINCT nhan_xet_id, doc_id, lower(trim(regexp_replace(trich_dan_tai_lieu, '\\s+', ' ', 'g'))) AS k FROM nhan_xet_dinh_tinh WHERE trich_dan_tai_lieu <> ''),
- x AS (SELECT doc_id, element_index, kind, lower(trim(regexp_replace(regexp_replace(text, '^\\s*\\[[^\\]]{{0,80}}\\]\\s*', ''), '\\s+', ' ', 'g'))) AS nt FROM e WHERE text <> ''),
+WITH {E}, k AS (SELECT DISTINCT nhan_xet_id, doc_id, lower(trim(regexp_replace(trich_dan_tai_lieu, '{WS}', ' ', 'g'))) AS k FROM nhan_xet_dinh_tinh WHERE trich_dan_tai_lieu <> ''),
+ x AS (SELECT doc_id, element_index, kind, lower(trim(regexp_replace(regexp_replace(text, '^\\s*\\[[^\\]]{{0,80}}\\]\\s*', ''), '{WS}', ' ', 'g'))) AS nt FROM e WHERE text <> ''),
  m AS (SELECT k.nhan_xet_id, x.element_index, row_number() OVER (PARTITION BY k.nhan_xet_id ORDER BY CASE WHEN x.kind = 'paragraph' THEN 0 ELSE 1 END, x.element_index) AS r FROM k JOIN x ON x.doc_id = k.doc_id AND contains(x.nt, k.k) WHERE length(k.k) >= 30 AND k.k LIKE '% % %')
 SELECT nhan_xet_id, element_index FROM m WHERE r = 1""")
 def quote_anchor(spark, d):
     """The first element that contains a quote, paragraphs before other kinds. A text that contains the quote holds the
-    quote's longest inner word as a word, so that the search is a join on (document, word) and not over all pairs."""
+    quote's longest inner word as a word, so that the search is a join on (document, word) and not over all pairs. The words
+    go as hashes; the texts of elements that share the word, and no others, meet their quotes."""
     q = t(spark, d, "nhan_xet_dinh_tinh").where("trich_dan_tai_lieu <> ''").select("nhan_xet_id", "doc_id", F.lower(X.squeeze(F.col("trich_dan_tai_lieu"))).alias("k")).distinct()
     q = q.where((F.length("k") >= 30) & F.col("k").like("% % %"))
     inner = F.slice(F.split("k", " "), 2, F.size(F.split("k", " ")) - 2)
-    q = q.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    x = elements(spark, d).where("text <> ''").select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), X.norm(F.col("text")).alias("nt"))
-    # words meet as hashes; only the texts of candidates are looked at
-    words = x.select("doc_id", "element_index", F.explode(F.array_distinct(F.transform(F.split("nt", " "), lambda w: F.xxhash64(w)))).alias("h"))
-    near = q.withColumn("h", F.xxhash64("word")).join(words, ["doc_id", "h"]).select("nhan_xet_id", "k", "doc_id", "element_index")
-    m = near.join(x, ["doc_id", "element_index"]).where(F.contains("nt", "k"))
+    q = q.withColumn("h", F.xxhash64(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
+    raw = t(spark, d, "elements").where("doc_id is not null and element_index is not null and text <> ''")
+    nt = X.norm(F.col("text"))
+    # hashes of words straight from the scan; a repeated row gives the same ones, and the least place counts in the end
+    words = raw.select("doc_id", "element_index", F.explode(F.array_distinct(F.transform(F.split(nt, " "), lambda w: F.xxhash64(w)))).alias("h"))
+    asked = q.select("doc_id", "h").distinct()
+    near = q.select("nhan_xet_id", "doc_id", "h").join(words.join(asked, ["doc_id", "h"], "left_semi").distinct(), ["doc_id", "h"]).select("nhan_xet_id", "doc_id", "element_index").distinct()
+    text = raw.join(near.select("doc_id", "element_index").distinct(), ["doc_id", "element_index"], "left_semi").select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), nt.alias("nt"))
+    m = near.join(text, ["doc_id", "element_index"]).join(q.select("nhan_xet_id", "doc_id", "k"), ["nhan_xet_id", "doc_id"]).where(F.contains("nt", "k"))
     return m.groupBy("nhan_xet_id").agg(F.min(F.struct("other", "element_index"))["element_index"].alias("element_index"))
 
 
-@query("FUN-S12 FUN-S2 FUN-S3 FUN-S15", f"""
-WITH {E} SELECT doc_id, element_index, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key,
-  regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g') AS instance FROM e WHERE kind = 'heading' AND regexp_full_match(text, '[ -~À-ỹ]*')""")
+@query("FUN-S2 FUN-S15", f"""
+WITH {E} SELECT doc_id, element_index, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key, regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g') AS instance FROM e WHERE kind = 'heading'""")
 def text_keys(spark, d):
-    e = elements(spark, d).where("kind = 'heading'").where(F.col("text").rlike("^[ -~À-ỹ]*$"))
+    e = elements(spark, d, "kind", "text").where("kind = 'heading'")
     return e.select("doc_id", "element_index", X.fold_key(F.col("text")).alias("key"), X.instance_key(F.col("text")).alias("instance"))
 
 
-@query("FUN-S3", f"""
-WITH {E} SELECT doc_id, element_index, translate(strip_accents(nfc_normalize(text)), 'đĐ', 'dD') AS plain FROM e WHERE kind = 'heading' AND regexp_full_match(nfc_normalize(text), '[ -~À-ưẠ-ỹ]*') AND nfc_normalize(text) = text""")
+@query("FUN-S3", f"WITH {E} SELECT doc_id, element_index, translate(strip_accents(text), 'đĐ', 'dD') AS plain FROM e WHERE kind = 'heading'")
 def strip_diacritics(spark, d):
-    e = elements(spark, d).where("kind = 'heading'").where(F.col("text").rlike("^[ -~À-ưẠ-ỹ]*$"))
+    e = elements(spark, d, "kind", "text").where("kind = 'heading'")
     return e.select("doc_id", "element_index", X.strip_accents(F.col("text")).alias("plain"))
 
 
 @query("FUN-S6 FUN-S7 PRJ-3", f"""
-WITH {E}, s AS (SELECT doc_id, element_index, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM e WHERE kind = 'paragraph' AND text <> '' AND regexp_full_match(text, '[\\x20-\\x7eÀ-ỹ\\n\\r\\t]*'))
+WITH {E}, s AS (SELECT doc_id, element_index, trim(regexp_replace(text, '{WS}', ' ', 'g')) AS s FROM e WHERE kind = 'paragraph'), x AS (SELECT *, replace(s, '|', '\\|') AS m FROM s)
 SELECT doc_id, element_index, CASE WHEN length(s) <= 60 THEN s ELSE (CASE WHEN contains(left(s, 60), ' ') THEN regexp_extract(left(s, 60), '^(.*) ', 1) ELSE left(s, 60) END) || '…' END AS short,
-  rtrim(left(replace(s, '|', '/'), 40)) AS cell FROM s""")
+  CASE WHEN length(m) <= 170 THEN m ELSE rtrim(left(m, 169)) || '…' END AS cell FROM x""")
 def cut_texts(spark, d):
-    e = elements(spark, d).where("kind = 'paragraph' and text <> ''").where(F.col("text").rlike(r"^[\x20-\x7eÀ-ỹ\n\r\t]*$"))
-    return e.select("doc_id", "element_index", X.cut_at_word(F.col("text"), 60).alias("short"), X.table_cell(F.col("text"), 40).alias("cell"))
+    """Every paragraph cut behind a word, and as a cell of a Markdown table."""
+    e = elements(spark, d, "kind", "text").where("kind = 'paragraph'")
+    return e.select("doc_id", "element_index", X.cut_at_word(F.col("text"), 60).alias("short"), X.table_cell(F.col("text")).alias("cell"))
 
 
 @query("FUN-S18 FUN-S19 AGG-30", f"""
@@ -297,21 +338,11 @@ SELECT doc_id, CAST(page AS INT) AS page, CAST(sum(len(list_filter(regexp_split_
 FROM x GROUP BY 1, 2""")
 def coverage_by_page(spark, d):
     """Lines of text and elements that cite a section, by page."""
-    x = elements(spark, d).where("kind = 'paragraph' and text <> ''")
+    x = elements(spark, d, "kind", "page", "text").where("kind = 'paragraph' and text <> ''")
     lines = F.size(F.filter(F.split("text", r"\n+"), lambda s: F.length(F.trim(s)) > 25))
     return x.groupBy("doc_id", F.coalesce("page", F.lit(0)).alias("page")).agg(F.sum(lines).alias("lines"), F.count_if(F.lower("text").rlike(r"mục\s*[ivx]+")).alias("citing"))
 
 
-@query("FUN-A3 FUN-A5", f"""
-WITH {HEAD}, tiers AS (SELECT n.doc_id, n.element_index, n.c, list_filter(list_distinct(list(trim(n.text) ORDER BY n.r)), lambda x: x <> '') AS parts FROM num n JOIN head h USING (doc_id, element_index) WHERE n.r < h.n_head GROUP BY 1, 2, 3)
-SELECT doc_id, element_index, c, left(array_to_string(list_sort(parts), ' / '), 80) AS header FROM tiers""")
-def column_headers(spark, d):
-    """Headers of several tiers joined, repeats said once (here in alphabetical order, as SQL keeps no order of distincts)."""
-    h = headed(elements(spark, d)).where("r < n_head")
-    parts = F.sort_array(F.filter(F.collect_set(F.trim("text")), lambda x: x != ""))
-    return h.groupBy("doc_id", "element_index", "c").agg(parts.alias("p")).select("doc_id", "element_index", "c", F.substring(F.array_join("p", " / "), 1, 80).alias("header"))
-
-
 @query("RUL-22 RUL-21 FLT-16", f"""
 WITH {HEAD} SELECT n.doc_id, n.element_index, n.c, CASE WHEN regexp_matches(lower(n.text), '%') THEN '%' WHEN regexp_matches(lower(n.text), 'iops') THEN 'iops' WHEN regexp_matches(lower(n.text), '(mb|gb)/s|[mg]bps') THEN 'bang_thong'
   WHEN regexp_matches(lower(n.text), '(^|[^a-z])gb([^a-z]|$)') THEN 'gb' WHEN regexp_matches(lower(n.text), 'cpu|cores?|cint') THEN 'cpu' WHEN regexp_matches(lower(n.text), 'tps|cps') THEN 'tps' ELSE '' END AS family FROM num n WHERE n.r = 0""")
@@ -320,7 +351,7 @@ def unit_family_of_column(spark, d):
     low = F.lower("text")
     fam = (F.when(low.contains("%"), "%").when(low.contains("iops"), "iops").when(low.rlike("(mb|gb)/s|[mg]bps"), "bang_thong").when(low.rlike("(^|[^a-z])gb([^a-z]|$)"), "gb")
            .when(low.rlike("cpu|cores?|cint"), "cpu").when(low.rlike("tps|cps"), "tps").otherwise(""))
-    return cells_of(elements(spark, d)).where("r = 0").select("doc_id", "element_index", "c", fam.alias("family"))
+    return cells_of(elements(spark, d, "kind", "rows")).where("r = 0").select("doc_id", "element_index", "c", fam.alias("family"))
 
 
 @query("AGG-28 ORD-7 AGG-31", """
@@ -361,14 +392,22 @@ def token_similarity(spark, d):
     return a.join(b, ["b", "category"]).select("a", "b", F.round(X.jaccard(F.col("ta"), F.col("tb")), 6).alias("jaccard"), F.round(X.token_f1(F.col("ta"), F.col("tb")), 6).alias("f1"))
 
 
-@query("FUN-A6", f"""
-WITH {HEAD}, one AS (SELECT n.doc_id, n.element_index, n.r - h.n_head AS k, list(trim(n.text) ORDER BY n.c) AS t FROM num n JOIN head h USING (doc_id, element_index) WHERE n.r >= h.n_head AND n.c = 0 GROUP BY 1, 2, 3),
- ok AS (SELECT doc_id, element_index FROM one GROUP BY 1, 2 HAVING count(*) = count(DISTINCT t[1]) AND min(length(t[1])) > 0 AND NOT bool_and(regexp_full_match(t[1], '[0-9.,]+')))
-SELECT doc_id, element_index, CAST(k AS INT) AS k, t[1] AS label FROM one JOIN ok USING (doc_id, element_index)""")
+def _label_sql() -> str:
+    """The labels column by column, as a list of parts a row; a column is passed over once all rows are told apart."""
+    named = "list_transform(parts, lambda p: array_to_string(p, ' / '))"
+    col = "list_transform(data, lambda r: trim(coalesce(r[c + 1], '')))"
+    number = "regexp_matches(x, '[0-9]') AND regexp_full_match(x, '[\\s0-9.,]{1,12}[%A-Za-zÀ-ỹ/()\\s]{0,10}')"
+    return f"""{HEAD}, base AS (SELECT tb.doc_id, tb.element_index, tb.rows[h.n_head + 1:] AS data, coalesce(list_max(list_transform(tb.rows[h.n_head + 1:], lambda x: len(x))), 0) AS w FROM tb JOIN head h USING (doc_id, element_index)),
+ step AS (WITH RECURSIVE s(doc_id, element_index, data, w, c, parts) AS (SELECT doc_id, element_index, data, w, 0, list_transform(data, lambda r: CAST([] AS VARCHAR[])) FROM base
+   UNION ALL SELECT doc_id, element_index, data, w, c + 1, CASE WHEN
+      (len(list_filter({col}, lambda x: x <> '')) > 0 AND len(list_filter({col}, lambda x: x <> '' AND NOT ({number}))) = 0) OR (len(list_filter({named}, lambda x: x = '')) = 0 AND len(list_distinct({named})) = len(parts)) OR coalesce(list_max(list_transform(parts, lambda p: len(p))), 0) >= 3
+      THEN parts ELSE list_transform(parts, lambda p, i: CASE WHEN trim(coalesce(data[i][c + 1], '')) = '' OR list_contains(p, trim(coalesce(data[i][c + 1], ''))) THEN p ELSE list_append(p, trim(coalesce(data[i][c + 1], ''))) END) END
+     FROM s WHERE c < w) SELECT * FROM s WHERE c = w),
+ lab AS (SELECT doc_id, element_index, CASE WHEN len(list_filter({named}, lambda x: x <> '')) = 0 THEN list_transform(data, lambda r: trim(coalesce(r[1], ''))) ELSE {named} END AS l FROM step)"""
+
+
+@query("FUN-A6", f"WITH {_label_sql()} SELECT doc_id, element_index, CAST(k - 1 AS INT) AS k, l[k] AS label FROM (SELECT doc_id, element_index, l, unnest(range(1, len(l) + 1)) AS k FROM lab)")
 def row_labels(spark, d):
-    """Labels that tell a table's rows apart; here those of tables whose first column does."""
-    e = elements(spark, d).where("kind = 'table' and size(rows) > 1").select("doc_id", "element_index", table_row_labels("rows").alias("l"))
-    x = e.select("doc_id", "element_index", F.posexplode("l").alias("k", "label"))
-    h = headed(elements(spark, d)).where("c = 0").where("r >= n_head").groupBy("doc_id", "element_index").agg(
-        F.count("*").alias("n"), F.countDistinct(F.trim("text")).alias("m"), F.min(F.length(F.trim("text"))).alias("s"), F.bool_and(F.trim("text").rlike("^[0-9.,]+$")).alias("nums"))
-    return x.join(h.where("n = m and s > 0 and not nums"), ["doc_id", "element_index"]).select("doc_id", "element_index", "k", "label")
+    """A label for each data row of every table, of as many columns as it takes to tell the rows apart."""
+    e = elements(spark, d, "kind", "rows").where("kind = 'table'")
+    return e.select("doc_id", "element_index", F.posexplode(R.row_labels(F.col("rows"))).alias("k", "label"))

@@ -66,10 +66,9 @@ def rule_outcomes(spark, d):
 
 @query("JOIN-1 AGG-33", """
 SELECT n_name AS doc_id, r.rule_id, CASE WHEN r.scope = 'system' THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS scope_key
-FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES ('A-1', 'system'), ('A-2', 'subsystem')) r(rule_id, scope) WHERE n_regionkey = 2 GROUP BY ALL""")
+FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES ('A-1', 'system'), ('A-2', 'subsystem')) r(rule_id, scope) GROUP BY ALL""")
 def scope_expand_rules(spark, d):
-    n = F.broadcast(t(spark, d, "nation"))
-    s = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("doc_id"), F.col("c_custkey").cast("string").alias("name"), F.lit(None).cast("string").alias("storage"))
+    s = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("doc_id"), F.col("c_custkey").cast("string").alias("name"), F.lit(None).cast("string").alias("storage"))
     return scope_instances([Rule("A-1", SYSTEM, check="1 == 1"), Rule("A-2", SUBSYSTEM, check="1 == 1")], s)
 
 
@@ -187,7 +186,7 @@ def noise_share(spark, d):
 
 
 # ---- labels ----
-LABEL = "l AS (SELECT item_id AS label_id, split AS dossier, vong AS round, category, ['DL-' || lpad(CAST(item_id % 30 + 1 AS VARCHAR), 2, '0'), 'DL-' || lpad(CAST(item_id * 7 % 30 + 1 AS VARCHAR), 2, '0')] AS refs, text FROM eval_items)"
+LABEL = "l AS (SELECT item_id AS label_id, 'HS-00-' || lpad(CAST(item_id % 16 AS VARCHAR), 6, '0') AS dossier, vong AS round, category, ['DT-' || lpad(CAST(item_id % 30 + 1 AS VARCHAR), 2, '0'), 'DT-' || lpad(CAST(item_id * 7 % 30 + 1 AS VARCHAR), 2, '0')] AS refs, text FROM eval_items)"
 
 
 def labels(spark, d):
@@ -208,8 +207,8 @@ def label_hits(labels, findings):
 
 
 @query("JOIN-10 AGG-10 AGG-11 RUL-19 SET-3", f"""
-WITH {LABEL}, {FIND}, c AS (SELECT DISTINCT rule_ref, bool_or(category = 'missing_info') OVER (PARTITION BY rule_ref) AS hard FROM f WHERE category <> 'pass_with_evidence' AND CAST(right(rule_ref, 2) AS INT) % 2 = 0),
- h AS (SELECT l.label_id, l.category, bool_or(c.rule_ref IS NOT NULL) AS hit, coalesce(bool_or(c.hard), false) AS hard FROM (SELECT label_id, category, unnest(refs) AS ref FROM l) l LEFT JOIN c ON c.rule_ref = l.ref GROUP BY 1, 2)
+WITH {LABEL}, {FIND}, c AS (SELECT doc_id, rule_ref, bool_or(category = 'missing_info') AS hard FROM f WHERE category <> 'pass_with_evidence' GROUP BY 1, 2),
+ h AS (SELECT l.label_id, l.category, bool_or(c.rule_ref IS NOT NULL) AS hit, coalesce(bool_or(c.hard), false) AS hard FROM (SELECT label_id, category, dossier, unnest(refs) AS ref FROM l) l LEFT JOIN c ON c.rule_ref = l.ref AND c.doc_id = l.dossier GROUP BY 1, 2)
 SELECT coalesce(category, 'all') AS category, CAST(count(*) AS BIGINT) AS labels, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN hard THEN 1.0 ELSE 0.0 END), 6) AS substantive
 FROM h GROUP BY ROLLUP (category)""")
 def label_hit_recall(spark, d):
@@ -349,38 +348,79 @@ def cited_sections_found(spark, d):
     return c.join(b, ["doc_id", "s"], "left").groupBy("doc_id").agg(F.count("*").alias("cited"), F.count("hit").alias("found"))
 
 
-@query("FUN-M1 FUN-M2 FUN-M3 FLT-9 FLT-10", """
-WITH r AS (SELECT DISTINCT value_id, gia_tri_nguyen_van AS x, regexp_extract(gia_tri_nguyen_van, '[-+]?[0-9][0-9.,\\s]*[0-9]|[0-9]') AS raw FROM gia_tri_so WHERE gia_tri_nguyen_van IS NOT NULL),
- b AS (SELECT *, regexp_replace(replace(raw, ' ', ''), '^[-+]+', '') AS body, CASE WHEN starts_with(raw, '-') THEN -1.0 ELSE 1.0 END AS sg FROM r),
- c AS (SELECT *, length(body) - length(replace(body, '.', '')) AS nd, length(body) - length(replace(body, ',', '')) AS nc, length(regexp_extract(body, '[.,]([0-9]*)$', 1)) AS tail FROM b WHERE raw <> ''),
- v AS (SELECT *, (nd + nc = 1 AND tail = 3 AND NOT starts_with(body, '0')) AS two,
-  CASE WHEN nd > 0 AND nc > 0 THEN CASE WHEN length(body) - instr(reverse(body), '.') > length(body) - instr(reverse(body), ',') THEN try_cast(replace(body, ',', '') AS DOUBLE) ELSE try_cast(replace(replace(body, '.', ''), ',', '.') AS DOUBLE) END
-   WHEN nd + nc = 0 THEN try_cast(body AS DOUBLE) WHEN nd > 1 OR nc > 1 THEN try_cast(regexp_replace(body, '[.,]', '', 'g') AS DOUBLE)
-   WHEN tail = 3 AND NOT starts_with(body, '0') AND nd = 1 THEN try_cast(replace(body, '.', '') AS DOUBLE) ELSE try_cast(replace(body, ',', '.') AS DOUBLE) END AS value FROM c)
-SELECT value_id, x, sg * value AS value, two OR (nd * nc = 0 AND (nd > 1 OR nc > 1) AND NOT regexp_full_match(body, '[0-9]+([.,][0-9]{3})+')) AS ambiguous,
- (trim(x) <> '' AND length(trim(x)) <= 30 AND NOT regexp_full_match(trim(x), '\\s*[0-9]+\\s*[-–—]\\s*[0-9]+\\s*') AND length(regexp_extract(trim(x), '^([^0-9]*)[0-9]', 1)) <= 6 AND regexp_matches(x, '[0-9]')) AS one_value FROM v WHERE value IS NOT NULL AND regexp_full_match(x, '[\\x20-\\x7eÀ-ỹ–]*')""")
+# numbers in SQL: digits and marks of other widths as plain ones, then the reading of the first number
+PLAIN = "translate({0}, '０１２３４５６７８９．，－＋％／（）' || chr(160) || chr(8194) || chr(8195) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8239) || chr(8287) || chr(12288), '0123456789.,-+%/()          ')"
+FIRST_NUMBER = r"'[-+]?[0-9][0-9.,\s]*[0-9]|[0-9]'"
+
+
+def number_sql(raw: str) -> tuple[str, str]:
+    """(value, whether the number can be read in another way) of a number as it is written."""
+    body = f"regexp_replace(replace({raw}, ' ', ''), '^[-+]+', '')"
+    sign = f"CASE WHEN starts_with(replace({raw}, ' ', ''), '-') THEN -1.0 ELSE 1.0 END"
+    nd, nc = (f"(length({body}) - length(replace({body}, '{m}', '')))" for m in ".,")
+    two = f"({nd} + {nc} = 1 AND length(regexp_extract({body}, '[.,]([0-9]*)$', 1)) = 3 AND NOT starts_with({body}, '0'))"
+    value = f"""{sign} * CASE WHEN {nd} > 0 AND {nc} > 0 THEN CASE WHEN instr(reverse({body}), '.') < instr(reverse({body}), ',') THEN try_cast(replace({body}, ',', '') AS DOUBLE) ELSE try_cast(replace(replace({body}, '.', ''), ',', '.') AS DOUBLE) END
+   WHEN {nd} > 1 OR {nc} > 1 THEN try_cast(regexp_replace({body}, '[.,]', '', 'g') AS DOUBLE) WHEN {two} AND {nd} = 1 THEN try_cast(replace({body}, '.', '') AS DOUBLE) ELSE try_cast(replace({body}, ',', '.') AS DOUBLE) END"""
+    return value, f"({two} OR ({nd} * {nc} = 0 AND ({nd} > 1 OR {nc} > 1) AND NOT regexp_full_match({body}, '[0-9]+([.,][0-9]{{3}})+')))"
+
+
+_VALUE, _TWO = number_sql("raw")
+
+
+@query("FUN-M1 FLT-9 FLT-10", f"""
+WITH r AS (SELECT DISTINCT value_id, gia_tri_nguyen_van AS x, {PLAIN.format("gia_tri_nguyen_van")} AS y FROM gia_tri_so WHERE gia_tri_nguyen_van IS NOT NULL), n AS (SELECT *, regexp_extract(y, {FIRST_NUMBER}) AS raw FROM r), v AS (SELECT *, {_VALUE} AS value, {_TWO} AS two FROM n)
+SELECT value_id, x, CASE WHEN raw <> '' THEN value END AS value, CASE WHEN raw <> '' AND value IS NOT NULL THEN two END AS ambiguous,
+ (trim(y) <> '' AND length(trim(y)) <= 30 AND NOT regexp_full_match(trim(y), '\\s*[0-9]+\\s*[-–—]\\s*[0-9]+\\s*') AND length(regexp_extract(trim(y), '^([^0-9]*)[0-9]', 1)) <= 6 AND regexp_matches(y, '[0-9]')) AS one_value FROM v""")
 def number_parse(spark, d):
-    """Raw entries read as numbers: the value, whether another reading is possible, whether the entry is one value at all."""
-    g = t(spark, d, "gia_tri_so").where("gia_tri_nguyen_van is not null").select("value_id", F.col("gia_tri_nguyen_van").alias("x")).distinct().where(F.col("x").rlike(r"^[\x20-\x7eÀ-ỹ–]*$"))
-    g = g.withColumn("p", N.parse_number(F.col("x"))).where("p is not null")
+    """Every raw entry read as a number: the value, whether another reading is possible, whether the entry is one value at
+    all. Entries without a number have none."""
+    g = t(spark, d, "gia_tri_so").where("gia_tri_nguyen_van is not null").select("value_id", F.col("gia_tri_nguyen_van").alias("x")).distinct()
+    g = g.withColumn("p", N.parse_number(F.col("x")))
     return g.select("value_id", "x", "p.value", "p.ambiguous", N.looks_like_value(F.col("x")).alias("one_value"))
 
 
-@query("FUN-M4 FUN-M5 FUN-M6 FUN-M7 FLT-11", """
-WITH x AS (SELECT DISTINCT number_id, try_cast(gia_tri_raw AS DOUBLE) AS v, trim(don_vi) AS u FROM so_lieu_anh WHERE regexp_full_match(gia_tri_raw, '[0-9]+') AND trim(don_vi) <> ''),
- a AS (SELECT alias, min(unit) AS unit, min(unit_group) AS grp, min(factor) AS factor, min(base_unit) AS base FROM units WHERE case_sensitive GROUP BY 1), b AS (SELECT lower(alias) AS alias, min(unit) AS unit, min(unit_group) AS grp, min(factor) AS factor, min(base_unit) AS base FROM units WHERE NOT case_sensitive GROUP BY 1)
-SELECT number_id, coalesce(a.unit, b.unit) AS unit, round(x.v * coalesce(a.factor, b.factor), 3) AS amount, CASE WHEN coalesce(a.unit, b.unit) IS NULL THEN 'unknown unit' WHEN coalesce(a.factor, b.factor) IS NULL THEN 'not convertible' ELSE coalesce(a.base, b.base) END AS base,
-  coalesce(x.v * coalesce(a.factor, b.factor) BETWEEN 1 AND 1e15, false) AS in_range FROM x LEFT JOIN a ON a.alias = x.u LEFT JOIN b ON b.alias = lower(x.u)""")
-def unit_convert(spark, d):
-    """Plain numbers with a unit in the base unit: an alias that minds case first, then a folded one; unknown units and units
-    without a factor are typed outcomes. The unit list is a fixed vocabulary and is broadcast."""
-    x = t(spark, d, "so_lieu_anh").where(F.col("gia_tri_raw").rlike("^[0-9]+$") & (F.trim("don_vi") != "")).select("number_id", F.col("gia_tri_raw").try_cast("double").alias("v"), F.trim("don_vi").alias("u")).distinct()
-    u = t(spark, d, "units")
-    one = lambda df, key, p: F.broadcast(df.groupBy(key.alias(p)).agg(F.min(F.struct("unit", "factor", "base_unit")).alias(p + "_x"), F.min("factor").alias(p + "_f")))
-    x = x.join(one(u.where("case_sensitive"), F.col("alias"), "a"), F.col("u") == F.col("a"), "left").join(one(u.where("not case_sensitive"), F.lower("alias"), "b"), F.lower("u") == F.col("b"), "left")
-    unit, f, base = F.coalesce("a_x.unit", "b_x.unit"), F.coalesce("a_f", "b_f"), F.coalesce("a_x.base_unit", "b_x.base_unit")
-    amount = F.col("v") * f
-    return x.select("number_id", unit.alias("unit"), F.round(amount, 3).alias("amount"), F.when(unit.isNull(), "unknown unit").when(f.isNull(), "not convertible").otherwise(base).alias("base"), F.coalesce(amount.between(1, 1e15), F.lit(False)).alias("in_range"))
+_EACH, _ = number_sql("n")
+
+
+@query("FUN-M2 FUN-M3", f"""
+WITH r AS (SELECT DISTINCT value_id, {PLAIN.format("gia_tri_nguyen_van")} AS y FROM gia_tri_so WHERE gia_tri_nguyen_van IS NOT NULL)
+SELECT value_id, list_transform(regexp_extract_all(y, {FIRST_NUMBER}), lambda n: {_EACH}) AS numbers, CASE WHEN contains(y, '%') THEN (list_transform(regexp_extract_all(y, {FIRST_NUMBER}), lambda n: {_EACH}))[1] / 100 ELSE (list_transform(regexp_extract_all(y, {FIRST_NUMBER}), lambda n: {_EACH}))[1] END AS ratio FROM r""")
+def numbers_and_percents(spark, d):
+    """All numbers of each entry, and its first one as a ratio where a percent sign is present."""
+    g = t(spark, d, "gia_tri_so").where("gia_tri_nguyen_van is not null").select("value_id", F.col("gia_tri_nguyen_van").alias("x")).distinct()
+    return g.select("value_id", N.all_numbers(F.col("x")).alias("numbers"), N.parse_percent(F.col("x")).alias("ratio"))
+
+
+VALUE_RULES = [
+    Rule("VAL-01", SUBSYSTEM, "critical", check="tai_dinh >= tai_trung_binh * peak", inputs=(Input("tai_dinh"), Input("tai_trung_binh"))),
+    Rule("VAL-02", SUBSYSTEM, "major", check="ram_moi_nut <= most_ram", applies_when="diem_cpu > 0", inputs=(Input("ram_moi_nut"), Input("diem_cpu", required=False, default=1.0))),
+    Rule("VAL-03", SUBSYSTEM, "minor", formula="tai_dinh / tai_trung_binh", compare_with="declared_ratio", tolerance=0.5, inputs=(Input("tai_dinh"), Input("tai_trung_binh"))),
+]
+VALUE_CONSTANTS = {"peak": 1.2, "most_ram": 2048.0, "declared_ratio": 2.0}
+
+
+@query("RUL-4 FUN-P1 FUN-P3", f"""
+WITH g AS (SELECT DISTINCT doc_id, coalesce(scope_key, '') AS scope_key, name, {PLAIN.format("gia_tri_nguyen_van")} AS y FROM gia_tri_so WHERE doc_id IS NOT NULL AND name IN ('tai_dinh', 'tai_trung_binh', 'ram_moi_nut', 'diem_cpu')),
+ n AS (SELECT *, coalesce(regexp_extract(y, {FIRST_NUMBER}), '') AS raw FROM g), v AS (SELECT doc_id, scope_key, name, CASE WHEN raw <> '' THEN {_VALUE} END AS v, raw <> '' AND {_TWO} AND {_VALUE} IS NOT NULL AS two FROM n),
+ o AS (SELECT doc_id, scope_key, name, min(v) AS v, bool_or(two) AS two, count(DISTINCT v) > 1 AS many FROM v GROUP BY 1, 2, 3),
+ p AS (SELECT doc_id, scope_key, name, v, two OR many AS amb FROM o WHERE v IS NOT NULL), keyed AS (SELECT DISTINCT doc_id, scope_key, name FROM o),
+ s AS (SELECT DISTINCT doc_id, scope_key FROM keyed WHERE scope_key <> ''),
+ x AS (SELECT s.doc_id, s.scope_key, {", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM keyed k WHERE k.doc_id = s.doc_id AND k.scope_key = s.scope_key AND k.name = '{n}') THEN (SELECT {{'v': v, 'amb': amb}} FROM p WHERE p.doc_id = s.doc_id AND p.scope_key = s.scope_key AND p.name = '{n}') ELSE (SELECT {{'v': v, 'amb': amb}} FROM p WHERE p.doc_id = s.doc_id AND p.scope_key = '' AND p.name = '{n}') END AS {a}" for n, a in (("tai_dinh", "a"), ("tai_trung_binh", "b"), ("ram_moi_nut", "c"), ("diem_cpu", "e")))} FROM s),
+ r AS (SELECT 'VAL-01' AS rule_id, CASE WHEN a IS NULL OR b IS NULL THEN 'missing' WHEN a.amb OR b.amb THEN 'ambiguous' WHEN a.v >= b.v * 1.2 THEN 'pass' ELSE 'violation' END AS st FROM x
+  UNION ALL SELECT 'VAL-02', CASE WHEN coalesce(e.v, 1.0) <= 0 THEN 'not_applicable' WHEN c IS NULL THEN 'missing' WHEN c.amb OR coalesce(e.amb, false) THEN 'ambiguous' WHEN c.v <= 2048 THEN 'pass' ELSE 'violation' END FROM x
+  UNION ALL SELECT 'VAL-03', CASE WHEN a IS NULL OR b IS NULL THEN 'missing' WHEN a.amb OR b.amb THEN 'ambiguous' WHEN b.v = 0 THEN 'undefined' WHEN a.v / b.v = 0 THEN 'violation' WHEN abs(a.v / b.v - 2) / abs(a.v / b.v) <= 0.5 THEN 'pass' ELSE 'violation' END FROM x)
+SELECT rule_id, CASE st WHEN 'missing' THEN 'not_evaluable' WHEN 'ambiguous' THEN 'not_evaluable' WHEN 'undefined' THEN 'not_evaluable' ELSE st END AS status, CASE st WHEN 'missing' THEN 'missing_info' WHEN 'ambiguous' THEN 'unverifiable' WHEN 'pass' THEN 'pass_with_evidence' WHEN 'violation' THEN CASE rule_id WHEN 'VAL-03' THEN 'wrong_formula' ELSE 'over_threshold' END END AS category, CAST(count(*) AS BIGINT) AS n
+FROM r GROUP BY ALL""")
+def value_outcomes(spark, d):
+    """Rules over the values as authors wrote them, with a default and constants: a number that can be read in two ways, or is
+    declared in several, leaves the rule unverifiable rather than passed or failed."""
+    g = t(spark, d, "gia_tri_so").where(F.col("doc_id").isNotNull() & F.col("name").isin("tai_dinh", "tai_trung_binh", "ram_moi_nut", "diem_cpu"))
+    g = g.select("doc_id", F.coalesce("scope_key", F.lit("")).alias("scope_key"), "name", N.parse_number(F.col("gia_tri_nguyen_van")).alias("p"))
+    g = g.groupBy("doc_id", "scope_key", "name").agg(F.min("p.value").alias("num"), F.max("p.value").alias("top"), F.bool_or("p.ambiguous").alias("two"))
+    p = g.select("doc_id", "scope_key", "name", F.lit("num").alias("kind"), "num", F.lit(None).cast("string").alias("str"), F.lit(None).cast("boolean").alias("bool"), (F.coalesce("two", F.lit(False)) | F.coalesce(F.col("num") < F.col("top"), F.lit(False))).alias("ambiguous"))
+    subs = p.where("scope_key <> ''").select("doc_id", F.col("scope_key").alias("name"), F.lit("").alias("storage")).distinct()
+    out = evaluate(VALUE_RULES, subs, p, VALUE_CONSTANTS)
+    return out.groupBy("rule_id", "status", "category").agg(F.count("*").alias("n"))
 
 
 @query("RUL-13 FUN-M16 FUN-M10", """

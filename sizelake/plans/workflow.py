@@ -6,12 +6,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sizelake.functions import text as X
+from sizelake.functions.json_walk import canonical_hash
 from sizelake.operators.matching import cascade, first_fit, rank_in_key, sequence_diff
+from sizelake.operators.review_sheets import review_labels
 from sizelake.operators.running import running
+from sizelake.plans.documents import WS, elements
 from sizelake.plans.registry import query
 from sizelake.sources.tables import table as t
 
-CONTENT = ["yeu_cau_bai_toan_content", "thong_tin_dau_vao_content", "mo_hinh_he_thong_content", "dinh_co_he_thong_content", "tong_hop_va_de_xuat_content"]
+CONTENT = [
+    "yeu_cau_bai_toan_content", "thong_tin_dau_vao_content", "mo_hinh_he_thong_content", "dinh_co_he_thong_content", "tong_hop_va_de_xuat_content",
+    "tonghop_admin_review", "yeu_cau_admin_review", "thong_tin_admin_review", "mohinh_admin_review", "dinhco_admin_review",
+]
 
 
 @query("JOIN-17", """
@@ -69,34 +75,50 @@ def revision_baseline_every_10(spark, d):
     return r.select("id", (F.floor((F.col("rank") - 1) / 11) + 1).alias("segment"), ((F.col("rank") - 1) % 11 == 0).alias("baseline"))
 
 
-@query("FUN-J2 SNK-10 FUN-J4", """
-WITH p AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS r, yeu_cau_bai_toan_content AS a, thong_tin_dau_vao_content AS b, mo_hinh_he_thong_content AS c, dinh_co_he_thong_content AS d, tong_hop_va_de_xuat_content AS e FROM (SELECT DISTINCT * FROM project_data)),
- j AS (SELECT x.project_id, unnest([{'f': 'yeu_cau_bai_toan_content', 'o': x.a, 'n': y.a}, {'f': 'thong_tin_dau_vao_content', 'o': x.b, 'n': y.b}, {'f': 'mo_hinh_he_thong_content', 'o': x.c, 'n': y.c}, {'f': 'dinh_co_he_thong_content', 'o': x.d, 'n': y.d}, {'f': 'tong_hop_va_de_xuat_content', 'o': x.e, 'n': y.e}]) AS u
-   FROM p x JOIN p y ON x.project_id = y.project_id AND x.r = 1 AND y.r = 2)
-SELECT project_id, u.f AS field, CASE WHEN u.o IS NULL THEN 'set' WHEN u.n IS NULL THEN 'cleared' ELSE 'changed' END AS change, md5(coalesce(u.n, u.o)) AS merged FROM j WHERE u.o IS DISTINCT FROM u.n""")
+def consecutive(df, key: str, order: str, columns: list[str]):
+    """(key, a, b, x, y) for each row of a key and the next one in order: their order values and their columns as structs. A
+    key may have any number of rows."""
+    r = rank_in_key(df.where(F.col(key).isNotNull()).select(key, order, *columns), [key], [order])
+    x = r.select(key, "rank", F.col(order).alias("a"), F.struct(*columns).alias("x"))
+    y = r.select(key, (F.col("rank") - 1).alias("rank"), F.col(order).alias("b"), F.struct(*columns).alias("y"))
+    return x.join(y, [key, "rank"]).drop("rank")
+
+
+NEXT = f"""p AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS r, {", ".join(CONTENT)} FROM (SELECT DISTINCT * FROM project_data WHERE project_id IS NOT NULL)),
+ j AS (SELECT x.project_id, y.id AS later, unnest([{", ".join(f"{{'f': '{c}', 'o': x.{c}, 'n': y.{c}}}" for c in CONTENT)}]) AS u FROM p x JOIN p y ON x.project_id = y.project_id AND y.r = x.r + 1)"""
+
+
+@query("FUN-J2 SNK-10 FUN-J4", f"""
+WITH {NEXT} SELECT project_id, later, u.f AS field, CASE WHEN u.o IS NULL THEN 'set' WHEN u.n IS NULL THEN 'cleared' ELSE 'changed' END AS change, md5(coalesce(u.n, u.o)) AS merged FROM j WHERE u.o IS DISTINCT FROM u.n""")
 def json_diff_fields(spark, d):
-    """Fields that differ between a project's two rows, and what a merge that never clears would hold."""
-    p = t(spark, d, "project_data").select("id", "project_id", *CONTENT).distinct()
-    two = p.groupBy("project_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
-    x = two.join(p.select(F.col("id").alias("a"), F.struct(*CONTENT).alias("x")), "a").join(p.select(F.col("id").alias("b"), F.struct(*CONTENT).alias("y")), "b")
-    u = x.select("project_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"x.{c}").alias("o"), F.col(f"y.{c}").alias("n")) for c in CONTENT])).alias("u")).select("project_id", "u.*")
+    """Fields that differ between each row of a project and the next, and what a merge that never clears would hold."""
+    x = consecutive(t(spark, d, "project_data").select("id", "project_id", *CONTENT).distinct(), "project_id", "id", CONTENT)
+    u = x.select("project_id", F.col("b").alias("later"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"x.{c}").alias("o"), F.col(f"y.{c}").alias("n")) for c in CONTENT])).alias("u")).select("project_id", "later", "u.*")
     change = F.when(F.col("o").isNull(), "set").when(F.col("n").isNull(), "cleared").otherwise("changed")
-    return u.where(~F.col("o").eqNullSafe(F.col("n"))).select("project_id", "field", change.alias("change"), F.md5(F.encode(F.coalesce("n", "o"), "UTF-8")).alias("merged"))
+    return u.where(~F.col("o").eqNullSafe(F.col("n"))).select("project_id", "later", "field", change.alias("change"), F.md5(F.encode(F.coalesce("n", "o"), "UTF-8")).alias("merged"))
 
 
 @query("SET-9")
 def version_diff(spark, d):
-    """How the sizing text of a project's two rows differs, in blocks of lines."""
+    """How the sizing text of each row of a project differs from that of the next, in blocks of lines."""
     p = t(spark, d, "project_data").select("id", "project_id", "dinh_co_he_thong_content").distinct()
-    two = p.groupBy("project_id").agg(F.min(F.struct("id", "dinh_co_he_thong_content")).alias("a"), F.max(F.struct("id", "dinh_co_he_thong_content")).alias("b")).where("a.id < b.id")
-    return two.select("project_id", sequence_diff(F.col("a.dinh_co_he_thong_content"), F.col("b.dinh_co_he_thong_content")).alias("x")).select("project_id", "x.*")
+    two = consecutive(p, "project_id", "id", ["dinh_co_he_thong_content"])
+    return two.select("project_id", "b", sequence_diff(F.col("x.dinh_co_he_thong_content"), F.col("y.dinh_co_he_thong_content")).alias("x")).select("project_id", F.col("b").alias("later"), "x.*")
 
 
-@query("SET-5")
+_J = "len(list_intersect(f.w, {0})) * 1.0 / len(list_distinct(list_concat(f.w, {0})))"
+
+
+@query("SET-5", f"""
+WITH RECURSIVE i AS (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY item_id) AS k, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda x: length(x) > 1)) AS w FROM eval_items),
+ g(category, k, item_id, own, firsts) AS (SELECT DISTINCT category, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(id BIGINT, w VARCHAR[])[]) FROM i
+  UNION ALL SELECT g.category, i.k, i.item_id, coalesce(list_filter(g.firsts, lambda f: {_J.format("i.w")} >= 0.6)[1].id, i.item_id),
+   CASE WHEN len(list_filter(g.firsts, lambda f: {_J.format("i.w")} >= 0.6)) > 0 THEN g.firsts ELSE list_append(g.firsts, {{'id': i.item_id, 'w': i.w}}) END FROM g JOIN i ON i.category = g.category AND i.k = g.k + 1)
+SELECT category, item_id, own AS first_item FROM g WHERE k > 0""")
 def first_fit_clusters(spark, d):
-    """Remarks of a category clustered in order by the words of the first of each cluster; 300 fixed items."""
+    """Remarks of a category clustered in order: each joins the first cluster whose first member has words alike."""
     i = t(spark, d, "eval_items").select("category", "item_id", X.tokens(F.col("text")).alias("w"))
-    return first_fit(i, "category", "item_id", "w", 0.35)
+    return first_fit(i, "category", "item_id", "w").withColumnRenamed("first", "first_item")
 
 
 def _pass(no: int, keys: str, left: str, right: str) -> str:
@@ -119,13 +141,15 @@ def cascade_pairs(spark, d):
 
 
 @query("FUN-J1 FUN-J3", """
-SELECT event_id, coalesce(props->>'$.k', '') AS k, md5(coalesce(props, '')) AS canonical FROM events WHERE event_type = 'error'""")
+WITH x AS (SELECT event_id, props, '{' || array_to_string(list_sort(list_transform(json_keys(props), lambda k: '"' || k || '":' || json_extract(props, '$."' || k || '"'))), ',') || '}' AS c FROM events)
+SELECT event_id, coalesce(props->>'$.k', '') AS k, CASE WHEN props IS NOT NULL THEN sha256(c) END AS canonical FROM x""")
 def json_path_fields(spark, d):
-    e = t(spark, d, "events").where("event_type = 'error'")
-    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), F.md5(F.encode(F.coalesce("props", F.lit("")), "UTF-8")).alias("canonical"))
+    """A field of each event's properties, and the hash of the properties in canonical form: keys in order, no blanks."""
+    e = t(spark, d, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("k"), canonical_hash(F.col("props")).alias("canonical"))
 
 
-@query("FUN-S10 SRC-22", """
+@query("FUN-S10", """
 WITH x AS (SELECT DISTINCT id, mo_hinh_he_thong_content AS c FROM project_data WHERE contains(mo_hinh_he_thong_content, '<'))
 SELECT id, CAST(len(regexp_extract_all(c, '<[a-zA-Z][^>]*>')) AS BIGINT) AS tags, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(c, '(?i)<br\\s*/?>|</p>|</div>|</li>|</tr>', '\n', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&hellip;', '…'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM x""")
 def html_to_text(spark, d):
@@ -174,22 +198,84 @@ def session_events(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("AGG-15 ORD-10 ORD-11 FLT-14", """
-WITH d AS (SELECT source, doc_id, loai, coalesce(strftime(modified, '%Y-%m-%d'), '9999-99-99') AS m FROM documents WHERE source IS NOT NULL), r AS (SELECT source, max(m) AS last FROM d WHERE loai = 'phieu_nhan_xet' AND m <> '9999-99-99' GROUP BY 1),
- k AS (SELECT d.*, r.last IS NULL OR d.m <= r.last AS ok FROM d LEFT JOIN r USING (source) WHERE loai <> 'phieu_nhan_xet'), f AS (SELECT source, bool_or(ok) AS any_ok FROM k GROUP BY 1)
-SELECT k.source, min_by(k.doc_id, (k.m, k.doc_id)) AS first_version, CAST(count(*) AS BIGINT) AS versions FROM k JOIN f USING (source) WHERE k.ok OR NOT f.any_ok GROUP BY 1""")
-def version_filter(spark, d):
-    """Versions of a dossier up to its last review, all of them if that leaves none, in order of date and id; undated last."""
+VERSIONS = """d AS (SELECT source, doc_id, loai, coalesce(strftime(modified, '%Y-%m-%d'), '9999-99-99') AS m FROM documents WHERE source IS NOT NULL), r AS (SELECT source, max(m) AS last FROM d WHERE loai = 'phieu_nhan_xet' AND m <> '9999-99-99' GROUP BY 1),
+ k AS (SELECT d.*, r.last IS NULL OR d.m = '9999-99-99' OR d.m <= r.last AS ok FROM d LEFT JOIN r USING (source) WHERE loai <> 'phieu_nhan_xet'), f AS (SELECT source, bool_or(ok) AS any_ok FROM k GROUP BY 1),
+ v AS (SELECT k.source, k.doc_id, k.m FROM k JOIN f USING (source) WHERE k.ok OR NOT f.any_ok)"""
+
+
+def versions(spark, d):
+    """(source, doc_id, m): versions of a dossier up to its last review, undated ones among them; all if that leaves none."""
     x = t(spark, d, "documents").where("source is not null").select("source", "doc_id", "loai", F.coalesce(F.date_format("modified", "yyyy-MM-dd"), F.lit("9999-99-99")).alias("m"))
-    agg = x.groupBy("source").agg(F.max(F.when((F.col("loai") == "phieu_nhan_xet") & (F.col("m") != "9999-99-99"), F.col("m"))).alias("last"))
-    v = x.where("loai <> 'phieu_nhan_xet'").join(agg, "source").withColumn("ok", F.col("last").isNull() | (F.col("m") <= F.col("last")))
-    one = lambda c: F.struct(F.min(F.when(c, F.struct("m", "doc_id")))["doc_id"].alias("first_version"), F.count(F.when(c, 1)).alias("versions"))
-    g = v.groupBy("source").agg(one(F.col("ok")).alias("a"), one(F.lit(True)).alias("b"))
-    pick = F.when(F.col("a.versions") > 0, F.col("a")).otherwise(F.col("b"))
-    return g.select("source", pick["first_version"].alias("first_version"), pick["versions"].alias("versions"))
+    last = x.groupBy("source").agg(F.max(F.when((F.col("loai") == "phieu_nhan_xet") & (F.col("m") != "9999-99-99"), F.col("m"))).alias("last"))
+    v = x.where("loai <> 'phieu_nhan_xet'").join(last, "source").withColumn("ok", F.col("last").isNull() | (F.col("m") == "9999-99-99") | (F.col("m") <= F.col("last")))
+    return v.join(v.groupBy("source").agg(F.bool_or("ok").alias("any_ok")), "source").where("ok or not any_ok").select("source", "doc_id", "m")
 
 
-@query("FUN-S13 FUN-S21 FUN-S4 FUN-S5 FLT-13 FLT-15", """
+@query("ORD-10 FLT-14", f"WITH {VERSIONS} SELECT source, min_by(doc_id, (m, doc_id)) AS first_version, CAST(count(*) AS BIGINT) AS versions FROM v GROUP BY 1")
+def version_filter(spark, d):
+    """The first of a dossier's versions, by date and id, undated last, and how many there are."""
+    return versions(spark, d).groupBy("source").agg(F.min(F.struct("m", "doc_id"))["doc_id"].alias("first_version"), F.count("*").alias("versions"))
+
+
+@query("ORD-11", f"""
+WITH {VERSIONS}, n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY m, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM v), q AS (SELECT source, CAST(unnest(range(1, max(vong) + 1)) AS INT) AS round FROM documents WHERE vong IS NOT NULL AND source IS NOT NULL GROUP BY source)
+SELECT q.source, q.round, n.doc_id FROM q JOIN n ON n.source = q.source AND n.k = least(q.round, n.n)""")
+def version_of_round(spark, d):
+    """The version that each round of review read: the n-th for round n, the last where there are fewer."""
+    v = rank_in_key(versions(spark, d), ["source"], ["m", "doc_id"])
+    n = v.groupBy("source").agg(F.count("*").alias("n"))
+    r = t(spark, d, "documents").where("vong is not null and source is not null").groupBy("source").agg(F.max("vong").alias("last"))
+    asked = r.join(n, "source").select("source", F.explode(F.sequence(F.lit(1), "last")).alias("round"), "n").withColumn("rank", F.least(F.col("round").cast("bigint"), "n"))
+    return asked.join(v.select("source", "rank", "doc_id"), ["source", "rank"]).select("source", "round", "doc_id")
+
+
+@query("AGG-15", """
+WITH c AS (SELECT loai, vong, count(*) AS n FROM documents WHERE vong IS NOT NULL GROUP BY 1, 2)
+SELECT loai, vong, CAST(n AS BIGINT) AS n, round(sum(n * vong) OVER (PARTITION BY loai) * 1.0 / sum(n) OVER (PARTITION BY loai), 6) AS mean FROM c""")
+def round_distribution(spark, d):
+    """How many documents of each kind are of each round, and the kind's mean round, from the counts."""
+    c = t(spark, d, "documents").where("vong is not null").groupBy("loai", "vong").agg(F.count("*").alias("n"))
+    w = W.partitionBy("loai")  # over the few counts
+    return c.select("loai", "vong", "n", F.round(F.sum(F.col("n") * F.col("vong")).over(w) / F.sum("n").over(w), 6).alias("mean"))
+
+
+# fixed values: words of procedure in the names of dossiers
+PROCEDURE = ("cap", "moi", "bo", "sung", "cấp", "mới", "bổ", "hệ", "thống", "he", "thong", "sizing", "tai", "nguyen", "tài", "nguyên")
+_NAMED = f"list_filter(regexp_split_to_array(trim(regexp_replace(lower(dossier), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN {PROCEDURE} AND NOT regexp_full_match(x, '[0-9]+'))"
+
+
+@query("FLT-15 FUN-S4", f"""
+WITH x AS (SELECT DISTINCT dossier_id, lower(trim(dau_moi_yeu_cau)) AS account, {_NAMED} AS w FROM eval_dossiers WHERE dossier_id IS NOT NULL AND dossier IS NOT NULL AND trim(dau_moi_yeu_cau) <> ''),
+ g AS (SELECT account, min_by(w, dossier_id) AS own FROM (SELECT account, dossier_id, min(w) AS w FROM x GROUP BY ALL) GROUP BY 1), k AS (SELECT x.account, x.dossier_id, list_has_any(x.w, g.own) AS hit FROM x JOIN g USING (account)), a AS (SELECT account, bool_or(hit) AS any_hit FROM k GROUP BY 1)
+SELECT DISTINCT account, dossier_id FROM k JOIN a USING (account) WHERE hit OR NOT any_hit""")
+def versions_by_words(spark, d):
+    """Of each account's dossiers those that share a word of substance with its first one; all where none does, as when that
+    one has no such word."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("dossier"), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: (F.length(w) > 1) & ~w.isin(*PROCEDURE) & ~w.rlike("^[0-9]+$"))
+    x = t(spark, d, "eval_dossiers").where("dossier_id is not null and dossier is not null and trim(dau_moi_yeu_cau) <> ''").select("dossier_id", F.lower(F.trim("dau_moi_yeu_cau")).alias("account"), words.alias("w")).distinct()
+    own = x.groupBy("account").agg(F.min(F.struct("dossier_id", "w"))["w"].alias("own"))
+    k = x.join(own, "account").select("account", "dossier_id", F.arrays_overlap("w", "own").alias("hit"))
+    a = k.groupBy("account").agg(F.bool_or("hit").alias("any_hit"))
+    return k.join(a, "account").where("hit or not any_hit").select("account", "dossier_id").distinct()
+
+
+# names of files as their authors make them
+FILE_NAMES = "list_extract(['20240710_', '', 'Copy of ', '2024-', 'bản sao của '], CAST(dossier_id % 5 AS INT) + 1) || lower(dossier) || list_extract(['_v2', ' (1)', '-final', '', ' ok'], CAST(dossier_id % 5 AS INT) + 1) || '.docx'"
+_END = "regexp_replace({0}, '[ _-]*(v[0-9]+([.][0-9]+)*|[(][0-9]+[)]|final|ok|new|[0-9]{{4,8}}|_[0-9]+)$', '')"
+
+
+@query("FUN-S13", f"""
+WITH x AS (SELECT DISTINCT dossier_id, {FILE_NAMES} AS name FROM eval_dossiers WHERE dossier IS NOT NULL AND dossier_id IS NOT NULL), s AS (SELECT *, regexp_replace(regexp_replace(lower(name), '[.][a-z0-9]{{2,5}}$', ''), '^([0-9]{{6,8}}[ _-]+|copy of |bản sao của )', '') AS b FROM x)
+SELECT dossier_id, name, trim(regexp_replace({_END.format(_END.format(_END.format("b")))}, '[ _-]+', ' ', 'g')) AS family FROM s""")
+def file_families(spark, d):
+    """Files by what their name says once dates, copy marks and version endings are gone."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("dossier_id") % 5).cast("int") + 1)
+    name = F.concat(pick(["20240710_", "", "Copy of ", "2024-", "bản sao của "]), F.lower("dossier"), pick(["_v2", " (1)", "-final", "", " ok"]), F.lit(".docx"))
+    x = t(spark, d, "eval_dossiers").where("dossier is not null and dossier_id is not null").select("dossier_id", name.alias("name")).distinct()
+    return x.select("dossier_id", "name", X.file_family(F.col("name")).alias("family"))
+
+
+@query("FUN-S5 FLT-13", """
 SELECT dossier_id, list_slice(list_filter(regexp_split_to_array(trim(regexp_replace(lower(dossier), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN ('cap', 'nang')), 1, 5) AS head,
  NOT (regexp_matches(lower(dossier), 'ung cuu|ứng cứu') OR starts_with(dossier, '~$')) AS wanted, split_part(dau_moi_yeu_cau, '@', 1) AS account FROM (SELECT DISTINCT dossier_id, dossier, dau_moi_yeu_cau FROM eval_dossiers)""")
 def dossier_names(spark, d):
@@ -201,7 +287,7 @@ def dossier_names(spark, d):
     return x.select("dossier_id", head.alias("head"), wanted.alias("wanted"), F.substring_index("dau_moi_yeu_cau", "@", 1).alias("account"))
 
 
-@query("SET-8 SET-10", """
+@query("SET-8", """
 SELECT category, CAST(count(*) FILTER (WHERE split = 'dev') AS BIGINT) AS dev, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS test, len(list_distinct(list(vong))) AS rounds FROM eval_items GROUP BY 1""")
 def split_membership(spark, d):
     i = t(spark, d, "eval_items")
@@ -214,9 +300,8 @@ WITH e AS (SELECT DISTINCT doc_id, element_index, kind, text FROM elements WHERE
 SELECT doc_id, element_index, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY element_index ROWS UNBOUNDED PRECEDING) AS lead FROM s""")
 def lead_carry(spark, d):
     """An opener is carried forward until a heading resets it."""
-    e = t(spark, d, "elements").where("doc_id is not null and element_index is not null").dropDuplicates(["doc_id", "element_index"]).select("doc_id", "element_index", "kind", "text")
     mark = F.when(F.col("kind") == "heading", F.lit("")).when(F.col("text").startswith("Xem mục"), F.substring("text", 1, 30))
-    return running(e, "doc_id", ["element_index"], lasts={"lead": mark}).select("doc_id", "element_index", "lead")
+    return running(elements(spark, d, mark.alias("mark")), "doc_id", ["element_index"], lasts={"lead": F.col("mark")}).select("doc_id", "element_index", "lead")
 
 
 @query("ORD-9 ORD-13 ORD-15", """
@@ -227,3 +312,40 @@ def reordered_summary(spark, d):
     b = t(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("best"))
     prio = F.when(F.col("c_nationkey") % 5 == 0, 1).when(F.col("c_nationkey") % 5 == 1, 2)
     return b.select("c_nationkey", "best", F.row_number().over(W.orderBy(prio.asc_nulls_last(), "c_nationkey")).cast("long").alias("place"))
+
+
+# what a review sheet says, line by line
+_PAGES = "list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(text, '[Tt]rang\\s*([0-9]+(\\s*,\\s*[0-9]+)*)', 1), lambda x: regexp_extract_all(x, '[0-9]+'))), lambda x: CAST(x AS INT))))"
+_ASK = "(^|[^\\p{L}])(bổ sung|sửa|làm rõ|lập|bỏ|cập nhật|giải thích|xem lại|không có|chưa có|không đúng|sai|tại sao|kiểm tra|đánh giá|áp dụng|trình bày|tính lại|tính toán lại)($|[^\\p{L}])"
+
+
+@query("SRC-14 FUN-S18 FUN-S12", f"""
+WITH l AS (SELECT doc_id, vong AS round, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, string_split(text, chr(10)) AS ls FROM documents WHERE loai = 'phieu_nhan_xet' AND text IS NOT NULL),
+ x AS (SELECT doc_id, round, n, regexp_replace(regexp_extract(ls[n], '(?s)^{WS[:-1]}*(.*)$', 1), '{WS[:-1]}+$', '') AS line FROM l), y AS (SELECT *, regexp_extract(line, '^([0-9]+)[.)]{WS}', 1) AS no, regexp_replace(line, '^[0-9]+[.)]{WS}', '') AS text FROM x WHERE line <> ''),
+ z AS (SELECT *, CASE WHEN regexp_matches(text, '^[(\\s-]*[Tt]rang\\s*[0-9]+(\\s*[,;]\\s*[0-9]+)*\\s*[):.]*$') OR regexp_full_match(text, '(?i)(nhận xét chung|nhận xét)\\s*:?\\s*')
+   OR ((regexp_matches(text, '^[Mm]ục\\s*[:.]|^[Mm]ục\\s+([IVX]+(\\.[0-9]+)*|[0-9]+(\\.[0-9]+)+)\\s*[:.]?\\s*.{{0,80}}$|^[Mm]ục\\s+\\S.{{0,60}}$|^[IVX]+\\s*\\.\\s+\\S|^[0-9]+(\\.[0-9]+)+\\s+[A-ZÀ-Ỹ].{{0,70}}$')) AND NOT regexp_matches(lower(text), '{_ASK}') AND NOT contains(text, '?')) THEN 'anchor'
+   WHEN ends_with(text, ':') THEN 'lead' ELSE 'request' END AS kind FROM y)
+SELECT doc_id, CAST(n - 1 AS INT) AS line_no, round, CASE WHEN no = '' THEN CAST(n AS VARCHAR) ELSE no END AS item, kind, {_PAGES} AS pages, list_filter(regexp_extract_all(text, '[Mm]ục\\s+([IVX]+(\\.[0-9]+)*|[0-9]+(\\.[0-9]+)+)', 1), lambda x: x <> '') AS sections,
+ CASE WHEN kind = 'request' THEN nullif(last_value(CASE kind WHEN 'lead' THEN text WHEN 'anchor' THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lead FROM z""")
+def review_atoms(spark, d):
+    """Every line of every review sheet: round, number, whether it points somewhere, opens what follows or asks for something,
+    the pages and sections that it names, and the opener that it stands under."""
+    x = t(spark, d, "documents").where("loai = 'phieu_nhan_xet' and text is not null").select("doc_id", F.col("vong").alias("round"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return review_labels(x, "doc_id", "line_no", "line").select("doc_id", "line_no", "round", "item", "kind", "pages", "sections", "lead")
+
+
+@query("FUN-S21 FUN-S4", """
+SELECT rule_id, name, split_part(rule_id, '-', 1) AS grp FROM (SELECT DISTINCT rule_id, name FROM rule_inputs)""")
+def rule_groups(spark, d):
+    r = t(spark, d, "rule_inputs").select("rule_id", "name").distinct()
+    return r.select("rule_id", "name", X.group_code(F.col("rule_id")).alias("grp"))
+
+
+@query("FUN-S19", """
+WITH e AS (SELECT DISTINCT doc_id, element_index, text FROM elements WHERE kind = 'paragraph' AND text <> '' AND doc_id IS NOT NULL AND element_index IS NOT NULL),
+ s AS (SELECT doc_id, element_index, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n+', chr(31), 'g'), '([.!?;])[ \\t\\x0b\\f\\r]+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: length(x) > 25) AS s FROM e)
+SELECT doc_id, element_index, CAST(len(s) AS INT) AS sentences, s[1] AS first FROM s""")
+def sentence_counts(spark, d):
+    """Sentences of each paragraph, short ones left out, and the first of them."""
+    e = elements(spark, d, "kind", "text").where("kind = 'paragraph' and text <> ''")
+    return e.select("doc_id", "element_index", X.sentences(F.col("text")).alias("s")).select("doc_id", "element_index", F.size("s").alias("sentences"), F.get("s", F.lit(0)).alias("first"))

@@ -119,7 +119,7 @@ def evaluate(rules: list[Rule], subsystems: DataFrame, params: DataFrame, consta
 
         here = F.col("rule_id") == r.rule_id
         why = r.blocked()
-        needed = sorted({i.name for i in r.inputs if i.required and i.default is None} | ({r.compare_with} if r.compare_with else set()))
+        needed = sorted(({i.name for i in r.inputs if i.required and i.default is None} | ({r.compare_with} if r.compare_with else set())) - set(constants))
         lost = F.filter(F.array(*map(F.lit, needed)), lambda n: ~F.map_contains_key("env", n)) if needed else F.array().cast("array<string>")
         if why:
             s, c = F.lit("not_evaluable"), F.lit("unverifiable") if r.lookup_missing else none

@@ -1,17 +1,25 @@
-"""Word documents as rows: a Python data source over the zip and its XML, with nothing but the standard library.
+"""Word documents as rows, read from the zip and its XML with nothing but the standard library.
 
-    spark.dataSource.register(DocxSource); spark.read.format("sizelake_docx").load("folder/*.docx")
+    documents(spark, "hdfs://.../folder")    # any file system that Spark reads: bytes come from its own file source
+    package_media(spark, "hdfs://.../folder")  # the image files of the packages, and whether anything refers to them
+    spark.dataSource.register(DocxSource); spark.read.format("sizelake_docx").load("folder/*.docx")  # files of this machine
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import os
+import posixpath
 import re
+import string
+import urllib.parse
 import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -22,38 +30,59 @@ SCHEMA = (
     "doc_id string, element_index int, kind string, text string, page int, section string, section_title string, level int, style string, rows array<array<string>>, "
     "image_refs array<struct<rid:string,target:string,alt:string,emu_w:bigint,emu_h:bigint>>, modified string"
 )
+_COLUMNS = ["doc_id", "element_index", "kind", "text", "page", "section", "section_title", "level", "style", "rows", "image_refs", "modified"]
 _HEADING_STYLE = re.compile(r"(?i)^heading\s*(\d)$")
 _NUMBERED = re.compile(r"^\s*((?:[IVXLC]+|\d+)(?:\.\d+)*)[.)]?\s+(?=\S)")
 
 
-@dataclass
-class Numbering:
-    """Counters of automatic lists: one by list and level; a level begins anew when a shallower one counts."""
+# fixed values: Roman numerals by weight
+_ROMAN = {1000: "M", 900: "CM", 500: "D", 400: "CD", 100: "C", 90: "XC", 50: "L", 40: "XL", 10: "X", 9: "IX", 5: "V", 4: "IV", 1: "I"}
 
-    formats: dict = field(default_factory=dict)
-    counts: dict = field(default_factory=dict)
 
-    def label(self, num_id: str, level: int) -> str:
-        for k in [k for k in self.counts if k[0] == num_id and k[1] > level]:
-            del self.counts[k]
-        self.counts[num_id, level] = self.counts.get((num_id, level), 0) + 1
-        return ".".join(number_text(self.counts.get((num_id, k), 1), self.formats.get((num_id, k), "decimal")) for k in range(level + 1))
+def _roman(n: int) -> str:
+    weight = next((w for w in _ROMAN if w <= n), None)
+    return "" if weight is None else _ROMAN[weight] + _roman(n - weight)
+
+
+def _letters(n: int) -> str:
+    """a to z, then aa, ab and on."""
+    return "" if n < 1 else _letters((n - 1) // 26) + string.ascii_lowercase[(n - 1) % 26]
+
+
+_WRITTEN = {"upperRoman": _roman, "lowerRoman": lambda n: _roman(n).lower(), "upperLetter": lambda n: _letters(n).upper(), "lowerLetter": _letters, "none": lambda n: ""}
 
 
 def number_text(n: int, form: str) -> str:
-    if form in ("upperRoman", "lowerRoman"):
-        out = ""
-        for v, s in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-            while n >= v:
-                out, n = out + s, n - v
-        return out if form == "upperRoman" else out.lower()
-    if form in ("upperLetter", "lowerLetter"):
-        out = ""
-        while n > 0:
-            n, r = divmod(n - 1, 26)
-            out = chr(97 + r) + out
-        return out.upper() if form == "upperLetter" else out
-    return str(n)
+    """n as the list format writes it; a format without a sign of its own is decimal."""
+    return _WRITTEN.get(form, str)(n)
+
+
+@dataclass(frozen=True)
+class Level:
+    form: str = "decimal"
+    start: int = 1
+
+
+@dataclass
+class Numbering:
+    """Automatic lists: their levels, and for each list how far it has counted, outermost level first.
+
+    A list's place is a list of counts as long as the deepest level in use; counting on a level drops what is deeper, as the
+    standard has it. Levels that were passed over stand at their start."""
+
+    lists: dict[str, dict[int, Level]] = field(default_factory=dict)
+    places: dict[str, list[int | None]] = field(default_factory=dict)
+
+    def label(self, num_id: str, level: int) -> str:
+        """The number of the next entry, levels joined by dots; empty for a list or level that is not defined."""
+        levels = self.lists.get(num_id, {})
+        if level not in levels:
+            return ""
+        place = (self.places.get(num_id, []) + [None] * (level + 1))[: level + 1]
+        place[level] = levels[level].start if place[level] is None else place[level] + 1
+        self.places[num_id] = place
+        shown = ((levels.get(k, Level()), n) for k, n in enumerate(place))
+        return ".".join(filter(None, (number_text(lv.start if n is None else n, lv.form) for lv, n in shown)))
 
 
 def _xml(z: zipfile.ZipFile, name: str):
@@ -64,21 +93,34 @@ def _xml(z: zipfile.ZipFile, name: str):
 
 
 def relationships(z: zipfile.ZipFile) -> dict[str, str]:
-    """rId → target of the images."""
+    """rId → the image's path within the package."""
     root = _xml(z, "word/_rels/document.xml.rels")
-    return {} if root is None else {e.get("Id"): e.get("Target") for e in root if (e.get("Type") or "").endswith("/image")}
+    if root is None:
+        return {}
+    targets = {e.get("Id"): e.get("Target") or "" for e in root if (e.get("Type") or "").endswith("/image")}
+    return {k: posixpath.normpath(v.lstrip("/") if v.startswith("/") else posixpath.join("word", v)) for k, v in targets.items()}
+
+
+def media(z: zipfile.ZipFile) -> dict[str, bytes]:
+    """The image files of the package by path, whether or not anything refers to them."""
+    return {n: z.read(n) for n in z.namelist() if n.startswith("word/media/") and not n.endswith("/")}
+
+
+def _val(node, tag: str, otherwise: str | None = None) -> str | None:
+    """The value of a child such as <w:start w:val="3"/>."""
+    child = node.find(W + tag) if node is not None else None
+    return otherwise if child is None else child.get(W + "val", otherwise)
 
 
 def numbering(z: zipfile.ZipFile) -> Numbering:
-    root, out = _xml(z, "word/numbering.xml"), Numbering()
+    root = _xml(z, "word/numbering.xml")
     if root is None:
-        return out
-    abstract = {a.get(W + "abstractNumId"): {int(v.get(W + "ilvl")): f.get(W + "val") for v in a.findall(W + "lvl") if (f := v.find(W + "numFmt")) is not None} for a in root.findall(W + "abstractNum")}
-    for n in root.findall(W + "num"):
-        ref = n.find(W + "abstractNumId")
-        for level, form in abstract.get(ref.get(W + "val") if ref is not None else "", {}).items():
-            out.formats[n.get(W + "numId"), level] = form
-    return out
+        return Numbering()
+    drawn = {
+        a.get(W + "abstractNumId"): {int(v.get(W + "ilvl", "0")): Level(_val(v, "numFmt", "decimal"), int(_val(v, "start", "1"))) for v in a.iter(W + "lvl")}
+        for a in root.iter(W + "abstractNum")
+    }
+    return Numbering({n.get(W + "numId"): drawn.get(_val(n, "abstractNumId"), {}) for n in root.iter(W + "num")})
 
 
 def modified(z: zipfile.ZipFile) -> str | None:
@@ -106,25 +148,29 @@ def _breaks(node) -> int:
     return n or sum(1 for b in node.iter(W + "br") if b.get(W + "type") == "page")
 
 
+def _spans(cell) -> tuple[int, bool]:
+    """How many columns a cell takes, and whether it goes on from the cell above."""
+    pr = cell.find(W + "tcPr")
+    wide = _val(pr, "gridSpan", "1")
+    merge = pr.find(W + "vMerge") if pr is not None else None
+    return max(1, int(wide)) if wide and wide.isdigit() else 1, merge is not None and merge.get(W + "val", "continue") == "continue"
+
+
 def table_grid(table) -> list[list[str]]:
-    """The table as a rectangle: a horizontal span repeats its text, a vertical continuation takes the text above."""
-    rows: list[list[str]] = []
-    for tr in table.findall(W + "tr"):
-        row: list[str] = []
+    """The table as a rectangle: a horizontal span repeats its text, a vertical continuation takes the text above. First the
+    cells are laid on (row, column), then the grid is read off."""
+    laid: dict[tuple[int, int], str] = {}
+    height = width = 0
+    for height, tr in enumerate(table.findall(W + "tr"), 1):
+        at = 0
         for tc in tr.findall(W + "tc"):
-            pr = tc.find(W + "tcPr")
-            span, merge = (pr.find(W + "gridSpan"), pr.find(W + "vMerge")) if pr is not None else (None, None)
-            text = "\n".join(t for p in tc.iter(W + "p") if (t := _text(p))).strip()
-            if merge is not None and (merge.get(W + "val") or "continue") == "continue" and rows and len(row) < len(rows[-1]):
-                text = rows[-1][len(row)]
-            try:
-                n = max(1, int(span.get(W + "val"))) if span is not None else 1
-            except (TypeError, ValueError):
-                n = 1
-            row += [text] * n
-        rows.append(row)
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
+            n, goes_on = _spans(tc)
+            own = "\n".join(filter(None, map(_text, tc.iter(W + "p")))).strip()
+            text = laid.get((height - 2, at), own) if goes_on else own
+            laid.update({(height - 1, c): text for c in range(at, at + n)})
+            at += n
+        width = max(width, at)
+    return [[laid.get((r, c), "") for c in range(width)] for r in range(height)]
 
 
 def _images(node, rels: dict[str, str]) -> list[dict]:
@@ -137,21 +183,27 @@ def _images(node, rels: dict[str, str]) -> list[dict]:
     return out
 
 
-def read_docx(path: str, doc_id: str | None = None) -> list[tuple]:
-    """The elements of a document in order, as tuples of SCHEMA."""
-    with zipfile.ZipFile(path) as z:
+def section_path(marks: list[str]) -> str:
+    """The full number of a heading from the marks above it and its own, outermost first. Word and authors show a part of it
+    only; a mark that begins with the mark right above loses that beginning."""
+    above = ["", *marks]
+    return ".".join(filter(None, (m.removeprefix(a + ".") if a else m for a, m in zip(above, marks, strict=False))))
+
+
+def read_docx(source, doc_id: str | None = None) -> list[tuple]:
+    """The elements of a document (a path or a file of bytes) in order, as tuples of SCHEMA."""
+    with zipfile.ZipFile(source) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(W + "body")
         rels, lists, when = relationships(z), numbering(z), modified(z)
         styles = _xml(z, "word/styles.xml")
     names = {} if styles is None else {s.get(W + "styleId"): n.get(W + "val") for s in styles.findall(W + "style") if (n := s.find(W + "name")) is not None}
-    doc = doc_id or os.path.splitext(os.path.basename(path))[0]
+    doc = doc_id or os.path.splitext(os.path.basename(source))[0]
     out: list[tuple] = []
-    page, breaks_seen, stack, title, seen_roman = 1, False, {}, "", False
+    page, breaks_seen, stack, title, section = 1, False, {}, "", ""
     for node in body if body is not None else ():
         n = _breaks(node)
         breaks_seen |= n > 0
         page += n
-        section = stack[max(stack)] if stack else ""
         if node.tag == W + "tbl":
             grid = table_grid(node)
             text = "\n".join(" | ".join(c for k, c in enumerate(r) if k == 0 or c != r[k - 1]) for r in grid)
@@ -164,23 +216,14 @@ def read_docx(path: str, doc_id: str | None = None) -> list[tuple]:
         style = names.get(sid.get(W + "val"), sid.get(W + "val")) if sid is not None else None
         text, images = _text(node).strip(), _images(node, rels)
         num = pr.find(W + "numPr") if pr is not None else None
-        label = ""
-        if num is not None and (nid := num.find(W + "numId")) is not None:
-            lvl = num.find(W + "ilvl")
-            label = lists.label(nid.get(W + "val"), int(lvl.get(W + "val")) if lvl is not None else 0)
+        in_list = _val(num, "numId")
+        label = lists.label(in_list, int(_val(num, "ilvl", "0"))) if in_list is not None else ""
         h = _HEADING_STYLE.match(style or "")
         typed = _NUMBERED.match(text)
         level = int(h[1]) if h else None
         if h and text:
-            mark = label or (typed[1] if typed else "")
-            if re.fullmatch(r"[IVXLC]+(?:\.\d+)*", mark):
-                seen_roman = True
-            for k in [k for k in stack if k >= level]:
-                del stack[k]
-            above = stack[max(stack)] if stack else ""
-            # a number that does not carry its chapter is put below it
-            stack[level] = f"{above}.{mark}" if above and mark and seen_roman and not mark.startswith(above) and not re.match(r"[IVXLC]", mark) else (mark or above)
-            title, section = text, stack[level]
+            stack = {k: v for k, v in stack.items() if k < level} | {level: label or (typed[1] if typed else "")}
+            title, section = text, section_path([stack[k] for k in sorted(stack)])
             out.append((doc, len(out), "heading", text, page, section, title, level, style, None, images, when))
         elif images and not text:
             out.append((doc, len(out), "image", None, page, section, title, None, style, None, images, when))
@@ -189,6 +232,52 @@ def read_docx(path: str, doc_id: str | None = None) -> list[tuple]:
     return out if breaks_seen else [(*r[:4], None, *r[5:]) for r in out]  # without any break pages are unknown
 
 
+def _files(spark, path: str, glob_filter: str = "*.docx"):
+    """(path, content) of the Word files below a folder of any file system; open copies are left out."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob_filter).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return f.where(~F.substring_index("path", "/", -1).startswith("~$") & ~F.substring_index("path", "/", -1).startswith("~%24"))
+
+
+def _name(path: str) -> str:
+    return os.path.splitext(os.path.basename(urllib.parse.unquote(path)))[0]
+
+
+def documents(spark, path: str):
+    """The elements of every Word file below `path`; a file that is no readable package has one row of kind 'unreadable'.
+    An empty folder gives no rows."""
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += read_docx(io.BytesIO(content), _name(p))
+                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                    rows.append((_name(p), 0, "unreadable", type(e).__name__, None, None, None, None, None, None, [], None))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return _files(spark, path).mapInPandas(read, SCHEMA)
+
+
+def package_media(spark, path: str):
+    """(doc_id, path, data, referenced): every image file of every package below `path`, with its bytes, and whether an
+    element refers to it. What nothing refers to stands, as a rule, in headers, footers or text boxes."""
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    used = {i["target"] for r in read_docx(io.BytesIO(content), "x") for i in r[10]}
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows += [(_name(p), n, data, n in used) for n, data in media(z).items()]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError):
+                    continue
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "data", "referenced"])
+
+    return _files(spark, path).mapInPandas(read, "doc_id string, path string, data binary, referenced boolean")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

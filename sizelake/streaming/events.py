@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sizelake.operators.matching import rank_in_key
+from sizelake.session import cut
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -35,50 +38,98 @@ def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def append_changes(batch: DataFrame, epoch: int, path: str, key: list[str], payload: list[str]) -> None:
-    """foreachBatch: appends the rows whose payload differs from the last one stored under their key. Saving the same rows
-    again, or the same batch, appends nothing."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def _drop_epochs(spark: SparkSession, folder: str, before: int) -> None:
+    """Takes away the states of batches that no repeat can need."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("epoch=") and int(name[6:]) < before:
+            fs.delete(f.getPath(), True)
+
+
+def append_changes(batch: DataFrame, epoch: int, path: str, key: list[str], payload: list[str], order: list[str] | None = None) -> None:
+    """foreachBatch: appends the rows whose payload differs from the one before under their key, within the batch (in `order`,
+    else by payload) as well as from batch to batch. The same rows or the same batch again append nothing.
+
+    Below `path` stand `changes`, which only grows, and `last/epoch=n`, the last payload's hash by key as of a batch; a batch
+    reads the newest of these only, not the history, and a batch that is repeated begins from the one before it. The state is
+    written after the changes, each batch in a place of its own, so that a batch broken off between is written over whole."""
     spark = batch.sparkSession
-    rows = batch.withColumn("__h", F.xxhash64(*payload))
-    try:
-        held = spark.read.parquet(path)
-    except Exception:  # nothing stored yet
-        held = None
-    if held is not None:
-        last = held.groupBy(*key).agg(F.max_by(F.xxhash64(*payload), "stored_at").alias("__last"))
-        rows = rows.join(last, key, "left").where(F.col("__last").isNull() | (F.col("__last") != F.col("__h"))).drop("__last")
-    rows.drop("__h").withColumn("stored_at", F.lit(epoch).cast("long")).write.mode("append").parquet(path)
+    rows = cut(batch.withColumn("__h", F.xxhash64(*payload)))
+    heads = f"{path}/last"
+    known = None
+    if _exists(spark, heads):
+        before = spark.read.parquet(heads).where(F.col("epoch") < epoch)
+        newest = before.agg(F.max("epoch")).first()[0]  # from the names of the folders
+        known = before.where(F.col("epoch") == newest).drop("epoch") if newest is not None else None
+    if known is None:
+        known = rows.select(*key, F.lit(None).cast("bigint").alias("__last")).limit(0)
+    place = rank_in_key(rows, key, [*(order or []), "__h"], "__at")
+    prev = place.select(*key, (F.col("__at") + 1).alias("__at"), F.col("__h").alias("__prev"))
+    same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    with_prev = place.alias("x").join(prev.alias("p"), same("x", "p", [*key, "__at"]), "left").select("x.*", "p.__prev")
+    seen = with_prev.alias("x").join(known.alias("k"), same("x", "k", key), "left").select("x.*", "k.__last")
+    changed = seen.where(~F.col("__h").eqNullSafe(F.coalesce("__prev", "__last")))
+    changed.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+    ends = place.groupBy(*key).agg(F.max_by("__h", "__at").alias("__last"))
+    kept = known.alias("k").join(ends.alias("e"), same("k", "e", key), "left_anti")
+    ends.unionByName(kept.select(*key, "__last")).write.mode("overwrite").parquet(f"{heads}/epoch={epoch}")
+    _drop_epochs(spark, heads, epoch - 1)
 
 
 class JobStates(StatefulProcessor):
     """Per job its state: waiting → running → done, failed or broken off. Events that don't fit the state are reported, not
-    applied; jobs left running for longer than ttl_ms of event time are broken off."""
+    applied. A job that is running is broken off once event time has gone on for ttl_ms behind its start: a timer is set when
+    it starts, and taken back when it ends."""
 
     NEXT = {None: {"waiting"}, "waiting": {"running", "broken"}, "running": {"done", "failed", "broken"}, "broken": {"waiting"}}
 
+    def __init__(self, ttl_ms: int = 3_600_000):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string, since timestamp")
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string, since timestamp, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None, None)
-        state, since, refused = held[0], held[1], 0
-        every = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        state, since, timer = self.state.get() if self.state.exists() else (None, None, None)
+        refused = 0
+        every = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
         for want, at in zip(every["event_type"], every["ts"], strict=True):
             if want in self.NEXT.get(state, set()):
-                state, since = want, at
+                state, since = want, at.to_pydatetime()
             else:
                 refused += 1
+        due = int(pd.Timestamp(since).timestamp() * 1000) + self.ttl_ms if state == "running" else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
         if state is not None:
-            self.state.update((state, since))
+            self.state.update((state, since, due))
         yield pd.DataFrame({"job": [key[0]], "state": [state], "since": [since], "refused": [refused]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, since, timer = self.state.get() if self.state.exists() else (None, None, None)
+        if state == "running" and timer == expiredTimerInfo.getExpiryTimeInMs():
+            self.state.update(("broken", since, None))
+            yield pd.DataFrame({"job": [key[0]], "state": ["broken"], "since": [since], "refused": [0]})
+
     def close(self) -> None:
         pass
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job, state, since, refused) after each micro-batch; events have user_id as the job."""
-    return events.groupBy("user_id").transformWithStateInPandas(JobStates(), "job bigint, state string, since timestamp, refused int", "Update", "None")
+def job_states(events: DataFrame, ttl_ms: int = 3_600_000, late: str = "0 seconds") -> DataFrame:
+    """(job, state, since, refused) after each micro-batch, and for jobs whose time is over; events have user_id as the job."""
+    e = events.withWatermark("ts", late)
+    return e.groupBy("user_id").transformWithStateInPandas(JobStates(ttl_ms), "job bigint, state string, since timestamp, refused int", "Update", "EventTime")
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

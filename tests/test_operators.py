@@ -58,7 +58,7 @@ def test_cascade(spark):
 
 def test_first_fit_and_diff(spark):
     df = spark.createDataFrame([("g", 1, ["a", "b"]), ("g", 2, ["a", "b", "c"]), ("g", 3, ["x"]), ("g", 4, ["a"]), ("h", 1, None)], "g string, o int, w array<string>")
-    assert {tuple(r) for r in first_fit(df, "g", "o", "w", 0.6).collect()} == {("g", 1, 0), ("g", 2, 0), ("g", 3, 1), ("g", 4, 2), ("h", 1, 0)}
+    assert {tuple(r) for r in first_fit(df, "g", "o", "w", 0.6).collect()} == {("g", 1, 1), ("g", 2, 1), ("g", 3, 3), ("g", 4, 4), ("h", 1, 1)}
     r = spark.createDataFrame([("a\nb\nc", "a\nx\nc\nd"), (None, "a"), ("", "")], "a string, b string").select(sequence_diff("a", "b").alias("d")).select("d.*").collect()
     assert (r[0].replaced, r[0].inserted, r[0].deleted) == (1, 1, 0) and r[1].ratio is None and r[2].ratio == 1.0
     assert balanced([("a", 5), ("b", 4), ("c", 3)], ["x", "y"]) == {"a": "x", "b": "y", "c": "y"}
@@ -66,7 +66,7 @@ def test_first_fit_and_diff(spark):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", "x|y\nz"), ("a", None)], "k string, v string")
-    assert sinks.markdown_table(df, ["k"]).splitlines()[2:] == ["| a |  |", "| b | x/y z |"]
+    assert sinks.markdown_table(df, ["k"]).splitlines()[2:] == ["| a |  |", "| b | x\\|y z |"]
     with pytest.raises(ValueError):
         sinks.markdown_table(df, ["k"], most=1)
     assert [tuple(r) for r in sinks.upsert(df, spark.createDataFrame([("a", "new"), ("b", None), ("c", "n")], "k string, v string"), "k").orderBy("k").collect()] == [("a", "new"), ("b", "x|y\nz"), ("c", "n")]
@@ -103,23 +103,107 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_append_changes(spark, tmp_path):
     path = str(tmp_path / "log")
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    for epoch in (0, 1):
-        S.append_changes(df, epoch, path, ["k"], ["v"])
-    assert spark.read.parquet(path).count() == 2
-    S.append_changes(spark.createDataFrame([(1, "c"), (2, "b")], "k int, v string"), 2, path, ["k"], ["v"])
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (1, "c"), (2, "b")]
+    log = lambda: [(r.k, r.v) for r in spark.read.parquet(f"{path}/changes").collect()]
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string, n int")
+    df = rows((1, "a", 1), (2, "b", 1), (None, "z", 1))
+    for epoch in (0, 1, 1):
+        S.append_changes(df, epoch, path, ["k"], ["v"], ["n"])
+        assert spark.read.parquet(f"{path}/changes").count() == 3
+    for _ in range(2):  # a batch that is repeated gives the same
+        S.append_changes(rows((1, "c", 1), (2, "b", 1), (3, "x", 1), (3, "x", 2), (3, None, 3), (3, "x", 4)), 2, path, ["k"], ["v"], ["n"])
+        assert sorted(map(str, log())) == sorted(map(str, [(1, "a"), (1, "c"), (2, "b"), (None, "z"), (3, "x"), (3, None), (3, "x")]))
+    S.append_changes(rows((3, "x", 1), (1, "a", 1), (None, "z", 5)), 3, path, ["k"], ["v"], ["n"])
+    assert len(log()) == 8 and spark.read.parquet(f"{path}/last").select("epoch").distinct().count() == 2
+    S.append_changes(rows().limit(0), 4, path, ["k"], ["v"], ["n"])
+    assert len(log()) == 8 and spark.read.parquet(f"{path}/last").where("epoch = 4").count() == 4
 
 
 def test_job_states(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1)
     folder = tmp_path / "jobs"
     folder.mkdir()
-    for k, rows in enumerate(([(1, "waiting"), (1, "running"), (2, "done")], [(1, "done"), (1, "running"), (2, "waiting")])):
+    batches = ([(1, "waiting"), (1, "running"), (2, "done"), (3, "waiting"), (3, "running")], [(1, "done"), (1, "running"), (2, "waiting")], [(2, "running")], [(9, "waiting")])
+    for k, rows in enumerate(batches):
         pd.DataFrame([(k * 10 + i, t0 + datetime.timedelta(hours=k * 10 + i), j, s, 0.0, "") for i, (j, s) in enumerate(rows)], columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / f"events{k}.parquet")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        got = S.run_to_end(S.job_states(S.event_stream(spark, str(folder))), "jobs", "update", str(tmp_path / "cj")).collect()
+        got = S.run_to_end(S.job_states(S.event_stream(spark, str(folder)), ttl_ms=12 * 3_600_000), "jobs", "update", str(tmp_path / "cj")).collect()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert [(r.state, r.refused) for r in got if r.job == 1] == [("running", 0), ("done", 1)] and [(r.state, r.refused) for r in got if r.job == 2] == [(None, 1), ("waiting", 0)]
+    of = lambda j: [(r.state, r.refused) for r in got if r.job == j]
+    assert of(1) == [("running", 0), ("done", 1)] and of(2)[:2] == [(None, 1), ("waiting", 0)] and of(2)[2] == ("running", 0)
+    assert of(3) == [("running", 0), ("broken", 0)]  # its timer ran out
+
+
+def test_retries_claims_cache(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t0, 1), (2, t0, 3), (3, t0, 4), (4, t0, None), (5, None, 1)], "id int, at timestamp, n int")
+    got = {r.id: (r.state, r.s) for r in sinks.retries(df, "at", "n").select("id", "state", (F.unix_millis("next_at") - F.unix_millis("at")).alias("s")).collect()}
+    assert got == {1: ("retry", 5000), 2: ("retry", 20000), 3: ("given up", None), 4: ("retry", 5000), 5: ("retry", None)}
+    (tmp_path / "waiting-a").write_text("x")
+    assert sinks.claim(spark, str(tmp_path), "a") and not sinks.claim(spark, str(tmp_path), "a") and not sinks.claim(spark, str(tmp_path), "b")
+    now = [0.0]
+    c = sinks.ResultCache(10, 2, lambda: now[0])
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert c.get("projects/1", make).count() == 3 and c.get("projects/1", make) and len(made) == 1
+    now[0] = 11.0
+    c.get("projects/1", make)
+    c.get("projects/2", make)
+    c.get("users", make)
+    assert len(made) == 4 and len(c.held) == 2
+    c.invalidate("projects")
+    assert list(c.held) == ["users"]
+
+
+def test_jdbc(spark, tmp_path):
+    from sizelake.sources import jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id int, name string")
+    jdbc.write_table(df, url, "PARTS", "overwrite")
+    got = jdbc.read_table(spark, url, "PARTS", "id", 4)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r.name for r in got.where("id >= 48").collect()) == ["n48", "n49"]
+    assert jdbc.read_table(spark, url, "PARTS").count() == 50
+    jdbc.write_table(df.limit(0), url, "NONE", "overwrite")
+    assert jdbc.read_table(spark, url, "NONE", "id", 4).count() == 0
+
+
+def test_review_sheets(spark):
+    from sizelake.operators.review_sheets import review_sheets
+
+    t = lambda *rows: [list(r) for r in rows]
+    e = [
+        ("d", 0, "table", None, t(("Mã PYC", "IT-1"), ("Đơn vị", "A"), ("", "x"))), ("d", 1, "paragraph", "NHẬN XÉT LẦN 2", None),
+        ("d", 2, "table", None, t(("STT", "Nhận xét", "Phản hồi"), ("1", "Mục IV.1: Định cỡ\nBổ sung sở cứ trang 3, 12", "ok"), ("", "Định cỡ máy chủ Redis:", ""), ("3", "Công thức không đúng?\n\nTrang 9", None))),
+        ("d", 3, "table", None, t(("x", "y"),)), ("e", 0, "table", None, t(("STT", "Nhận xét"), ("1", "Kiểm tra lại mục II.3"))), ("e", 1, "paragraph", None, None),
+    ]
+    info, labels = review_sheets(spark.createDataFrame(e, "doc_id string, element_index int, kind string, text string, rows array<array<string>>"))
+    assert sorted(tuple(r) for r in info.collect()) == [("d", "Mã PYC", "IT-1"), ("d", "Đơn vị", "A")]
+    got = [(r.doc_id, r["round"], r.item, r.kind, r.text, r.pages, r.sections, r.lead) for r in labels.orderBy("doc_id", "element_index", "row", "atom").collect()]
+    assert got == [
+        ("d", 2, "1", "anchor", "Mục IV.1: Định cỡ", [], ["IV.1"], None), ("d", 2, "1", "request", "Bổ sung sở cứ trang 3, 12", [3, 12], [], None), ("d", 2, "2", "lead", "Định cỡ máy chủ Redis:", [], [], None),
+        ("d", 2, "3", "request", "Công thức không đúng?", [], [], "Định cỡ máy chủ Redis:"), ("d", 2, "3", "anchor", "Trang 9", [9], [], None), ("e", None, "1", "request", "Kiểm tra lại mục II.3", [], ["II.3"], None),
+    ]
+
+
+def test_first_fit_against_plain(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice("ab"), i, [f"w{r.randrange(9)}" for _ in range(r.randrange(0, 6))] if i % 13 else None) for i in range(150)]
+    want = {}
+    for g in "ab":
+        firsts = []
+        for _, i, w in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+            s = set(w or [])
+            hit = next((o for o, f in firsts if (not s and not f) or (s | f and len(s & f) / len(s | f) >= 0.6)), None)
+            if hit is None:
+                firsts.append((i, s))
+            want[g, i] = i if hit is None else hit
+    got = {(x.g, x.o): x["first"] for x in first_fit(spark.createDataFrame(rows, "g string, o int, w array<string>"), "g", "o", "w").collect()}
+    assert got == want

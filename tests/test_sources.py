@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from sizelake.sources import files
-from sizelake.sources.docx import DocxSource, Numbering, number_text, read_docx, table_grid
+from sizelake.sources.docx import DocxSource, Level, Numbering, documents, number_text, package_media, read_docx, section_path, table_grid
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
 
@@ -40,7 +40,7 @@ def test_read_docx(tmp_path):
     e = read_docx(str(tmp_path / "a.docx"))
     assert [(x[2], x[4], x[5]) for x in e] == [("paragraph", 1, ""), ("heading", 1, "IV"), ("heading", 1, "IV.1"), ("table", 1, "IV.1"), ("paragraph", 2, "IV.1"), ("image", 2, "IV.1"), ("heading", 2, "V")]
     assert e[3][9] == [["CPU", "CPU", "RAM"], ["a", "1", "2"], ["a", "3", ""]] and e[3][3].startswith("CPU | RAM\n")
-    assert e[5][10] == [{"rid": "rId5", "target": "media/image1.png", "alt": "alt", "emu_w": 900, "emu_h": 600}] and e[0][11] == "2024-05-06T07:08:09"
+    assert e[5][10] == [{"rid": "rId5", "target": "word/media/image1.png", "alt": "alt", "emu_w": 900, "emu_h": 600}] and e[0][11] == "2024-05-06T07:08:09"
 
 
 def test_pages_unknown_and_numbering(tmp_path):
@@ -49,7 +49,30 @@ def test_pages_unknown_and_numbering(tmp_path):
     e = read_docx(str(tmp_path / "b.docx"))
     assert [x[5] for x in e] == ["I", "I.1", "I.2", "II", "II.1"] and {x[4] for x in e} == {None}
     assert [number_text(n, f) for n, f in ((4, "lowerRoman"), (28, "lowerLetter"), (3, "bullet"))] == ["iv", "ab", "3"]
-    assert Numbering().label("9", 1) == "1.1" and table_grid(__import__("xml.etree.ElementTree", fromlist=["x"]).fromstring(f"<w:tbl {NS}/>")) == []
+    assert Numbering().label("9", 1) == "" and table_grid(__import__("xml.etree.ElementTree", fromlist=["x"]).fromstring(f"<w:tbl {NS}/>")) == []
+
+
+def test_numbering_rules(tmp_path):
+    """Start values, levels without a sign, letters, lists that are not defined."""
+    n = Numbering({"5": {0: Level("decimal", 3), 1: Level("lowerLetter", 1), 2: Level("none", 1), 3: Level("decimal", 7)}})
+    assert [n.label("5", k) for k in (0, 1, 1, 2, 3, 3, 1, 0, 3)] == ["3", "3.a", "3.b", "3.b", "3.b.7", "3.b.8", "3.c", "4", "4.a.7"]
+    assert n.label("5", 8) == "" and n.label("6", 0) == "" and [number_text(k, "upperLetter") for k in (1, 26, 27, 52, 703)] == ["A", "Z", "AA", "AZ", "AAA"] and number_text(1994, "upperRoman") == "MCMXCIV"
+    assert [section_path(x) for x in (["IV", "1", "2"], ["IV", "IV.1", "IV.1.2"], ["", "4", "4.1"], ["II", "", "3"], ["1", "11"])] == ["IV.1.2", "IV.1.2", "4.1", "II.3", "1.11"]
+    num = f'<w:numbering {NS}><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:start w:val="4"/><w:numFmt w:val="upperRoman"/></w:lvl></w:abstractNum><w:num w:numId="3"><w:abstractNumId w:val="7"/></w:num></w:numbering>'
+    docx(tmp_path / "s.docx", p("Một", "Heading1", num=(3, 0)) + p("Hai", num=(8, 0)) + p("1.2 Ba", "Heading2"), num)
+    assert [(x[3], x[5]) for x in read_docx(str(tmp_path / "s.docx"))] == [("Một", "IV"), ("Hai", "IV"), ("1.2 Ba", "IV.1.2")]
+
+
+def test_any_file_system(spark, tmp_path):
+    docx(tmp_path / "d.docx", p("Một") + IMAGE)
+    docx(tmp_path / "~$d.docx", p("tạm"))
+    with zipfile.ZipFile(tmp_path / "d.docx", "a") as z:
+        z.writestr("word/media/image1.png", b"a")
+        z.writestr("word/media/image2.png", b"bc")
+    (tmp_path / "e.docx").write_bytes(b"no package")
+    rows = documents(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.kind) for r in rows) == [("d", "image"), ("d", "paragraph"), ("e", "unreadable")]
+    assert sorted((r.doc_id, r.path, bytes(r.data), r.referenced) for r in package_media(spark, str(tmp_path)).collect()) == [("d", "word/media/image1.png", b"a", True), ("d", "word/media/image2.png", b"bc", False)]
 
 
 def test_data_source(spark, tmp_path):
