@@ -2,8 +2,8 @@
 
 Rare n-gram seeds join documents to test items, then Smith-Waterman alignment over words scores whole, partial and edited
 copies. The seeds are chosen so that none is missed: of the n-grams in every window of `window` words of an item the one rarest
-in the corpus is a seed, so any `window` (7) consecutive words of an item that stand in a document hit a seed: every passage of 8 words, which alone
-makes a result, and copies with every eighth word edited.
+in the corpus is a seed, so any `window` (6) consecutive words of an item that stand in a document hit a seed: every passage of 8 words, which alone
+makes a result, and copies with every seventh word edited.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from sizelake.functions import unicode_forms as U
 from sizelake.session import cut
 
-GRAM, RUN, WINDOW = 4, 12, 7
-#: Held-out items are a fixed list; beyond this many words in all they must be checked in several calls.
-MOST_ITEM_WORDS = 20_000_000
+GRAM, RUN, WINDOW = 4, 12, 6
+#: Words of held-out items that are looked for in one pass over the documents.
+BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FOREIGN = re.compile(U.FOREIGN)
 _LOOKALIKE = str.maketrans(U.LOOKALIKES)
@@ -46,40 +46,136 @@ def words(text: str) -> list[bytes]:
     return text.encode("ascii", "ignore").translate(_SPLIT).split()
 
 
-_SHIFT = 1 << 20
-
-
-def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
-    """(score, start and end in the first, longest shared run) of the best local alignment of each pair of word-id arrays;
-    ids of 0 match nothing. Smith-Waterman, row by row for all pairs at once: a cell holds score and, below, how far from the
-    end the alignment began, so that the start comes along; gaps within a row are a running maximum. Ties go to the first
-    end, and there to the first start."""
-    if not pairs:
-        return []
-    p, n, m = len(pairs), max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
-    doc, item = np.zeros((p, n), dtype=np.int64), np.full((p, m), -1, dtype=np.int64)
-    for k, (a, b) in enumerate(pairs):
-        doc[k, : len(a)] = a
-        item[k, : len(b)] = b
-    fresh = _SHIFT - 1 - np.arange(n + 1, dtype=np.int64)  # score 0, begun here
-    h = np.broadcast_to(fresh, (p, n + 1)).copy()
-    ramp = np.arange(n + 1, dtype=np.int64) * (-GAP * _SHIFT)
-    best, at = np.zeros(p, dtype=np.int64), np.zeros(p, dtype=np.int64)
-    run, longest = np.zeros((p, n + 1), dtype=np.int32), np.zeros(p, dtype=np.int32)
-    every = np.arange(p)
+#: Cells of a row of the batch's matrices: as many as stay in a core's cache.
+BATCH_CELLS = 65_536
+#: A window longer than this is cut into overlapping ones.
+MOST_WINDOW = 4_096
+
+
+def _stacked(arrays: list[np.ndarray], empty: int, dtype) -> np.ndarray:
+    """The arrays as columns; what is not there is `empty`."""
+    out = np.full((max(map(len, arrays)), len(arrays)), empty, dtype=dtype)
+    for k, a in enumerate(arrays):
+        out[: len(a), k] = a
+    return out
+
+
+def _prefix_max(h: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running maximum down the columns, an array to write to): by doubling steps, each a sweep over the whole."""
+    step = 1
+    while step < len(h):
+        spare[:step] = h[:step]
+        np.maximum(h[step:], h[:-step], out=spare[step:])
+        h, spare = spare, h
+        step *= 2
+    return h, spare
+
+
+def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The score of the best local alignment of each pair of word-id arrays; ids of 0 match nothing. Smith-Waterman, a word of
+    the items at a time for all pairs and places of the texts at once; gaps in the text are a running maximum. The pairs lie
+    side by side in memory, so that every step is one sweep over short integers."""
+    doc, item = _stacked([a for a, _ in pairs], 0, np.int32), _stacked([b for _, b in pairs], -1, np.int32)
+    item[item == 0] = -1
+    (n, p), m = doc.shape, len(item)
+    small = np.int16 if (MATCH * m + n) < 32_000 else np.int32
+    h, spare, zero, ramp = *(np.zeros((n + 1, p), dtype=small) for _ in range(3)), (np.arange(n + 1) * -GAP).astype(small)[:, None]
+    diag, best = np.empty((n, p), dtype=small), np.zeros(p, dtype=small)
+    same = np.empty((n, p), dtype=bool)
     for j in range(m):
-        same = (doc == item[:, j : j + 1]) & (doc != 0)
-        row = np.maximum(h[:, :-1] + np.where(same, MATCH * _SHIFT, MISMATCH * _SHIFT), h[:, 1:] + GAP * _SHIFT)
-        full = np.concatenate((h[:, :1] * 0 + fresh[0], np.maximum(row, fresh[1:])), axis=1)
-        h = np.maximum(np.maximum.accumulate(full + ramp, axis=1) - ramp, fresh)
-        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
-        longest = np.maximum(longest, run.max(axis=1))
-        score = h >> 20
-        top = score.argmax(axis=1)
-        value = h[every, top]
-        better = (value >> 20) > (best >> 20)
+        np.equal(doc, item[j], out=same)
+        np.multiply(same, small(MATCH - MISMATCH), out=diag)
+        diag += h[:-1]
+        diag += small(MISMATCH)
+        h += small(GAP)
+        np.maximum(h[1:], diag, out=h[1:])
+        np.maximum(h, zero, out=h)
+        h += ramp
+        h, spare = _prefix_max(h, spare)
+        h -= ramp
+        np.maximum(best, h.max(axis=0), out=best)
+    return best.astype(np.int64)
+
+
+def placed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """(score, start and end in the first, longest shared run) of the best alignment of each pair: as `scores`, but a cell
+    holds, below its score, how early its alignment began, so that the start comes along. Of equal scores the one that ends
+    first in the item counts, there the one that ends first in the text, and of these the one that begins first."""
+    doc, item = _stacked([a for a, _ in pairs], 0, np.int32), _stacked([b for _, b in pairs], -1, np.int32)
+    item[item == 0] = -1
+    (n, p), m = doc.shape, len(item)
+    bits = int(n + 1).bit_length()
+    wide = np.int32 if (MATCH * m + n + 2) << bits < 2**31 - 1 else np.int64
+    unit, mask = wide(1 << bits), (1 << bits) - 1
+    fresh = (mask - np.arange(n + 1)).astype(wide)[:, None]  # score 0, begun here
+    ramp = (np.arange(n + 1) * -GAP).astype(wide)[:, None] * unit
+    begun = np.repeat(fresh, p, axis=1)
+    h, spare, best, at = begun.copy(), begun.copy(), np.zeros(p, dtype=wide), np.zeros(p, dtype=np.int64)
+    diag, same = np.empty((n, p), dtype=wide), np.empty((n, p), dtype=bool)
+    run, longest, every = np.zeros((n + 1, p), dtype=np.int16 if m < 32_000 else np.int32), np.zeros(p, dtype=np.int32), np.arange(p)
+    for j in range(m):
+        np.equal(doc, item[j], out=same)
+        np.multiply(same, wide(MATCH - MISMATCH) * unit, out=diag)
+        diag += h[:-1]
+        diag += wide(MISMATCH) * unit
+        h += wide(GAP) * unit
+        np.maximum(h[1:], diag, out=h[1:])
+        np.maximum(h, begun, out=h)
+        h += ramp
+        h, spare = _prefix_max(h, spare)
+        h -= ramp
+        np.maximum(h, begun, out=h)
+        run[1:] = (run[:-1] + 1) * same
+        np.maximum(longest, run.max(axis=0), out=longest)
+        # a score beaten on this word of the item: only there is its place looked for, the first that has it
+        peak = h.max(axis=0) >> bits
+        if not (peak > (best >> bits)).any():
+            continue
+        top = ((h >> bits) == peak).argmax(axis=0)
+        value = h[top, every]
+        better = (value >> bits) > (best >> bits)
         best, at = np.where(better, value, best), np.where(better, top, at)
-    return [(int(v >> 20), int(_SHIFT - 1 - (v & (_SHIFT - 1))) if v >> 20 else 0, int(e), int(r)) for v, e, r in zip(best, at, longest, strict=True)]
+    return [(int(v) >> bits, int(mask - (int(v) & mask)) if int(v) >> bits else 0, int(e), int(r)) for v, e, r in zip(best, at, longest, strict=True)]
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], least: int = 0) -> list[tuple[int, int, int, int] | None]:
+    """(score, start, end, longest run) of each pair, None where the score is below `least`: scores first, places only where
+    they are asked for. Pairs are taken in batches of like length and of bounded area."""
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    hits = []
+    for part in _batches(order, pairs):
+        got = scores([pairs[k] for k in part])
+        hits += [k for k, v in zip(part, got.tolist(), strict=True) if v >= least]
+    for part in _batches(hits, pairs):
+        for k, r in zip(part, placed([pairs[k] for k in part]), strict=True):
+            out[k] = r
+    return out
+
+
+def _batches(order: list[int], pairs) -> Iterator[list[int]]:
+    part: list[int] = []
+    for k in order:
+        if part and (len(pairs[k][0]) + 1) * (len(part) + 1) > BATCH_CELLS:
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
+def windows(spans: list[tuple[int, int]], item_words: int) -> list[tuple[int, int]]:
+    """The spans, long ones cut into windows that overlap so far that every alignment lies in one whole: it holds m words of
+    the item at most, and no more gaps than its matches pay for, 3 m words in all."""
+    out = []
+    over = 3 * item_words
+    size = max(MOST_WINDOW, 2 * over)
+    for lo, hi in spans:
+        while hi - lo > size:
+            out.append((lo, lo + size))
+            lo += size - over
+        out.append((lo, hi))
+    return out
 
 
 class Items:
@@ -136,29 +232,37 @@ class Items:
         return out
 
 
-def _collected(items: DataFrame) -> list[tuple[int, str]]:
-    t = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    size = t.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * MOST_ITEM_WORDS:
-        raise ValueError("too many held-out words for one call; check the items in parts")
-    return sorted((r["item_id"], r["text"]) for r in t.collect())
-
-
-def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW, least_score: int = MATCH * 8) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int = WINDOW, least_score: int = MATCH * 8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, item_words, doc_from, doc_to, longest_run): the best alignment of each document and item
     that share a seed, if it scores at least least_score.
 
-    All documents are read once, whole. Those with any gram of an item are written to the shared folder as word ids with
-    the places of the grams; on these rest the count of documents by gram, the choice of seeds and the alignment. No text is
-    shuffled. Null and empty texts hold nothing; repeated rows count once; items with several texts are separate; ties go to
-    the first alignment. Extra columns are not read."""
+    All documents are read, whole, once for each block of the items: a block is as many items as fit into `block_words` words,
+    which is what the driver and a task hold of them, and there may be any number of blocks. Documents with any gram of an
+    item are written to the shared folder as word ids with the places of the grams; on these rest the count of documents by
+    gram, the choice of seeds and the alignment. No text is shuffled. Null and empty texts hold nothing; repeated rows count
+    once; items with several texts are separate; ties go to the first alignment. Extra columns are not read."""
     spark = documents.sparkSession
-    rows = _collected(items)
-    schema = "doc_id bigint, item_id bigint, score int, item_words int, doc_from int, doc_to int, longest_run int"
-    if not rows:
-        return spark.createDataFrame([], schema)
-    held = Items(rows, gram, window)
+    known = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // (6 * block_words)))  # a word has about six signs
     docs = documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
+    found = spark.createDataFrame([], SCHEMA)
+    for k in range(blocks):
+        rows = sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
+        if rows:
+            found = found.unionByName(_block(docs, rows, gram, window, least_score))
+    # several places of a document, repeats of a row and several texts of an item id give one row, the best
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("score", F.col("item_words"), (-F.col("doc_from")).alias("f"), "doc_to")).alias("b"), F.max("longest_run").alias("longest_run")
+    ).select("doc_id", "item_id", "b.score", "b.item_words", (-F.col("b.f")).alias("doc_from"), "b.doc_to", "longest_run")
+
+
+SCHEMA = "doc_id bigint, item_id bigint, score int, item_words int, doc_from int, doc_to int, longest_run int"
+
+
+def _block(docs: DataFrame, rows: list[tuple[int, str]], gram: int, window: int, least_score: int) -> DataFrame:
+    """The alignments of the documents with the items of one block."""
+    held = Items(rows, gram, window)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -172,12 +276,13 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int
 
     hits = cut(docs.mapInPandas(look, "doc_id bigint, w binary, k array<bigint>, at array<int>"))
     counts = hits.select(F.explode(F.array_distinct("k")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    seeds = held.seeds({(r["k"] << 1) | 1: r["n"] for r in counts.collect()})  # as bounded as the items: at most one a word
+    seeds = held.seeds({(r["k"] << 1) | 1: r["n"] for r in counts.collect()})  # as bounded as the block: at most one a word
     keys = np.array(sorted(k >> 1 for k in seeds), dtype=np.int64)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            todo: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+            todo: list[tuple[int, int, int]] = []
+            pairs: list[tuple[np.ndarray, np.ndarray]] = []
             for doc, raw, k, at in zip(pdf["doc_id"], pdf["w"], pdf["k"], pdf["at"], strict=True):
                 k, at = np.asarray(k, dtype=np.int64), np.asarray(at)
                 i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
@@ -185,7 +290,7 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int
                 if not len(chosen):
                     continue
                 w = np.frombuffer(raw, dtype=np.int32)
-                spans: dict[int, list[list[int]]] = {}
+                spans: dict[int, list[tuple[int, int]]] = {}
                 for c in chosen.tolist():
                     p = int(at[c])
                     for x, place in seeds[(int(k[c]) << 1) | 1]:
@@ -194,24 +299,20 @@ def leaks(documents: DataFrame, items: DataFrame, gram: int = GRAM, window: int
                         lo, hi = max(0, p - place - slack), min(len(w), p - place + m + slack)
                         own = spans.setdefault(x, [])
                         if own and own[-1][0] <= lo <= own[-1][1]:
-                            own[-1][1] = max(own[-1][1], hi)
+                            own[-1] = (own[-1][0], max(own[-1][1], hi))
                         else:
-                            own.append([lo, hi])
-                todo += [(doc, x, lo, w[lo:hi], held.items[x][1]) for x, own in spans.items() for lo, hi in own]
-            todo.sort(key=lambda t: len(t[3]))  # pairs of like size together
-            out = []
-            for s in range(0, len(todo), 128):
-                part = todo[s : s + 128]
-                for (doc, x, lo, _, iw), (score, a, e, longest) in zip(part, align_all([(t[3], t[4]) for t in part]), strict=True):
-                    if score >= least_score:
-                        out.append((doc, held.items[x][0], score, len(iw), lo + a, lo + e, longest))
+                            own.append((lo, hi))
+                for x, own in spans.items():
+                    for lo, hi in windows(own, len(held.items[x][1])):
+                        todo.append((doc, x, lo))
+                        pairs.append((w[lo:hi], held.items[x][1]))
+            out = [
+                (doc, held.items[x][0], r[0], len(held.items[x][1]), lo + r[1], lo + r[2], r[3])
+                for (doc, x, lo), r in zip(todo, align_all(pairs, least_score), strict=True) if r is not None
+            ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_words", "doc_from", "doc_to", "longest_run"])
 
-    found = hits.mapInPandas(align, schema)
-    # several places of a document, repeats of a row and several texts of an item id give one row, the best
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("score", F.col("item_words"), (-F.col("doc_from")).alias("f"), "doc_to")).alias("b"), F.max("longest_run").alias("longest_run")
-    ).select("doc_id", "item_id", "b.score", "b.item_words", (-F.col("b.f")).alias("doc_from"), "b.doc_to", "longest_run")
+    return hits.mapInPandas(align, SCHEMA)
 
 
 def _leaks(spark, folder: str) -> DataFrame:
