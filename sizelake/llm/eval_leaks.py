@@ -46,119 +46,136 @@ def words(text: str) -> list[bytes]:
     return text.encode("ascii", "ignore").translate(_SPLIT).split()
 
 
-#: Cells of a row of the batch's matrices: as many as stay in a core's cache.
-BATCH_CELLS = 65_536
+#: Words of items, over all pairs, that a batch of alignments holds: as many as stay in a core's cache.
+BATCH_WORDS = 262_144
+#: Pairs that a task gathers before it aligns them.
+MOST_PAIRS = 200_000
 #: A window longer than this is cut into overlapping ones.
 MOST_WINDOW = 4_096
 
 
-def _stacked(arrays: list[np.ndarray], empty: int, dtype) -> np.ndarray:
+def _stacked(arrays: list[np.ndarray], empty: int, dtype, backwards: bool = False) -> np.ndarray:
     """The arrays as columns; what is not there is `empty`."""
     out = np.full((max(map(len, arrays)), len(arrays)), empty, dtype=dtype)
     for k, a in enumerate(arrays):
         out[: len(a), k] = a
-    return out
+    return np.ascontiguousarray(out[::-1]) if backwards else out
+
+
+def _sides(pairs) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, last word first, and the items, a column a pair. Ids of 0 and what is padded match nothing."""
+    top = max(max((int(a.max(initial=0)) for a, _ in pairs), default=0), max((int(b.max(initial=0)) for _, b in pairs), default=0))
+    kind = np.uint16 if top < 65_535 else np.uint32
+    item = _stacked([b for _, b in pairs], np.iinfo(kind).max, kind)
+    item[item == 0] = np.iinfo(kind).max
+    return _stacked([a for a, _ in pairs], 0, kind, backwards=True), item
 
 
-def _prefix_max(h: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(running maximum down the columns, an array to write to): by doubling steps, each a sweep over the whole."""
-    step = 1
-    while step < len(h):
-        spare[:step] = h[:step]
-        np.maximum(h[step:], h[:-step], out=spare[step:])
-        h, spare = spare, h
-        step *= 2
-    return h, spare
+def _diagonals(n: int, m: int) -> Iterator[tuple[int, int, int]]:
+    """(d, lowest and highest place in the item) of the diagonals of a matrix of n by m; the place in the text is d less that
+    in the item, both from 1."""
+    for d in range(2, n + m + 1):
+        yield d, max(1, d - n), min(m, d - 1)
 
 
 def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The score of the best local alignment of each pair of word-id arrays; ids of 0 match nothing. Smith-Waterman, a word of
-    the items at a time for all pairs and places of the texts at once; gaps in the text are a running maximum. The pairs lie
-    side by side in memory, so that every step is one sweep over short integers."""
-    doc, item = _stacked([a for a, _ in pairs], 0, np.int32), _stacked([b for _, b in pairs], -1, np.int32)
-    item[item == 0] = -1
+    """The score of the best local alignment of each pair of word-id arrays. Smith-Waterman by diagonals: the cells of a
+    diagonal rest on the two before only, so that each is a few sweeps over all pairs at once, in the shortest integers that
+    hold the scores. Scores lie above a floor, so that a byte holds those of items of up to 120 words."""
+    doc, item = _sides(pairs)
     (n, p), m = doc.shape, len(item)
-    small = np.int16 if (MATCH * m + n) < 32_000 else np.int32
-    h, spare, zero, ramp = *(np.zeros((n + 1, p), dtype=small) for _ in range(3)), (np.arange(n + 1) * -GAP).astype(small)[:, None]
-    diag, best = np.empty((n, p), dtype=small), np.zeros(p, dtype=small)
-    same = np.empty((n, p), dtype=bool)
-    for j in range(m):
-        np.equal(doc, item[j], out=same)
-        np.multiply(same, small(MATCH - MISMATCH), out=diag)
-        diag += h[:-1]
-        diag += small(MISMATCH)
-        h += small(GAP)
-        np.maximum(h[1:], diag, out=h[1:])
-        np.maximum(h, zero, out=h)
-        h += ramp
-        h, spare = _prefix_max(h, spare)
-        h -= ramp
-        np.maximum(best, h.max(axis=0), out=best)
-    return best.astype(np.int64)
-
-
-def placed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
-    """(score, start and end in the first, longest shared run) of the best alignment of each pair: as `scores`, but a cell
-    holds, below its score, how early its alignment began, so that the start comes along. Of equal scores the one that ends
-    first in the item counts, there the one that ends first in the text, and of these the one that begins first."""
-    doc, item = _stacked([a for a, _ in pairs], 0, np.int32), _stacked([b for _, b in pairs], -1, np.int32)
-    item[item == 0] = -1
+    kind, floor = (np.int8, -126) if m <= 120 else (np.int16, 0) if m < 16_000 else (np.int32, 0)
+    ground = np.full((m + 1, p), floor, dtype=kind)
+    one, two, now = ground.copy(), ground.copy(), ground.copy()  # the diagonal before, the one before that, this one
+    same, best = np.empty((m, p), dtype=bool), ground[0].copy()
+    for d, lo, hi in _diagonals(n, m):
+        k = hi - lo + 1
+        eq, cell = same[:k], now[lo : hi + 1]
+        np.equal(doc[n - d + lo : n - d + hi + 1], item[lo - 1 : hi], out=eq)
+        np.multiply(eq.view(np.int8), kind(MATCH - MISMATCH), out=cell)
+        cell += two[lo - 1 : hi]
+        cell += kind(MISMATCH)
+        one += kind(GAP)
+        np.maximum(cell, one[lo : hi + 1], out=cell)
+        np.maximum(cell, one[lo - 1 : hi], out=cell)
+        np.maximum(cell, ground[:k], out=cell)
+        one -= kind(GAP)
+        np.maximum(best, cell.max(axis=0), out=best)
+        one, two, now = now, one, two
+    return best.astype(np.int64) - floor
+
+
+def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(score, start and end in the first, longest shared run) of the best alignment of each pair, whose scores are known: as
+    `scores`, but a cell holds, below its score, how early its alignment began, so that the start comes along, and cells that
+    reach the known score are looked up. Of several the one that ends first in the item counts, there the one that ends first
+    in the text, and of these the one that begins first."""
+    doc, item = _sides(pairs)
     (n, p), m = doc.shape, len(item)
     bits = int(n + 1).bit_length()
-    wide = np.int32 if (MATCH * m + n + 2) << bits < 2**31 - 1 else np.int64
-    unit, mask = wide(1 << bits), (1 << bits) - 1
-    fresh = (mask - np.arange(n + 1)).astype(wide)[:, None]  # score 0, begun here
-    ramp = (np.arange(n + 1) * -GAP).astype(wide)[:, None] * unit
-    begun = np.repeat(fresh, p, axis=1)
-    h, spare, best, at = begun.copy(), begun.copy(), np.zeros(p, dtype=wide), np.zeros(p, dtype=np.int64)
-    diag, same = np.empty((n, p), dtype=wide), np.empty((n, p), dtype=bool)
-    run, longest, every = np.zeros((n + 1, p), dtype=np.int16 if m < 32_000 else np.int32), np.zeros(p, dtype=np.int32), np.arange(p)
-    for j in range(m):
-        np.equal(doc, item[j], out=same)
-        np.multiply(same, wide(MATCH - MISMATCH) * unit, out=diag)
-        diag += h[:-1]
-        diag += wide(MISMATCH) * unit
-        h += wide(GAP) * unit
-        np.maximum(h[1:], diag, out=h[1:])
-        np.maximum(h, begun, out=h)
-        h += ramp
-        h, spare = _prefix_max(h, spare)
-        h -= ramp
-        np.maximum(h, begun, out=h)
-        run[1:] = (run[:-1] + 1) * same
-        np.maximum(longest, run.max(axis=0), out=longest)
-        # a score beaten on this word of the item: only there is its place looked for, the first that has it
-        peak = h.max(axis=0) >> bits
-        if not (peak > (best >> bits)).any():
-            continue
-        top = ((h >> bits) == peak).argmax(axis=0)
-        value = h[top, every]
-        better = (value >> bits) > (best >> bits)
-        best, at = np.where(better, value, best), np.where(better, top, at)
-    return [(int(v) >> bits, int(mask - (int(v) & mask)) if int(v) >> bits else 0, int(e), int(r)) for v, e, r in zip(best, at, longest, strict=True)]
+    kind = np.int32 if (MATCH * m + 4) << bits < 2**31 - 1 else np.int64
+    unit, mask = 1 << bits, (1 << bits) - 1
+    # score 0, begun at the cell's own place in the text: mask - (d - j)
+    fresh = np.repeat((mask - 1 + np.arange(m + 1)).astype(kind)[:, None], p, axis=1)  # as of the diagonal before the first
+    one, two, now = (np.full((m + 1, p), mask, dtype=kind) for _ in range(3))
+    short = np.int16 if m < 32_000 else np.int32
+    run1, run2, run = (np.zeros((m + 1, p), dtype=short) for _ in range(3))
+    same, longest = np.empty((m, p), dtype=bool), np.zeros(p, dtype=short)
+    goal = (known.astype(kind) << bits)[None, :]
+    reach = np.repeat(np.where(goal > 0, goal, np.iinfo(kind).max), m, axis=0).astype(kind)
+    found: list[tuple[int, int, int] | None] = [None] * p  # (place in the item, in the text, start)
+    one[0] = mask - 1
+    for d, lo, hi in _diagonals(n, m):
+        k = hi - lo + 1
+        eq, cell = same[:k], now[lo : hi + 1]
+        np.equal(doc[n - d + lo : n - d + hi + 1], item[lo - 1 : hi], out=eq)
+        np.multiply(eq, kind((MATCH - MISMATCH) * unit), out=cell)
+        cell += two[lo - 1 : hi]
+        cell += kind(MISMATCH * unit)
+        one += kind(GAP * unit)
+        np.maximum(cell, one[lo : hi + 1], out=cell)
+        np.maximum(cell, one[lo - 1 : hi], out=cell)
+        one -= kind(GAP * unit)
+        fresh -= kind(1)
+        np.maximum(cell, fresh[lo : hi + 1], out=cell)
+        now[0] = mask - d
+        np.multiply(run2[lo - 1 : hi] + short(1), eq, out=run[lo : hi + 1])
+        np.maximum(longest, run[lo : hi + 1].max(axis=0), out=longest)
+        np.greater_equal(cell, reach[:k], out=eq)
+        if eq.any():
+            for j, q in zip(*np.nonzero(eq), strict=True):
+                place = (lo + int(j), d - lo - int(j))
+                if found[q] is None or place < found[q][:2]:
+                    found[q] = (*place, mask - (int(cell[j, q]) & mask))
+        one, two, now = now, one, two
+        run1, run2, run = run, run1, run2
+    return [(int(v), f[2], f[1], int(r)) if f else (0, 0, 0, int(r)) for v, f, r in zip(known, found, longest, strict=True)]
 
 
 def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], least: int = 0) -> list[tuple[int, int, int, int] | None]:
     """(score, start, end, longest run) of each pair, None where the score is below `least`: scores first, places only where
-    they are asked for. Pairs are taken in batches of like length and of bounded area."""
+    they are asked for. Pairs are taken in batches of like length and of bounded size."""
     out: list = [None] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
-    hits = []
-    for part in _batches(order, pairs):
-        got = scores([pairs[k] for k in part])
-        hits += [k for k, v in zip(part, got.tolist(), strict=True) if v >= least]
-    for part in _batches(hits, pairs):
-        for k, r in zip(part, placed([pairs[k] for k in part]), strict=True):
+    best = np.zeros(len(pairs), dtype=np.int64)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][0]) // 8, len(pairs[k][1])))
+    for part in _batches(order, pairs, BATCH_WORDS):
+        best[part] = scores([pairs[k] for k in part])
+    for part in _batches([k for k in order if best[k] >= least], pairs, BATCH_WORDS // 4):
+        for k, r in zip(part, placed([pairs[k] for k in part], best[part]), strict=True):
             out[k] = r
+    if least <= 0:
+        out = [(0, 0, 0, 0) if r is None else r for r in out]
     return out
 
 
-def _batches(order: list[int], pairs) -> Iterator[list[int]]:
+def _batches(order: list[int], pairs, most: int) -> Iterator[list[int]]:
     part: list[int] = []
+    words = 0
     for k in order:
-        if part and (len(pairs[k][0]) + 1) * (len(part) + 1) > BATCH_CELLS:
+        words = max(words, len(pairs[k][1]), len(pairs[k][0]) // 8)
+        if part and words * (len(part) + 1) > most:
             yield part
-            part = []
+            part, words = [], max(len(pairs[k][1]), len(pairs[k][0]) // 8)
         part.append(k)
     if part:
         yield part
@@ -283,6 +300,15 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], gram: int, window: int,
         for pdf in batches:
             todo: list[tuple[int, int, int]] = []
             pairs: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple] = []
+
+            def flush(todo=todo, pairs=pairs, out=out):
+                for (doc, x, lo), r in zip(todo, align_all(pairs, least_score), strict=True):
+                    if r is not None:
+                        out.append((doc, held.items[x][0], r[0], len(held.items[x][1]), lo + r[1], lo + r[2], r[3]))
+                todo.clear()
+                pairs.clear()
+
             for doc, raw, k, at in zip(pdf["doc_id"], pdf["w"], pdf["k"], pdf["at"], strict=True):
                 k, at = np.asarray(k, dtype=np.int64), np.asarray(at)
                 i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
@@ -306,10 +332,9 @@ def _block(docs: DataFrame, rows: list[tuple[int, str]], gram: int, window: int,
                     for lo, hi in windows(own, len(held.items[x][1])):
                         todo.append((doc, x, lo))
                         pairs.append((w[lo:hi], held.items[x][1]))
-            out = [
-                (doc, held.items[x][0], r[0], len(held.items[x][1]), lo + r[1], lo + r[2], r[3])
-                for (doc, x, lo), r in zip(todo, align_all(pairs, least_score), strict=True) if r is not None
-            ]
+                if len(pairs) >= MOST_PAIRS:
+                    flush()
+            flush()
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "item_words", "doc_from", "doc_to", "longest_run"])
 
     return hits.mapInPandas(align, SCHEMA)
