@@ -113,7 +113,7 @@ def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> lis
     doc, item = _sides(pairs)
     (n, p), m = doc.shape, len(item)
     bits = int(n + 1).bit_length()
-    kind = np.int32 if (MATCH * m + 4) << bits < 2**31 - 1 else np.int64
+    kind = next(t for t in (np.int16, np.int32, np.int64) if (MATCH * m + 4) << bits < np.iinfo(t).max)
     unit, mask = 1 << bits, (1 << bits) - 1
     # score 0, begun at the cell's own place in the text: mask - (d - j)
     fresh = np.repeat((mask - 1 + np.arange(m + 1)).astype(kind)[:, None], p, axis=1)  # as of the diagonal before the first
