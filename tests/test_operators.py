@@ -169,8 +169,8 @@ def test_jdbc(spark, tmp_path):
     got = jdbc.read_table(spark, url, "PARTS", "id", 4)
     assert got.rdd.getNumPartitions() == 4 and sorted(r.name for r in got.where("id >= 48").collect()) == ["n48", "n49"]
     assert jdbc.read_table(spark, url, "PARTS").count() == 50
-    jdbc.write_table(df.limit(0), url, "NONE", "overwrite")
-    assert jdbc.read_table(spark, url, "NONE", "id", 4).count() == 0
+    jdbc.write_table(df.limit(0), url, "NO_PARTS", "overwrite")
+    assert jdbc.read_table(spark, url, "NO_PARTS", "id", 4).count() == 0
 
 
 def test_review_sheets(spark):
