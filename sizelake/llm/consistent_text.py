@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sizelake.functions.unicode_forms import DIRTY, FOREIGN, as_cyrillic, as_greek, as_latin, base_form, script
+from sizelake.functions.unicode_forms import DIRTY, FOREIGN, GREEK_IN_WORDS, as_cyrillic, as_greek, as_latin, base_form, script
 from sizelake.session import cut
 
 #: A token: a run of letters and marks that holds a letter of another script.
@@ -48,7 +48,7 @@ def _formed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def _words_of(tokens: set[str]) -> set[str]:
-    """The words, lower case and of one script, in blank-separated tokens."""
+    """The words, lower case and certainly of one script, in blank-separated tokens."""
     out: set[str] = set()
     for t in tokens:
         if t.isascii():
@@ -57,7 +57,8 @@ def _words_of(tokens: set[str]) -> set[str]:
         t = base_form(t)
         words = _WORD.findall(t.lower())
         if _FOREIGN_RE.search(t):
-            words = [w for w in words if len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1]
+            # words of two scripts are no evidence, nor are those that might be either
+            words = [w for w in words if not _FOREIGN_RE.search(w) or (len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1 and _FOREIGN_RE.search(as_latin(w)))]
         out.update(words)
     return out
 
@@ -79,8 +80,11 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def readings(token: str) -> list[str]:
     """The token in the scripts it could be written in, the dominant script first. Letters with a twin in the other script
     count for neither; a token of such letters only is taken for Latin first."""
+    letters = unicodedata.normalize("NFD", token)
+    if len(token) == 1 and token in GREEK_IN_WORDS:
+        return [token]  # a symbol, such as a coefficient: nobody takes it for a word
     n: dict[str, int] = {}
-    for c in unicodedata.normalize("NFD", token):
+    for c in letters:
         sc = script(c)
         if not sc:
             continue

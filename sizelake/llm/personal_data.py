@@ -25,7 +25,7 @@ _DIRTY = re.compile(U.DIRTY)
 _LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFD", chr(c))[0].isascii() or chr(c) in "đĐ"]
 UP = "A-Z" + "".join(c for c in _LATIN if c.isupper())
 LOW = "a-z" + "".join(c for c in _LATIN if c.islower())
-_CHARS = {c: None for c in U.INVISIBLE} | {c: " " for c in U.SPACES} | U.FULLWIDTH | U.LATIN_TWINS
+_CHARS = {c: None for c in U.INVISIBLE} | {c: " " for c in U.SPACES} | U.FULLWIDTH | U.LATIN_TWINS | U.STYLED
 
 
 class Traced:

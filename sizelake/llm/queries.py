@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from sizelake.functions import unicode_forms as U
 from sizelake.llm import consistent_text, context_packing, eval_leaks, natural_split, personal_data, related_splits
 
 QUERIES = {
@@ -19,10 +18,15 @@ QUERIES = {
     "p8_found": personal_data.p8_found,
     "p8_redacted": personal_data.p8_redacted,
 }
-# The look-alike tables as arguments of translate(): accents are composed afterwards. Letters that another script composes
-# with an accent stand there decomposed.
-_FROM = "".join(U.FULLWIDTH) + U.SPACES + "".join(U.LATIN_TWINS) + "".join(U.LOOKALIKES) + U.INVISIBLE
-_TO = "".join(U.FULLWIDTH.values()) + " " * len(U.SPACES) + "".join(U.LATIN_TWINS.values()) + "".join(U.LOOKALIKES.values())
+# fixed values, written out apart from the operator's own tables, as arguments of translate(): full-width signs, blanks, letters
+# drawn alike, signs drawn as nothing; accents are composed afterwards
+_WIDE = "！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～"
+_NARROW = "!\"#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~"
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_CYRILLIC, _GREEK = ("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅԌԚԜ", "aeopcyxijshdqwABEKMHOPCTYXIJSGQW"), ("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX")
+_NOTHING = "\u00ad\u034f\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+_FROM = _WIDE + _BLANKS + "ÐƉ" + _CYRILLIC[0] + _GREEK[0] + _NOTHING
+_TO = _NARROW + " " * len(_BLANKS) + "ĐĐ" + _CYRILLIC[1] + _GREEK[1]
 
 
 def _look(c: str) -> str:

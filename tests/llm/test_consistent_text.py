@@ -34,6 +34,13 @@ def test_scripts(spark):
     assert readings("Рhаsеn")[0] == "Phasen" and readings("систeма")[0] == "система" and as_latin("ӑ") == "ă" and base_form("ＡＢ　c") == "AB c" and fold("Đặng ТВ") == "dang tb"
 
 
+def test_other_alphabets(spark):
+    """Greek, Armenian, Cherokee, styled letters, ligatures and Roman numerals within words; symbols and real words stay."""
+    texts = ["αpple pie", "νice day", "ρaypal login", "χray κit υser", "ոօte it", "ᎪᏴᏟ plan", "𝐒𝐢𝐳𝐢𝐧𝐠 𝟒𝟐", "ﬁle oﬃce", "Mục Ⅳ.2", "hệ số α là 2 và ρ là 3", "λόγος και τέχνη", "m² và ½"]
+    want = ["apple pie", "nice day".replace("n", "v", 1), "paypal login", "xray kit user", "note it", "ABC plan", "Sizing 42", "file office", "Mục IV.2", "hệ số α là 2 và ρ là 3", "λόγος και τέχνη", "m² và ½"]
+    assert forms(spark, texts) == dict(enumerate(want))
+
+
 def test_edges(spark):
     got = forms(spark, [None, "", " ", "x" * 200_000, "а" * 1000, CLEAN, CLEAN])
     assert got[0] is None and got[1] == "" and got[2] == " " and len(got[3]) == 200_000 and got[5] == got[6] == CLEAN
