@@ -44,7 +44,7 @@ _TO_GREEK = str.maketrans(LATIN_AS_GREEK)
 #: Java class of what the base form may change: anything but ASCII and precomposed Latin letters (without the twins).
 DIRTY = r"[^\x00-\x7f\u00c0-\u00cf\u00d1-\u0188\u018a-\u02af\u1e00-\u1eff\u2013\u2014\u2018-\u201d\u2026]"
 #: Letters of the other scripts that the repair looks at.
-FOREIGN = r"[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\u1f00-\u1fff]"
+FOREIGN = r"[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\uab70-\uabbf\u1f00-\u1fff]"
 
 
 def base_form(s: str) -> str:
@@ -71,7 +71,7 @@ def script(c: str) -> str:
     o = ord(c)
     if 0x530 <= o <= 0x58F:
         return "armenian"
-    if 0x13A0 <= o <= 0x13FF:
+    if 0x13A0 <= o <= 0x13FF or 0xAB70 <= o <= 0xABBF:
         return "cherokee"
     if 0x370 <= o <= 0x3FF or 0x1F00 <= o <= 0x1FFF:
         return "greek"
