@@ -55,11 +55,11 @@ def _words_of(tokens: set[str]) -> set[str]:
             out.update(_WORD.findall(t.lower()))
             continue
         t = base_form(t)
-        words = _WORD.findall(t.lower())
+        words = _WORD.findall(t)
         if _FOREIGN_RE.search(t):
             # words of two scripts are no evidence, nor are those that might be either
             words = [w for w in words if not _FOREIGN_RE.search(w) or (len({script(c) for c in unicodedata.normalize("NFD", w)} - {""}) == 1 and _FOREIGN_RE.search(as_latin(w)))]
-        out.update(words)
+        out.update(w.lower() for w in words)
     return out
 
 
