@@ -1,7 +1,9 @@
 """A grammar for amounts as authors write them.
 
-amount := approx? part (blank part)*        part := number scale-word* unit?
-unit   := product ('/' time | 'ps')?        product := alias | prefix? atom
+amount  := approx? part (blank part)*         part   := number scale-word* unit?
+number  := digits and marks (('e' | '× 10^') exponent)?
+unit    := factor (times factor | per factor)*  factor := atom power?
+atom    := alias | time | transaction | prefix atom | unknown word
 
 A unit is a factor, an offset and a vector of exponents over base dimensions, so that 'MB/giây' is byte^1 time^-1. Amounts
 can be compared where the vectors are equal. Units that the table lists without a factor, and units nobody knows, are
@@ -37,8 +39,18 @@ APPROX = r"(?:~|≈|±|khoang|xap xi|tam|chung|uoc|approx\.?|about|ca\.)"
 # fixed values: temperature, the one family with an offset: kelvin = factor * (x + offset)
 TEMPERATURES = {"k": (1.0, 0.0), "°k": (1.0, 0.0), "°c": (1.0, 273.15), "do c": (1.0, 273.15), "°f": (5 / 9, 459.67)}
 
+# fixed values: decimal prefixes of units that are neither bytes nor bits
+DECIMAL = {"k": 1e3, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12, "P": 1e15, "m": 1e-3, "µ": 1e-6, "μ": 1e-6, "n": 1e-9}
+_SUPERSCRIPT = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
+_PER = re.compile(r"\s*(?:/|(?<=\s)(?:tren|moi|per)(?=\s))\s*", re.I)
+_TIMES = re.compile(r"\s*[·*×⋅]\s*|(?<=[^\W\d_])\.(?=[^\W\d_])")
+_POWER = re.compile(r"(.*?[^\W\d_])\s*(?:\^\s*\(?(-?\d)\)?|([⁻]?[¹²³⁴-⁹])|([2-9]))")
+
 _NUMBER = r"\d+(?:[ ]\d{3}(?!\d))+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
-_TOKEN = re.compile(rf"\s*(?P<sign>[-−+]?)(?P<num>{_NUMBER})")
+_EXPONENT = r"(?:[eE](?P<e>[-+]?\d{1,2})(?![\w.,])|\s*[x×*]\s*10(?:\s*\^\s*(?P<p>[-+]?\d{1,2})|(?P<s>[⁻]?[⁰¹²³⁴-⁹]+))(?![\w]))?"
+_TOKEN = re.compile(rf"\s*(?P<sign>[-−+]?)(?P<num>{_NUMBER}){_EXPONENT}")
+# fixed values: signs and words of a bound, which leaves one side open
+_BOUND = re.compile(r"[<>≤≥]|(?<!\w)(?:toi da|toi thieu|tro len|tro xuong|or more|or less|up to|at least|at most)(?!\w)")
 _RANGE = re.compile(r"\d\s*(?:-|–|—|÷|\.\.+|…|~|den|to)\s*\d")
 
 
@@ -118,16 +130,65 @@ class UnitTable:
             return Unit((("bit", 1), ("time", -1)), bits * (1024.0 if m[2] else 1000.0) ** PREFIXES[m[1].lower()] / per, 0.0, "bps", "bang_thong")
         if low in TIMES:
             return Unit((("time", 1),), TIMES[low], 0.0, "giay", "thoi_gian")
-        if m := re.fullmatch(r"(.+?)\s*(?:/|tren|moi|per)\s*(\S+)", low):
-            top, per = m[1].strip(), TIMES.get(m[2])
-            if per is not None and top in TRANSACTIONS:
-                return Unit((("time", -1), ("txn", 1)), 1.0 / per, 0.0, "tps", "giao_dich")
-            known = self.folded.get(top)
-            if per is not None and known is not None:  # any known unit per time: exponents add up
-                dims = dict(known.dims)
-                dims["time"] = dims.get("time", 0) - 1
-                return Unit(tuple(sorted((k, v) for k, v in dims.items() if v)), known.factor / per, 0.0, f"{known.base}/giay", known.group)
-        return None
+        return self.compound(t)
+
+    def _atom(self, t: str, unknown: bool) -> Unit | None:
+        low = fold(t)
+        if t in self.exact:
+            return self.exact[t]
+        if (u := self.folded.get(t.lower()) or self.folded.get(low)) is not None:
+            return u
+        if low in TEMPERATURES and low != "k":
+            return Unit((("kelvin", 1),), TEMPERATURES[low][0], 0.0, "K", "nhiet_do")  # a difference, within a compound
+        if m := re.fullmatch(r"([kKmMgGtTpP]?)i?([bB]yte|B|[bB]yt)s?", t):
+            return Unit((("byte", 1),), 1024.0 ** PREFIXES[m[1].lower()], 0.0, "byte", "dung_luong")
+        if m := re.fullmatch(r"([kKmMgGtTpP]?)(i?)(?:b|[bB]it)s?", t):
+            return Unit((("bit", 1),), (1024.0 if m[2] else 1000.0) ** PREFIXES[m[1].lower()], 0.0, "bit", "bang_thong")
+        if low in TIMES:
+            return Unit((("time", 1),), TIMES[low], 0.0, "giay", "thoi_gian")
+        if low in TRANSACTIONS:
+            return Unit((("txn", 1),), 1.0, 0.0, "giao dich", "giao_dich")
+        if t[:1] in DECIMAL and len(t) > 1 and (len(t) > 2 or t[1].isupper() or (t[0] in "mµμn" and t[1] == "s")):
+            rest = self.exact.get(t[1:]) or self.folded.get(t[1:].lower()) or (Unit((("time", 1),), 1.0, 0.0, "giay", "thoi_gian") if t[1:] == "s" else None)
+            if rest is not None and not rest.offset and ("byte", 1) not in rest.dims and not any(k == "bit" for k, _ in rest.dims):
+                return Unit(rest.dims, rest.factor * DECIMAL[t[0]], 0.0, rest.base, rest.group)
+        return Unit(((f"word:{low}", 1),), 1.0, 0.0, low, "") if unknown and re.fullmatch(r"[^\W\d_%°]+(?: [^\W\d_]+)*|[%°]", t) else None
+
+    def compound(self, t: str, unknown: bool = False) -> Unit | None:
+        """A product and quotient of powers of atoms: exponents add up, factors multiply. With unknown, words that nobody
+        knows are dimensions of their own. Any slash divides by what stands right behind it."""
+        parts = _PER.split(fold_marks(t))
+        dims: dict[str, int] = {}
+        factor, bases, group = 1.0, [], None
+        pieces = [(x, 1 if k == 0 else -1) for k, part in enumerate(parts) for x in ([part] if self._known(part) else _TIMES.split(part))]
+        if len(parts) > 2 and (head := self._resolve(f"{parts[0]}/{parts[1]}")) is not None:  # a rate, which has rules of its own, per something
+            dims, factor, bases, group = dict(head.dims), head.factor, [(head.base, 1)], head.group
+            pieces = [(x, -1) for part in parts[2:] for x in ([part] if self._known(part) else _TIMES.split(part))]
+        for text, sign in pieces:
+            text, power = text.strip(), 1
+            u = self._atom(text, False)
+            if u is None and (m := _POWER.fullmatch(text)):
+                text, power = m[1].strip(), int(m[2] or (m[3] or "").translate(_SUPERSCRIPT) or m[4])
+                u = self._atom(text, unknown)
+            elif u is None:
+                u = self._atom(text, unknown)
+            if u is None or not text:
+                return None
+            n = sign * power
+            for k, v in u.dims:
+                dims[k] = dims.get(k, 0) + n * v
+            factor *= u.factor**n
+            bases.append((u.base, n))
+            group = u.group if group is None else group
+        made = tuple(sorted((k, v) for k, v in dims.items() if v))
+        if made == (("time", -1), ("txn", 1)):
+            return Unit(made, factor, 0.0, "tps", "giao_dich")
+        up = "·".join(b + (f"^{n}" if n > 1 else "") for b, n in bases if n > 0) or "1"
+        down = "".join("/" + b + (f"^{-n}" if n < -1 else "") for b, n in bases if n < 0)
+        return Unit(made, factor, 0.0, up + down, group or "")
+
+    def _known(self, t: str) -> bool:
+        return t.strip() in self.exact or t.strip().lower() in self.folded
 
     def at_start(self, text: str) -> Unit | None:
         """The longest unit that the text begins with, of up to four words; it must end at a boundary."""
@@ -141,6 +202,11 @@ class UnitTable:
         return None
 
 
+def fold_marks(t: str) -> str:
+    """Words for «per» without accents, so that they can be told; all else stays."""
+    return re.sub(r"(?<=\s)(?:trên|mỗi)(?=\s)", "per", t)
+
+
 def _squeeze(s: str) -> str:
     return re.sub(r"\s+", " ", s).strip()
 
@@ -190,7 +256,7 @@ def parse_amount(raw: str | None, units: UnitTable) -> tuple[list[tuple[float, U
     low = low.strip()
     if m := re.match(rf"^(?:{APPROX}\s*)+", low):
         s, low = s[m.end() :], low[m.end() :]
-    if _RANGE.search(low):
+    if _RANGE.search(low) or _BOUND.search(low):
         return None
     parts, pos, first = [], 0, ""
     while pos < len(s):
@@ -200,18 +266,19 @@ def parse_amount(raw: str | None, units: UnitTable) -> tuple[list[tuple[float, U
         x = read_number(m["num"])
         if x is None:
             return None
+        x *= 10.0 ** int(m["e"] or m["p"] or (m["s"] or "0").translate(_SUPERSCRIPT))
         first = first or m["num"]
         if m["sign"] in "-−" and m["sign"]:
             if parts:
                 return None
             x = -x
         pos = m.end()
-        nxt = re.search(r"(?<![A-Za-z0-9])\d|(?<=\s)\d|$", s[pos:])
+        nxt = re.search(r"(?<![A-Za-z0-9^])\d|(?<=\s)\d|$", s[pos:])
         tail = s[pos : pos + nxt.start()] if nxt else s[pos:]
         # a digit glued to letters (CINT2017) belongs to the unit
         pos += len(tail)
         words = tail.split()
-        while words and fold(words[0]) in SCALES and not (fold(words[0]) in ("k",) and len(words) > 1):
+        while words and fold(words[0]) in SCALES and not (fold(words[0]) == "k" and len(words) > 1 and units.resolve(" ".join(words[1:])) is None):
             x *= SCALES[fold(words[0])]
             words.pop(0)
         unit_text = " ".join(words).strip(" .,;")
@@ -221,6 +288,8 @@ def parse_amount(raw: str | None, units: UnitTable) -> tuple[list[tuple[float, U
         unit = None
         if unit_text:
             unit = units.resolve(unit_text)
+            if unit is None and len(unit_text) <= 30:
+                unit = units.compound(unit_text, unknown=True)
             if unit is None:
                 letters = fold(unit_text)
                 if not re.fullmatch(r"[a-z%°/ .]{1,30}", letters):

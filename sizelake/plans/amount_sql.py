@@ -67,6 +67,6 @@ SELECT DISTINCT x.number_id, CASE WHEN NOT single OR (x.dims IS NOT NULL AND x.a
 FROM x LEFT JOIN r ON r.name = x.name"""
 CONVERTED = f"""
 WITH {UNITS}, {IMAGES}, {_ALL}, b AS (SELECT unit_group AS dims, min(base_unit) AS base FROM units WHERE factor IS NOT NULL AND NOT isnan(factor) GROUP BY 1)
-SELECT DISTINCT number_id, round(CASE WHEN single THEN amount END, 3) AS amount, CASE WHEN amount IS NULL THEN NULL WHEN starts_with(x.dims, 'unit:') THEN x.dims[6:] ELSE b.base END AS base,
+SELECT DISTINCT number_id, CASE WHEN NOT single THEN NULL WHEN abs(amount) >= 1e9 THEN round(amount) ELSE round(amount, 3) END AS amount, CASE WHEN amount IS NULL THEN NULL WHEN starts_with(x.dims, 'unit:') THEN x.dims[6:] ELSE b.base END AS base,
  CASE WHEN NOT single OR (x.dims IS NOT NULL AND amount IS NULL) THEN 'no value' WHEN x.dims IS NULL THEN 'no unit' WHEN starts_with(x.dims, 'unit:') THEN 'not convertible' ELSE 'converted' END AS state, coalesce(b.base IS NOT NULL AND amount BETWEEN 1 AND 1e15, false) AS in_range
 FROM x LEFT JOIN b ON b.dims = x.dims"""

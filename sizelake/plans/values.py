@@ -92,7 +92,7 @@ def unit_convert(spark, d):
     no unit, a unit without a factor or one that nobody knows are typed outcomes."""
     x = normalised_images(t(spark, d, "so_lieu_anh"), t(spark, d, "units"), t(spark, d, "rule_inputs")).select("number_id", "amount", "dims", "base_unit").distinct()
     state = (F.when(F.col("amount").isNull(), "no value").when(F.col("dims") == "none^1", "no unit").when(F.col("dims").startswith("unit:"), "not convertible").when(F.col("dims").contains("word:"), "unknown unit").otherwise("converted"))
-    return x.select("number_id", F.when(~state.isin("no value", "unknown unit"), F.round("amount", 3)).alias("amount"), F.when(state.isin("converted", "not convertible"), F.col("base_unit")).alias("base"), state.alias("state"),
+    return x.select("number_id", F.when(~state.isin("no value", "unknown unit"), F.when(F.abs("amount") >= 1e9, F.round("amount", 0)).otherwise(F.round("amount", 3))).alias("amount"), F.when(state.isin("converted", "not convertible"), F.col("base_unit")).alias("base"), state.alias("state"),
                     F.coalesce((state == "converted") & F.col("amount").between(1, 1e15), F.lit(False)).alias("in_range"))
 
 

@@ -37,6 +37,24 @@ def test_amounts(raw, amount, dims):
     assert got[0] == pytest.approx(amount) and got[1] == dims and got[4] == "own"
 
 
+MORE = UnitTable([*UNITS, ("nguoi_dung", "user", "user", False, None, "user"), ("dien", "W", "W", True, 1.0, "W"), ("do_dai", "m", "m", True, 1.0, "m"), ("do_dai", "cm", "cm", True, 0.01, "m")])
+
+
+@pytest.mark.parametrize("raw, amount, dims", [
+    ("1.5 GB/user", 1.5 * 2**30, "byte^1;unit:user^-1"), ("5 GB mỗi user", 5 * 2**30, "byte^1;unit:user^-1"), ("3 kW", 3000, "group:dien^1"), ("2 MW·phút", 1.2e8, "group:dien^1;time^1"), ("5 m2", 5, "group:do_dai^2"), ("5 m^2", 5, "group:do_dai^2"), ("5 m²", 5, "group:do_dai^2"),
+    ("30000 cm2", 3, "group:do_dai^2"), ("1 GB.s", 2**30, "byte^1;time^1"), ("2,5k user", 2500, "unit:user^1"), ("2,5 k user", 2500, "unit:user^1"), ("1.5e3 GB", 1500 * 2**30, "byte^1"), ("2 x 10^3 user", 2000, "unit:user^1"), ("2×10³ user", 2000, "unit:user^1"), ("4e-3 giờ", 14.4, "time^1"),
+    ("5 MB/giây/user", 4e7, "bit^1;time^-1;unit:user^-1"), ("6 foo/bar", 6, "word:bar^-1;word:foo^1"), ("6 foo / bar", 6, "word:bar^-1;word:foo^1"), ("3 xyz^2", 3, "word:xyz^2"), ("10 ms", 0.01, "time^1"), ("100 req/s per node", 100, "time^-1;txn^1;word:node^-1"), ("8 m/s^2", 8, "group:do_dai^1;time^-2"),
+])
+def test_compound_units(raw, amount, dims):
+    got = to_base(raw, None, None, None, MORE)
+    assert got[0] == pytest.approx(amount) and got[1] == dims
+
+
+def test_bounds_are_no_single_value():
+    """A bound leaves one side open: it is a range, and ranges are no case."""
+    assert all(to_base(x, None, None, None, MORE) is None for x in ("≥ 5 GB", "< 3 giờ", ">= 10 user", "tối đa 5 GB", "5 GB trở lên"))
+
+
 def test_where_the_unit_comes_from():
     quote = "Định cỡ bộ đệm ghi của phân hệ Leaxai-1501 là 5, mã 11086."
     assert to_base("5", "GB.", quote, "MB", TABLE)[4] == "beside"
