@@ -34,9 +34,10 @@ def _plain(v):
     return {k: _plain(x) for k, x in v.items() if x is not None}
 
 
-def row_hash(row: dict) -> str:
+def row_hash(row: dict) -> bytes:
+    """128 bits of the canonical row."""
     text = json.dumps(_plain(row), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:16]
 
 
 def _parsed(text):
@@ -66,16 +67,16 @@ def _hashed(text) -> list[dict] | None:
     rows = _parsed(text)
     if rows is None:
         return None
-    by: dict[str, list[str]] = {}
+    by: dict[str, list[bytes]] = {}
     for r in rows:
         key = r[ROW_KEY]
         key = key if isinstance(key, str) else json.dumps(_plain(key), sort_keys=True, ensure_ascii=False)
         by.setdefault(key, []).append(row_hash(r))
     # one entry per key: a key listed twice has the hash of its sorted, distinct rows
-    return [{"ma": k, "h": v[0] if len(set(v)) == 1 else "|".join(sorted(set(v)))} for k, v in by.items()]
+    return [{"ma": k, "h": v[0] if len(set(v)) == 1 else hashlib.sha256(b"".join(sorted(set(v)))).digest()[:16]} for k, v in by.items()]
 
 
-ROWS = T.ArrayType(T.StructType([T.StructField("ma", T.StringType()), T.StructField("h", T.StringType())]))
+ROWS = T.ArrayType(T.StructType([T.StructField("ma", T.StringType()), T.StructField("h", T.BinaryType())]))
 
 
 @F.pandas_udf(ROWS)
@@ -88,23 +89,17 @@ def snapshot_rows(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def full_snapshots(revisions: DataFrame) -> DataFrame:
     """(project_id, revision_id, created_at, rows): of several deliveries of an id the one received last, kept if it is a
     BASELINE or has no type and its content can be parsed. Deliveries received at one time: the greater content counts."""
-    r = revisions.select("id", "project_id", "revision_type", "snapshot_content", "created_at", "received_at")
-    last = r.where(F.col("id").isNotNull()).groupBy("id").agg(
+    kind = F.coalesce(F.upper(F.trim("revision_type")), F.lit(""))
+    r = revisions.where(F.col("id").isNotNull()).select(
+        "id", "project_id", "created_at", "received_at", "revision_type", F.xxhash64("snapshot_content").alias("content"),
+        # parsed where it is read, so that keys and hashes are shuffled and not the contents; evaluated once
+        snapshot_rows.asNondeterministic()(F.when(kind.isin("BASELINE", ""), F.col("snapshot_content"))).alias("rows"),
+    )
+    last = r.groupBy("id").agg(
         # map-side combinable, so an id delivered very often is reduced before the shuffle
-        F.max_by(
-            F.struct("project_id", "revision_type", "snapshot_content", "created_at"),
-            F.struct("received_at", "created_at", F.xxhash64("snapshot_content"), "project_id", "revision_type"),
-        ).alias("v")
-    )
-    kind = F.upper(F.trim(F.col("revision_type")))
-    return (
-        last.select(F.col("id").alias("revision_id"), "v.*")
-        .where(F.col("project_id").isNotNull() & (F.coalesce(kind, F.lit("")).isin("BASELINE", "")))
-        .where(F.col("snapshot_content").isNotNull())
-        .withColumn("rows", snapshot_rows.asNondeterministic()("snapshot_content"))  # evaluated once
-        .where(F.col("rows").isNotNull())
-        .select("project_id", "revision_id", "created_at", "rows")
+        F.max_by(F.struct("project_id", "created_at", "rows"), F.struct("received_at", "created_at", "content", "project_id", "revision_type")).alias("v")
     )
+    return last.select("v.project_id", F.col("id").alias("revision_id"), "v.created_at", "v.rows").where("project_id is not null and rows is not null")
 
 
 def snapshot_changes(revisions: DataFrame) -> DataFrame:
@@ -114,10 +109,10 @@ def snapshot_changes(revisions: DataFrame) -> DataFrame:
     created_at go by id. Repeated rows are one delivery. An empty table gives no rows. Extra columns are not read. A
     project may hold any share of the rows: snapshots are numbered by a global sort, and rows meet by (project, position,
     key)."""
-    # written first, as the range sort reads its input twice and the contents would be parsed twice
-    snaps = dense_index(cut(full_snapshots(revisions)), ["project_id", F.col("created_at").asc_nulls_first(), "revision_id"])
-    heads = snaps.select("idx", "project_id", "revision_id")
-    rows = snaps.select("idx", "project_id", F.explode("rows").alias("r")).select("idx", "project_id", "r.ma", "r.h")
+    # written first, as heads and rows rest on it; only the heads are sorted
+    snaps = cut(full_snapshots(revisions))
+    heads = dense_index(snaps.drop("rows"), ["project_id", F.col("created_at").asc_nulls_first(), "revision_id"]).select("idx", "project_id", "revision_id")
+    rows = snaps.select("revision_id", "rows").join(heads, "revision_id").select("idx", "project_id", F.explode("rows").alias("r")).select("idx", "project_id", "r.ma", "r.h")
     # a snapshot's rows count as `new` at its own place and as `old` at the next one, if that is of the same project
     new = rows.select("idx", "project_id", "ma", F.col("h").alias("new_h"))
     old = rows.select((F.col("idx") + 1).alias("idx"), "project_id", "ma", F.col("h").alias("old_h"))

@@ -45,3 +45,15 @@ def cut(df):
     """df with its lineage cut by a checkpoint in the shared folder; it survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df) -> None:
+    """Takes away the files of a checkpoint that nothing reads any more; of any other DataFrame nothing is touched."""
+    spark = df.sparkSession
+    try:
+        held = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    except Exception:  # noqa: BLE001  not a checkpoint
+        return
+    if held.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
