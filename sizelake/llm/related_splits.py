@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sizelake.functions.unicode_forms import fold
-from sizelake.session import cut
+from sizelake.session import cut, release
 
 # fixed values: request kinds before a system's name, folded
 KINDS = ("cap moi he thong", "cap moi", "cap bo sung", "nang cap", "ung cuu")
@@ -62,7 +62,7 @@ def _udf(f):
 def keyed(dossiers: DataFrame) -> DataFrame:
     """(dossier_id, key): what each dossier is linked by; s: systems, r: requesters."""
     d = dossiers.select("dossier_id", "dossier", "dau_moi_yeu_cau").where("dossier_id is not null").distinct()
-    k = d.select("dossier_id", F.concat(F.lit("s:"), _udf(system_key)("dossier")).alias("s"), F.concat(F.lit("r:"), _udf(requester_key)("dau_moi_yeu_cau")).alias("r"))
+    k = d.select("dossier_id", F.concat(F.lit("s:"), _udf(system_key).asNondeterministic()("dossier")).alias("s"), F.concat(F.lit("r:"), _udf(requester_key).asNondeterministic()("dau_moi_yeu_cau")).alias("r"))
     return k.select("dossier_id", F.explode(F.array("s", "r")).alias("key")).where("key is not null").distinct()
 
 
@@ -79,18 +79,21 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 32, h
     both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
     both = both.unionByName(both.select("v", F.col("v").alias("u"))).distinct()
     c = cut(both)
-    shape = None
+    shape = _shape(c)
     for _ in range(most_rounds):
         m = c.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))  # combined before the shuffle
-        m = m.withColumn("salt", F.explode(F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        sized = c.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
-        hot_nodes = m.where(F.col("n") > hot).select("v", "salt", "m")
-        calm = c.join(m.where(F.col("n") <= hot).select("v", "m"), "v")
-        busy = sized.join(hot_nodes, ["v", "salt"]).drop("salt")
-        j = calm.select("v", "u", "m").unionByName(busy.select("v", "u", "m"))
-        nxt = j.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct()
-        c = cut(nxt)
-        now = tuple(c.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if shape[0] <= hot:  # not even all rows together would make a node hot
+            j = c.join(m, "v").select("v", "u", "m")
+        else:
+            m = m.withColumn("salt", F.explode(F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+            sized = c.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int"))
+            calm = c.join(m.where(F.col("n") <= hot).select("v", "m"), "v")
+            busy = sized.join(m.where(F.col("n") > hot).select("v", "salt", "m"), ["v", "salt"]).drop("salt")
+            j = calm.select("v", "u", "m").unionByName(busy.select("v", "u", "m"))
+        nxt = cut(j.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.*").distinct())
+        now = _shape(nxt)
+        release(c)  # the next round rests on the new rows only
+        c = nxt
         if now == shape:
             break
         shape = now
@@ -99,13 +102,18 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 32, h
     return c.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
 
 
+def _shape(c: DataFrame) -> tuple:
+    """The number of rows and the sum of their hashes."""
+    return tuple(c.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
 def components(dossiers: DataFrame) -> DataFrame:
     """(dossier_id, component, group_id, group_size): every dossier once. A dossier without any key is its own group.
 
     Links are between keys (a dossier links its system with its requester), so a requester of a third of all dossiers is
     one node, and its dossiers meet it by a join, not by pairs."""
     d = dossiers.select("dossier_id").where("dossier_id is not null").distinct()
-    k = keyed(dossiers)
+    k = cut(keyed(dossiers))  # the keys are read off the names once
     per = k.groupBy("dossier_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.collect_set("key").alias("all"))
     # a dossier of repeated rows with other spellings may have more than two keys: all are linked with the least
     edges = per.select("a", F.explode("all").alias("b")).distinct()
