@@ -115,8 +115,8 @@ def half_unit(printed: Column) -> Column:
 
 
 def relative_difference(expected: Column, declared: Column) -> Column:
-    """|e-d|/|e|; at e = 0 it is 0 for equal values and infinite otherwise."""
-    return F.when(expected != 0, F.try_divide(F.abs(expected - declared), F.abs(expected))).when(declared == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    """|e-d|/|e|; at e = 0 it is 0 for equal values and infinite otherwise; null where either side is."""
+    return F.when(expected.isNull() | declared.isNull(), F.lit(None).cast("double")).when(expected != 0, F.try_divide(F.abs(expected - declared), F.abs(expected))).when(declared == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
 
 
 SUFFIXES = {"": 0, "K": 1, "Ki": 1, "M": 2, "Mi": 2, "G": 3, "Gi": 3, "T": 4, "Ti": 4, "P": 5, "Pi": 5}

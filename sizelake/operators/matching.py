@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,76 @@ def first_fit(df: DataFrame, group: str, order: str, words: str, least: float =
     raise RuntimeError(f"not decided after {most_rounds} rounds")
 
 
+#: Items that are matched in one pass over the candidates.
+BLOCK_ITEMS = 20_000
+LEAST_SHARED = 2  # fixed value: one shared word is chance
+
+
+def best_by_words(candidates: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(item, score, f1, text, exact): for each item the candidate whose words fit it best.
+
+    candidates: (text, weight, words, plain), items: (item, words, head, plain); words are sets, plain the same without
+    accents, head the item's first words. F1 of the words, or of the head if that is more, times the candidate's weight; at
+    least two words must be shared. Where fewer are, the words without accents count, which is not exact. Ties go to the
+    lesser text. Every candidate is looked at once for each block of items, against their index of words, and a task hands on
+    one candidate an item: no pairs are shuffled, whatever words are common. Null texts, and items without words, match
+    nothing; items that match nothing have no row."""
+    rows = items.select("item", "words", "head", "plain").where("item is not null and size(words) > 0")
+    count = rows.count()
+    blocks = max(1, -(-count // block_items))
+    schema = "item bigint, score double, f1 double, text string, exact boolean"
+    found = candidates.sparkSession.createDataFrame([], schema)
+    for k in range(blocks):
+        own = sorted(tuple(r) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect())
+        if own:
+            found = found.unionByName(candidates.select("text", "weight", "words", "plain").where("text is not null and size(words) > 0").mapInPandas(_best_of(own), schema))
+    best = found.groupBy("item").agg(F.min(F.struct((-F.col("score")).alias("m"), "text", "f1", "exact")).alias("b"))
+    return best.select("item", (-F.col("b.m")).alias("score"), "b.f1", "b.text", "b.exact")
+
+
+def _best_of(own: list[tuple]):
+    def index(column: int):
+        held: dict[str, list[int]] = {}
+        for i, r in enumerate(own):
+            for w in set(r[column]):
+                held.setdefault(w, []).append(i)
+        return {w: np.array(v) for w, v in held.items()}, np.array([len(set(r[column])) for r in own])
+
+    sides = [index(c) for c in (1, 2, 3)]
+    n = len(own)
+
+    def shared(words, side):
+        held = [h for w in words if (h := sides[side][0].get(w)) is not None]
+        return np.bincount(np.concatenate(held), minlength=n) if held else None
+
+    def f1(k, size, side):
+        return np.where(k > 0, 2.0 * k / (size + sides[side][1]), 0.0)
+
+    def look(batches):
+        for pdf in batches:
+            best, text, rate, sure = np.full(n, -1.0), [None] * n, np.zeros(n), np.zeros(n, dtype=bool)
+            for t, weight, words, plain in zip(pdf["text"], pdf["weight"], pdf["words"], pdf["plain"], strict=True):
+                bare = shared(plain, 2)
+                if bare is None or bare.max() < LEAST_SHARED:
+                    continue  # words with accents share no more than those without
+                k, h = shared(words, 0), shared(words, 1)
+                whole = f1(k, len(words), 0) if k is not None else np.zeros(n)
+                head = f1(h, len(words), 1) if h is not None else np.zeros(n)
+                k, h = (np.zeros(n, dtype=int) if x is None else x for x in (k, h))
+                use = head > whole
+                r, c = np.where(use, head, whole), np.where(use, h, k)
+                exact = c >= LEAST_SHARED
+                r = np.where(exact, r, np.where(bare >= LEAST_SHARED, f1(bare, len(plain), 2), -1.0))
+                score = np.where(r > 0, np.round(r * weight, 6), -1.0)
+                for i in np.flatnonzero((score > best) | ((score == best) & (score > 0))):
+                    if score[i] > best[i] or t < text[i]:
+                        best[i], text[i], rate[i], sure[i] = score[i], t, r[i], exact[i]
+            hit = np.flatnonzero(best > 0)
+            yield pd.DataFrame({"item": [own[i][0] for i in hit], "score": best[hit], "f1": rate[hit], "text": [text[i] for i in hit], "exact": sure[hit]})
+
+    return look
+
+
 BLOCKS = T.StructType([T.StructField(n, k) for n, k in (("ratio", T.DoubleType()), ("inserted", T.IntegerType()), ("deleted", T.IntegerType()), ("replaced", T.IntegerType()))])
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sizelake.functions import numbers as N
+from sizelake.functions import text as X
+from sizelake.operators.matching import best_by_words
 from sizelake.plans.registry import query
 from sizelake.rules.evaluate import STORAGE, SUBSYSTEM, SYSTEM, Input, Rule, evaluate, scope_instances
 from sizelake.sources.tables import table as t
@@ -257,21 +259,43 @@ def precedence_merge(spark, d):
     return j.select("item_id", F.coalesce("o", "a", "category").alias("verdict"), src.alias("from_source"))
 
 
-@query("JOIN-13 FUN-S14 ORD-6", """
-WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: length(x) > 3)) AS t FROM eval_items),
- h AS (SELECT DISTINCT text AS heading, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: length(x) > 3)) AS t FROM elements WHERE kind = 'heading' AND text <> ''),
- s AS (SELECT item_id, heading, round(2.0 * len(list_intersect(w.t, h.t)) / (len(w.t) + len(h.t)), 6) AS f1 FROM w JOIN h ON len(list_intersect(w.t, h.t)) > 0)
-SELECT item_id, f1, heading FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY f1 DESC, heading) AS r FROM s) WHERE r = 1""")
+# fixed values: words that say nothing of what a text is about; signs of a text that may be a label; weights by kind of place
+FILLERS = ("của", "và", "các", "cho", "hay", "là", "có", "được", "theo", "từ", "đến", "trong", "với", "về", "những", "một", "nếu", "thì", "không", "gồm", "tại", "hoặc", "khi", "đối", "này", "đó", "như", "thế", "nào", "phải", "cần", "sẽ", "bao", "chỉ", "ra", "mà", "để", "trên", "dưới", "sau", "trước", "còn", "đã", "bị", "do", "vào", "nên")  # noqa: E501
+MOST_LABEL, HEAD_WORDS = 90, 5
+PLACES = {"heading": 1.0, "label": 0.95, "cell": 0.9, "prose": 0.8}
+_LIST = "(" + ", ".join(f"'{w}'" for w in FILLERS) + ")"
+
+
+def _kept(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN {_LIST})"
+
+
+def _f1(a: str, b: str) -> str:
+    return f"(2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})))"
+
+
+@query("JOIN-13 FUN-S14 ORD-6", f"""
+WITH i AS (SELECT item_id, {_kept("regexp_replace(text, '[(][^)]*[)]', ' ', 'g')")} AS l FROM eval_items), w AS (SELECT item_id, list_distinct(l) AS w, list_distinct(l[1:{HEAD_WORDS}]) AS h, list_distinct(list_transform(l, lambda x: translate(strip_accents(x), 'đ', 'd'))) AS p FROM i WHERE len(l) > 0),
+ c AS (SELECT DISTINCT text, CASE WHEN kind = 'heading' THEN 1.0 WHEN kind = 'paragraph' AND length(text) <= {MOST_LABEL} AND NOT ends_with(rtrim(text), '.') THEN 0.95 ELSE 0.8 END AS weight FROM elements WHERE text <> ''
+  UNION SELECT DISTINCT trim(cell), 0.9 FROM (SELECT unnest(flatten(list_transform(rows, lambda r: r[1:2]))) AS cell FROM elements WHERE kind = 'table') WHERE trim(cell) <> '' AND length(trim(cell)) <= {MOST_LABEL} AND NOT regexp_full_match(replace(trim(cell), '.', ''), '[0-9]+')),
+ t AS (SELECT text, weight, list_distinct({_kept("text")}) AS w FROM c), d AS (SELECT *, list_distinct(list_transform(w, lambda x: translate(strip_accents(x), 'đ', 'd'))) AS p FROM t WHERE len(w) > 0),
+ s AS (SELECT item_id, text, weight, len(list_intersect(w.w, d.w)) AS kw, len(list_intersect(w.h, d.w)) AS kh, len(list_intersect(w.p, d.p)) AS kp, {_f1("w.w", "d.w")} AS fw, {_f1("w.h", "d.w")} AS fh, {_f1("w.p", "d.p")} AS fp FROM w JOIN d ON list_has_any(w.p, d.p)),
+ r AS (SELECT item_id, text, weight, CASE WHEN CASE WHEN fh > fw THEN kh ELSE kw END >= 2 THEN greatest(fh, fw) WHEN kp >= 2 THEN fp END AS f1, CASE WHEN fh > fw THEN kh ELSE kw END >= 2 AS exact FROM s)
+SELECT item_id, f1, text, exact FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(f1 * weight, 6) DESC, text, f1) AS k FROM r WHERE f1 IS NOT NULL) WHERE k = 1""")
 def token_f1_best(spark, d):
-    """The heading whose words fit an item best. Pairs come from shared words, counted before they are scored, so that
-    headings without a common word are never paired."""
-    tok = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda x: F.length(x) > 3))
-    w = t(spark, d, "eval_items").select("item_id", tok("text").alias("t")).select("item_id", F.size("t").alias("nw"), F.explode("t").alias("word"))
-    h = t(spark, d, "elements").where("kind = 'heading' and text <> ''").select(F.col("text").alias("heading")).distinct()
-    h = h.select("heading", tok("heading").alias("t")).select("heading", F.size("t").alias("nh"), F.explode("t").alias("word"))
-    s = h.join(w, "word").groupBy("item_id", "heading").agg((2.0 * F.count("*") / (F.first("nw") + F.first("nh"))).alias("f1")).withColumn("f1", F.round("f1", 6))
-    best = s.groupBy("item_id").agg(F.min(F.struct((-F.col("f1")).alias("m"), "heading")).alias("b"))
-    return best.select("item_id", (-F.col("b.m")).alias("f1"), "b.heading")
+    """Where in the documents an item is spoken of: the heading, label, table cell or text whose words fit it best."""
+    kept = lambda c: F.filter(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " ")), " "), lambda w: (F.length(w) > 1) & ~w.isin(*FILLERS))
+    plain = lambda words: F.array_distinct(F.transform(words, X.strip_accents))
+    i = t(spark, d, "eval_items").select(F.col("item_id").alias("item"), kept(F.regexp_replace("text", r"\([^)]*\)", " ")).alias("l"))
+    i = i.select("item", F.array_distinct("l").alias("words"), F.array_distinct(F.slice("l", 1, HEAD_WORDS)).alias("head"), plain("l").alias("plain"))
+    e = t(spark, d, "elements")
+    label = (F.col("kind") == "paragraph") & (F.length("text") <= MOST_LABEL) & ~F.rtrim("text").endswith(".")
+    weight = F.when(F.col("kind") == "heading", PLACES["heading"]).when(label, PLACES["label"]).otherwise(PLACES["prose"])
+    cell = e.where("kind = 'table'").select(F.explode(F.flatten(F.transform("rows", lambda r: F.slice(r, 1, 2)))).alias("text")).select(F.trim("text").alias("text"))
+    cell = cell.where((F.col("text") != "") & (F.length("text") <= MOST_LABEL) & ~F.replace("text", F.lit("."), F.lit("")).rlike("^[0-9]+$")).distinct().withColumn("weight", F.lit(PLACES["cell"]))
+    c = e.where("text <> ''").select("text", weight.alias("weight")).unionByName(cell).withColumn("words", F.array_distinct(kept("text"))).withColumn("plain", plain(F.col("words")))
+    b = best_by_words(c, i)
+    return b.select(F.col("item").alias("item_id"), "f1", "text", "exact")
 
 
 # ---- parameters ----

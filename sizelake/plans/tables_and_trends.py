@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sizelake.operators.matching import rank_in_key
 from sizelake.plans.registry import query
 from sizelake.sources.tables import table as t
 
@@ -151,15 +152,20 @@ def severity_order(spark, d):
 
 
 @query("AGG-16", """
-WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
-SELECT event_type, round(v[CAST(floor(len(v) * 0.9) AS INT) + 1], 6) AS p90, CAST(len(v) AS BIGINT) AS n FROM s""")
+WITH s AS (SELECT event_type, list_sort(list(value)) AS v, min(ts) AS a, max(ts) AS b FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT event_type, round(v[CAST(floor(len(v) * 0.9) AS INT) + 1], 6) AS p90, round((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2, 6) AS middle, CAST(len(v) AS BIGINT) AS n,
+ round(CASE WHEN b > a THEN len(v) * 60.0 / (epoch(b) - epoch(a)) ELSE 0 END, 6) AS per_minute FROM s""")
 def nearest_rank_p90(spark, d):
-    """The element at floor(0.9 n) of the sorted values. Ranks come from counts of distinct values, so that no key's values
-    are held in one list: the cumulated counts of a key are as many as it has distinct values."""
-    c = t(spark, d, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = W.partitionBy("event_type").orderBy("value")
-    r = c.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(W.partitionBy("event_type"))})
-    return r.where(F.col("upto") > F.floor(F.col("n") * F.lit(0.9))).groupBy("event_type").agg(F.round(F.min("value"), 6).alias("p90"), F.first("n").alias("n"))
+    """The element at floor(0.9 n) of the sorted values, the median and the throughput. Values get their place within the key
+    by a global sort, so that no key's values are held by one task; only the three places asked for are kept."""
+    e = t(spark, d, "events").where("value is not null").select("event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
+    r = rank_in_key(e.select("event_type", "value"), ["event_type"], ["value"]).join(n.withColumnRenamed("event_type", "k"), F.col("event_type").eqNullSafe(F.col("k")))
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("value")))
+    half = lambda k: F.floor(k / 2).cast("bigint")
+    g = r.groupBy("event_type", "n", "a", "b").agg(at(F.floor(F.col("n") * F.lit(0.9)) + 1).alias("p90"), at(half(F.col("n") + 1)).alias("lo"), at(half(F.col("n")) + 1).alias("hi"))
+    rate = F.when(F.col("b") > F.col("a"), F.col("n") * 60e6 / (F.col("b") - F.col("a"))).otherwise(0.0)
+    return g.select("event_type", F.round("p90", 6).alias("p90"), F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("middle"), "n", F.round(rate, 6).alias("per_minute"))
 
 
 @query("AGG-36", """
@@ -216,7 +222,7 @@ def stratified_sample_frozen(spark, d):
     return t(spark, d, "orders").withColumn("r", F.row_number().over(w)).where("r <= 5").select(F.col("o_orderpriority").alias("tier"), "o_orderkey")
 
 
-@query("JOIN-18 JOIN-23 AGG-14", """
+@query("AGG-14", """
 SELECT CASE WHEN contains(lower(p_type), 'steel') THEN 'steel' WHEN contains(lower(p_type), 'brass') THEN 'brass' ELSE 'other' END AS theme,
        CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT p_brand) AS BIGINT) AS brands FROM part GROUP BY 1""")
 def theme_counts(spark, d):
@@ -224,6 +230,22 @@ def theme_counts(spark, d):
     return t(spark, d, "part").groupBy(theme.alias("theme")).agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
 
 
+THEMES = [("metal", "steel"), ("metal", "brass"), ("metal", "copper"), ("finish", "brushed"), ("finish", "polished"), ("size", "small"), ("size", "large"), ("size", "economy")]
+
+
+@query("JOIN-23 JOIN-18", f"""
+WITH k AS (SELECT * FROM (VALUES {", ".join(map(str, THEMES))}) k(theme, word)), m AS (SELECT DISTINCT p_partkey, p_brand, theme FROM part JOIN k ON list_contains(string_split(lower(p_type), ' '), k.word))
+SELECT theme, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT p_brand) AS BIGINT) AS brands FROM m GROUP BY 1 UNION ALL SELECT 'none', CAST(count(*) AS BIGINT), CAST(count(DISTINCT p_brand) AS BIGINT) FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM m)""")
+def theme_join(spark, d):
+    """Rows by the themes of a keyword table, by an equi join on their words; a row may have several themes, or none."""
+    k = spark.createDataFrame(THEMES, "theme string, word string")
+    p = t(spark, d, "part").select("p_partkey", "p_brand", F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
+    m = p.join(k, "word", "left").groupBy("p_partkey", "p_brand", "theme").agg(F.lit(1).alias("one"))
+    hit = m.where("theme is not null").groupBy("theme").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+    bare = m.groupBy("p_partkey", "p_brand").agg(F.max("theme").alias("any")).where("any is null").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+    return hit.unionByName(bare.select(F.lit("none").alias("theme"), "n", "brands"))
+
+
 @query("JOIN-8 AGG-25 AGG-24", """
 WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_returnflag = 'R'),
      b AS (SELECT p_partkey, p_size, p_brand FROM part),
