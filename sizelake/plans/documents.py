@@ -302,10 +302,9 @@ def quote_anchor(spark, d):
     nt = X.norm(F.col("text"))
     # hashes of words straight from the scan; a repeated row gives the same ones, and the least place counts in the end
     words = raw.select("doc_id", "element_index", F.explode(F.array_distinct(F.transform(F.split(nt, " "), lambda w: F.xxhash64(w)))).alias("h"))
-    asked = q.select("doc_id", "h").distinct()
-    near = q.select("nhan_xet_id", "doc_id", "h").join(words.join(asked, ["doc_id", "h"], "left_semi").distinct(), ["doc_id", "h"]).select("nhan_xet_id", "doc_id", "element_index").distinct()
-    text = raw.join(near.select("doc_id", "element_index").distinct(), ["doc_id", "element_index"], "left_semi").select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), nt.alias("nt"))
-    m = near.join(text, ["doc_id", "element_index"]).join(q.select("nhan_xet_id", "doc_id", "k"), ["nhan_xet_id", "doc_id"]).where(F.contains("nt", "k"))
+    near = words.join(q.select("nhan_xet_id", "doc_id", "h"), ["doc_id", "h"]).select("nhan_xet_id", "doc_id", "element_index").distinct()
+    text = raw.select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), nt.alias("nt"))
+    m = text.join(near.join(q.select("nhan_xet_id", "doc_id", "k"), ["nhan_xet_id", "doc_id"]), ["doc_id", "element_index"]).where(F.contains("nt", "k"))
     return m.groupBy("nhan_xet_id").agg(F.min(F.struct("other", "element_index"))["element_index"].alias("element_index"))
 
 
