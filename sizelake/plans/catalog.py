@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sizelake.operators import quantities, snapshot_diff
-from sizelake.plans import amount_sql, documents, registry, review, tables_and_trends, values, workflow  # noqa: F401
+from sizelake.plans import amount_sql, details, documents, registry, review, tables_and_trends, values, workflow  # noqa: F401
 
 QUERIES = registry.QUERIES | {
     "p1_found": quantities.p1_found,

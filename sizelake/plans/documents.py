@@ -342,7 +342,7 @@ def coverage_by_page(spark, d):
     return x.groupBy("doc_id", F.coalesce("page", F.lit(0)).alias("page")).agg(F.sum(lines).alias("lines"), F.count_if(F.lower("text").rlike(r"mục\s*[ivx]+")).alias("citing"))
 
 
-@query("RUL-22 RUL-21 FLT-16", f"""
+@query("RUL-22 FLT-16", f"""
 WITH {HEAD} SELECT n.doc_id, n.element_index, n.c, CASE WHEN regexp_matches(lower(n.text), '%') THEN '%' WHEN regexp_matches(lower(n.text), 'iops') THEN 'iops' WHEN regexp_matches(lower(n.text), '(mb|gb)/s|[mg]bps') THEN 'bang_thong'
   WHEN regexp_matches(lower(n.text), '(^|[^a-z])gb([^a-z]|$)') THEN 'gb' WHEN regexp_matches(lower(n.text), 'cpu|cores?|cint') THEN 'cpu' WHEN regexp_matches(lower(n.text), 'tps|cps') THEN 'tps' ELSE '' END AS family FROM num n WHERE n.r = 0""")
 def unit_family_of_column(spark, d):

@@ -127,7 +127,7 @@ def gate_round2(spark, d):
     return gated(deduplicated(findings(spark, d).where("evidence <> ''"))).where("round = 2").select("ord", "blocked")
 
 
-@query("RUL-14 ORD-1 ORD-2 SET-1", f"""
+@query("RUL-14 ORD-2 SET-1", f"""
 WITH {FIND}, {GATE} SELECT CASE WHEN round = 1 THEN 'round1' WHEN round <> 2 THEN 'other' WHEN blocked THEN 'held' WHEN category = 'missing_info' THEN 'failed' ELSE 'unchecked' END AS bucket,
   CAST(coalesce(list_position(['critical', 'major', 'minor'], severity), 4) AS INT) AS rank, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1, 2
  UNION ALL SELECT 'dropped', 0, CAST(count(*) AS BIGINT) FROM f WHERE evidence = ''""")
@@ -157,15 +157,15 @@ def group_same_issue(spark, d):
 
 
 @query("AGG-7 AGG-8", f"""
-WITH {FIND}, m AS (SELECT rule_ref, scope_key, unnest(regexp_extract_all(lower(finding), '(hiện là [0-9]+|mức sử dụng [0-9]+%)', 1)) AS missing FROM f WHERE finding IS NOT NULL)
-SELECT regexp_replace(missing, '[0-9]+', '#') AS what, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT rule_ref) AS BIGINT) AS rules, CAST(count(DISTINCT scope_key) AS BIGINT) AS scopes,
+WITH {FIND}, m AS (SELECT rule_ref, doc_id, scope_key, unnest(regexp_extract_all(lower(finding), '(hiện là [0-9]+|mức sử dụng [0-9]+%)', 1)) AS missing FROM f WHERE finding IS NOT NULL)
+SELECT regexp_replace(missing, '[0-9]+', '#') AS what, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT rule_ref) AS BIGINT) AS rules, CAST(count(DISTINCT scope_key) AS BIGINT) AS scopes, CAST(count(DISTINCT doc_id) AS BIGINT) AS places,
   CAST(sum(CAST(regexp_extract(missing, '([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS total FROM m GROUP BY 1""")
 def group_by_template(spark, d):
     """Findings by the template they fill: counts, distinct rules and scopes, and the sum of the numbers filled in."""
     f = findings(spark, d).where("finding is not null")
-    m = f.select("rule_ref", "scope_key", F.explode(F.regexp_extract_all(F.lower("finding"), F.lit("(hiện là [0-9]+|mức sử dụng [0-9]+%)"), 1)).alias("missing"))
+    m = f.select("rule_ref", "doc_id", "scope_key", F.explode(F.regexp_extract_all(F.lower("finding"), F.lit("(hiện là [0-9]+|mức sử dụng [0-9]+%)"), 1)).alias("missing"))
     return m.groupBy(F.regexp_replace("missing", "[0-9]+", "#").alias("what")).agg(
-        F.count("*").alias("n"), F.countDistinct("rule_ref").alias("rules"), F.countDistinct("scope_key").alias("scopes"), F.sum(F.regexp_extract("missing", "([0-9]+)", 1).cast("long")).alias("total"))
+        F.count("*").alias("n"), F.countDistinct("rule_ref").alias("rules"), F.countDistinct("scope_key").alias("scopes"), F.countDistinct("doc_id").alias("places"), F.sum(F.regexp_extract("missing", "([0-9]+)", 1).cast("long")).alias("total"))
 
 
 @query("WIN-15 SNK-2", f"""
@@ -178,7 +178,7 @@ def dup_suffix(spark, d):
     return f.select("ord", F.concat("rule_ref", F.lit("#"), "scope_key", F.when(F.col("r") > 1, F.concat(F.lit("#"), F.col("r").cast("string"))).otherwise("")).alias("id"))
 
 
-@query("AGG-38 AGG-3 AGG-34", f"""
+@query("AGG-38 AGG-3", f"""
 WITH {FIND} SELECT category, CAST(count(*) AS BIGINT) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share, round(sum(sum(CASE WHEN category = 'unverifiable' THEN 1 ELSE 0 END)) OVER () * 1.0 / sum(count(*)) OVER (), 6) AS noise FROM f GROUP BY 1""")
 def noise_share(spark, d):
     c = findings(spark, d).groupBy("category").agg(F.count("*").alias("n"))
@@ -317,7 +317,7 @@ def one_cell_many_params(spark, d):
     return g.select("value_id", "in_cell", F.when(F.col("in_cell") < 2, F.col("raw")).alias("kept"))
 
 
-@query("AGG-22 AGG-20", f"""
+@query("AGG-22", f"""
 WITH {G} SELECT doc_id, scope_key, name, CAST(count(DISTINCT raw) AS BIGINT) AS readings, CASE WHEN count(DISTINCT raw) = 1 THEN min(raw) END AS value,
  CASE WHEN count(DISTINCT raw) = 0 THEN 'missing' WHEN count(DISTINCT raw) = 1 THEN 'same' ELSE 'conflict' END AS state FROM (SELECT *, CASE WHEN trim(raw) <> '' THEN raw END AS r0 FROM g) WHERE raw IS NULL OR trim(raw) <> '' GROUP BY 1, 2, 3""")
 def repeated_declarations(spark, d):
@@ -338,7 +338,7 @@ def attach_without_overwrite(spark, d):
     return a.join(b, ["doc_id", "scope_key", "name"], "full_outer").select("doc_id", "scope_key", "name", F.coalesce("a", "b").alias("value"), state.alias("state"))
 
 
-@query("WIN-16 WIN-21", """
+@query("WIN-16", """
 WITH x AS (SELECT DISTINCT rule_id, name FROM rule_inputs WHERE rule_id IS NOT NULL AND name IS NOT NULL), n AS (SELECT name, count(*) AS rules, row_number() OVER (ORDER BY name) AS r, count(*) OVER () AS total FROM x GROUP BY 1)
 SELECT name, CAST(rules AS BIGINT) AS rules, CAST(floor((r - 1) / 8) + 1 AS BIGINT) AS part, CAST(ceil(total / 8.0) AS BIGINT) AS parts, 'P-' || lpad(CAST(r AS VARCHAR), 2, '0') AS code FROM n""")
 def chunk_k_of_n(spark, d):
@@ -352,14 +352,20 @@ def chunk_k_of_n(spark, d):
 @query("JOIN-27 SET-11 RUL-17", """
 WITH used AS (SELECT DISTINCT name FROM gia_tri_so WHERE name IS NOT NULL), known AS (SELECT DISTINCT name FROM rule_inputs WHERE name IS NOT NULL)
 SELECT name, 'unknown' AS verdict FROM used WHERE name NOT IN (SELECT name FROM known) UNION ALL SELECT name, 'unused' FROM known WHERE name NOT IN (SELECT name FROM used)
-UNION ALL SELECT name, 'no unit anywhere' FROM rule_inputs GROUP BY 1 HAVING count(nullif(trim(unit), '')) = 0""")
+UNION ALL SELECT name, 'no unit anywhere' FROM rule_inputs GROUP BY 1 HAVING count(nullif(trim(unit), '')) = 0
+ UNION ALL SELECT DISTINCT rule_id, 'bad rule id' FROM rule_inputs WHERE rule_id IS NULL OR NOT regexp_full_match(rule_id, '[A-Z]{2,3}-[0-9]{2}') UNION ALL SELECT DISTINCT name, 'name is no identifier' FROM rule_inputs WHERE NOT regexp_full_match(name, '[a-z_][a-z0-9_]*')
+ UNION ALL SELECT DISTINCT name, 'default is no number' FROM rule_inputs WHERE trim(default_value) <> '' AND try_cast(replace(trim(default_value), ',', '.') AS DOUBLE) IS NULL UNION ALL SELECT DISTINCT name, 'optional without default' FROM rule_inputs WHERE NOT required AND coalesce(trim(default_value), '') = ''""")
 def rule_book_lint(spark, d):
     used = t(spark, d, "gia_tri_so").where("name is not null").select("name").distinct()
     r = t(spark, d, "rule_inputs")
     known = r.where("name is not null").select("name").distinct()
     silent = r.groupBy("name").agg(F.count(F.nullif(F.trim("unit"), F.lit(""))).alias("n")).where("n = 0").select("name")
     tag = lambda x, v: x.select("name", F.lit(v).alias("verdict"))
-    return tag(used.join(known, "name", "left_anti"), "unknown").unionByName(tag(known.join(used, "name", "left_anti"), "unused")).unionByName(tag(silent, "no unit anywhere"))
+    return tag(used.join(known, "name", "left_anti"), "unknown").unionByName(tag(known.join(used, "name", "left_anti"), "unused")).unionByName(tag(silent, "no unit anywhere")).unionByName(
+        tag(r.where(F.col("rule_id").isNull() | ~F.col("rule_id").rlike("^[A-Z]{2,3}-[0-9]{2}$")).select(F.col("rule_id").alias("name")).distinct(), "bad rule id")).unionByName(
+        tag(r.where(~F.col("name").rlike("^[a-z_][a-z0-9_]*$")).select("name").distinct(), "name is no identifier")).unionByName(
+        tag(r.where((F.trim("default_value") != "") & F.replace(F.trim("default_value"), F.lit(","), F.lit(".")).try_cast("double").isNull()).select("name").distinct(), "default is no number")).unionByName(
+        tag(r.where(~F.col("required") & (F.coalesce(F.trim("default_value"), F.lit("")) == "")).select("name").distinct(), "optional without default"))
 
 
 @query("JOIN-28", """

@@ -107,7 +107,7 @@ def message_templates(spark, d):
     return o.select("o_orderkey", F.coalesce(msg, F.lit("order check")).alias("message"), "location")
 
 
-@query("RUL-10 SRC-9", f"""
+@query("RUL-10", f"""
 WITH n AS (SELECT DISTINCT nhan_xet_id, doc_id, rule_id, ket_luan, lower(trim(regexp_replace(trich_dan_tai_lieu, '{WS}', ' ', 'g'))) AS q FROM nhan_xet_dinh_tinh WHERE regexp_matches(rule_id, '[0-9]$')),
  e AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(text, '{WS}', ' ', 'g'))) AS q FROM elements WHERE text <> '')
 SELECT n.nhan_xet_id, CASE WHEN ket_luan = 'dat' THEN 'pass' WHEN coalesce(n.q, '') = '' THEN 'no quote' WHEN e.q IS NULL THEN 'unverifiable' WHEN CAST(right(rule_id, 1) AS INT) % 2 = 1 THEN 'missing_section' ELSE 'missing_info' END AS category
@@ -192,7 +192,7 @@ def markdown_lines(spark, d):
     return g.select(F.concat(F.lit("| "), F.concat_ws(" | ", "loai", F.col("vong").cast("string"), F.col("n").cast("string")), F.lit(" |")).alias("line"))
 
 
-@query("STR-6 SRC-21", """
+@query("STR-6", """
 SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""")
 def pending_work(spark, d):
     """What a resumed run has still to do."""
@@ -254,7 +254,7 @@ def balanced_categories(spark, d):
     return spark.createDataFrame([(k, b) for k, b in balanced(sizes, ["dev", "test"]).items()], "category string, half string")
 
 
-@query("SRC-10 SRC-20", """
+@query("SRC-20", """
 SELECT CASE WHEN snapshot_content IS NULL THEN 'absent' WHEN NOT json_valid(snapshot_content) THEN 'broken' ELSE 'good' END AS state, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT id, snapshot_content FROM project_revisions) GROUP BY 1""")
 def tolerant_json(spark, d):
     """Good, broken and absent JSON, none of it dropped."""

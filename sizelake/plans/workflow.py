@@ -88,7 +88,7 @@ NEXT = f"""p AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_
  j AS (SELECT x.project_id, y.id AS later, unnest([{", ".join(f"{{'f': '{c}', 'o': x.{c}, 'n': y.{c}}}" for c in CONTENT)}]) AS u FROM p x JOIN p y ON x.project_id = y.project_id AND y.r = x.r + 1)"""
 
 
-@query("FUN-J2 SNK-10 FUN-J4", f"""
+@query("FUN-J2 SNK-10", f"""
 WITH {NEXT} SELECT project_id, later, u.f AS field, CASE WHEN u.o IS NULL THEN 'set' WHEN u.n IS NULL THEN 'cleared' ELSE 'changed' END AS change, md5(coalesce(u.n, u.o)) AS merged FROM j WHERE u.o IS DISTINCT FROM u.n""")
 def json_diff_fields(spark, d):
     """Fields that differ between each row of a project and the next, and what a merge that never clears would hold."""
@@ -304,7 +304,7 @@ def lead_carry(spark, d):
     return running(elements(spark, d, mark.alias("mark")), "doc_id", ["element_index"], lasts={"lead": F.col("mark")}).select("doc_id", "element_index", "lead")
 
 
-@query("ORD-9 ORD-13 ORD-15", """
+@query("ORD-9", """
 WITH o AS (SELECT * FROM (VALUES ('ROAD', 1), ('AIR', 2)) v(k, r)), b AS (SELECT c_nationkey, max_by(c_custkey, (c_acctbal, c_custkey)) AS best FROM customer GROUP BY 1)
 SELECT c_nationkey, best, CAST(row_number() OVER (ORDER BY CASE WHEN c_nationkey % 5 = 0 THEN 1 WHEN c_nationkey % 5 = 1 THEN 2 END NULLS LAST, c_nationkey) AS BIGINT) AS place FROM b""")
 def reordered_summary(spark, d):

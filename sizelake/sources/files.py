@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 import re
 import zipfile
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +33,28 @@ def read_json_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return parsed.where(~bad).select("v.*").drop("_broken"), parsed.where(bad).select("raw")
 
 
+#: A file of settings is small; what is longer is refused.
+MOST_SETTINGS = 16_000_000
+
+
+def read_whole(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file of any file system, without a byte-order mark; None if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    if fs.getFileStatus(p).getLen() > MOST_SETTINGS:
+        raise ValueError(f"{path} is too long for a file of settings")
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"]).decode("utf-8-sig")
+
+
 def read_overrides(spark: SparkSession, path: str) -> tuple[dict, str]:
     """A small override file as (values, error): an absent or broken file is an error text, never silently empty."""
-    if not os.path.exists(path):
+    text = read_whole(spark, path)
+    if text is None:
         return {}, f"{path} is not there"
     try:
-        with open(path, encoding="utf-8-sig") as f:
-            got = json.load(f)
+        got = json.loads(text)
     except ValueError as e:
         return {}, f"{path}: {e}"
     return (got, "") if isinstance(got, dict) else ({}, f"{path} holds no object")
@@ -72,9 +88,26 @@ def read_markdown_sections(spark: SparkSession, path: str) -> DataFrame:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def read_xlsx(path: str, sheet: int = 1) -> list[list[str]]:
-    """The cells of a sheet as text, row by row; strings from the shared table, gaps as ''."""
-    with zipfile.ZipFile(path) as z:
+def read_workbooks(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """(file, row, cells) of a sheet of every workbook below a folder of any file system; what can't be read has no rows."""
+
+    def read(batches):
+        for pdf in batches:
+            out = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    out += [(p, k, cells) for k, cells in enumerate(read_xlsx(io.BytesIO(content), sheet))]
+                except (zipfile.BadZipFile, KeyError, ET.ParseError):
+                    continue
+            yield pd.DataFrame(out, columns=["file", "row", "cells"])
+
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return f.where(~F.substring_index("path", "/", -1).startswith("~$")).mapInPandas(read, "file string, row int, cells array<string>")
+
+
+def read_xlsx(source, sheet: int = 1) -> list[list[str]]:
+    """The cells of a sheet (of a path or a file of bytes) as text, row by row; strings from the shared table, gaps as ''."""
+    with zipfile.ZipFile(source) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
@@ -93,10 +126,11 @@ def read_xlsx(path: str, sheet: int = 1) -> list[list[str]]:
     return out
 
 
-def load_rules(path: str) -> list[Rule]:
+def load_rules(spark: SparkSession, path: str) -> list[Rule]:
     """A rule book from YAML (where the library is there) or JSON: a list of objects, or an object with a list `rules`."""
-    with open(path, encoding="utf-8-sig") as f:
-        text = f.read()
+    text = read_whole(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
     try:
         book = json.loads(text)
     except ValueError:

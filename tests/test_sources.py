@@ -103,22 +103,24 @@ def test_files(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path), "*.json", "^2").count() == 2
 
 
-def test_xlsx(tmp_path):
+def test_xlsx(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Mã</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="B2"><v>5</v></c><c r="AA2" t="inlineStr"><is><t>z</t></is></c></row></sheetData></worksheet>')
     rows = files.read_xlsx(str(tmp_path / "x.xlsx"))
     assert rows[0] == ["Mã", "", "ab"] and rows[1][1] == "5" and rows[1][26] == "z"
+    (tmp_path / "bad.xlsx").write_bytes(b"x")
+    assert [(r.row, len(r.cells)) for r in files.read_workbooks(spark, str(tmp_path)).orderBy("row").collect()] == [(0, 3), (1, 27)]
 
 
-def test_rule_book(tmp_path):
+def test_rule_book(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"rules": [{"id": "A-1", "scope": "subsystem", "check": " a > 1 ", "inputs": [{"name": "a"}, {"name": "b", "required": False, "default": 2}]}, {"id": "A-2", "formula": "a", "compare_with": "b", "tolerance": 0.02, "enabled": False}]}))
-    a, b = files.load_rules(str(tmp_path / "r.json"))
+    a, b = files.load_rules(spark, str(tmp_path / "r.json"))
     assert a.check == "a > 1" and a.inputs[1].default == 2 and b.blocked() == "disabled" and b.tolerance == 0.02
     (tmp_path / "r.yaml").write_text("rules: []\n")
     try:
         import yaml  # noqa: F401
     except ImportError:
         with pytest.raises(RuntimeError):
-            files.load_rules(str(tmp_path / "r.yaml"))
+            files.load_rules(spark, str(tmp_path / "r.yaml"))
