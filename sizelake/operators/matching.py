@@ -46,21 +46,23 @@ def first_fit(df: DataFrame, group: str, order: str, words: str, least: float =
     |a| - ceil(least |a|) + 1 words of each), then, round by round, rows whose earlier likes are all decided are decided.
     No group is gathered. Rows without words, null or empty, are like each other and like nothing else; (group, order) must
     be unique; null groups or orders are passed over."""
-    x = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_distinct(F.coalesce(F.array_compact(words), F.array().cast("array<string>"))).alias("w")).where("g is not null and o is not null")
-    x = cut(x)
+    every = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.array_sort(F.array_distinct(F.coalesce(F.array_compact(words), F.array().cast("array<string>")))).alias("w")).where("g is not null and o is not null")
+    every = cut(every.withColumns({"k1": F.xxhash64("w"), "k2": F.xxhash64(F.lit(2), "w")}))
+    # rows of equal words fare like the first of them: only these are compared
+    x = cut(every.groupBy("g", "k1", "k2").agg(F.min("o").alias("o"), F.min_by("w", "o").alias("w")))
     n = x.select("g", F.explode("w").alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
     rare = x.select("g", "o", F.size("w").alias("size"), F.explode("w").alias("t")).join(n, ["g", "t"]).groupBy("g", "o", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t")))["t"].alias("ts"))  # the words of one row
     keys = rare.select("g", "o", F.explode(F.slice("ts", 1, (F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1).cast("int"))).alias("t"))
     pairs = keys.select("g", "t", F.col("o").alias("a")).join(keys.select("g", "t", F.col("o").alias("b")), ["g", "t"]).where("a < b").select("g", "a", "b").distinct()
     side = lambda o, w: x.select("g", F.col("o").alias(o), F.col("w").alias(w))
     like = pairs.join(side("a", "wa"), ["g", "a"]).join(side("b", "wb"), ["g", "b"]).where(F.size(F.array_intersect("wa", "wb")) >= F.lit(least) * F.size(F.array_union("wa", "wb")) - 1e-9)
-    bare = x.where("size(w) = 0").groupBy("g").agg(F.min("o").alias("a"))
-    like = cut(like.select("g", "a", "b").unionByName(x.where("size(w) = 0").join(bare, "g").where("o > a").select("g", "a", F.col("o").alias("b"))))
+    like = cut(like.select("g", "a", "b"))
     done = cut(x.select("g", "o").join(like.select("g", F.col("b").alias("o")).distinct(), ["g", "o"], "left_anti").select("g", "o", F.col("o").alias("first")))
     open_rows = cut(x.select("g", "o").join(done, ["g", "o"], "left_anti"))
     for _ in range(most_rounds):
         if open_rows.isEmpty():
-            return done.select(F.col("g").alias(group), F.col("o").alias(order), "first")
+            of = x.select("g", "k1", "k2", "o").join(done, ["g", "o"]).select("g", "k1", "k2", "first")
+            return every.select("g", "o", "k1", "k2").join(of, ["g", "k1", "k2"]).select(F.col("g").alias(group), F.col("o").alias(order), "first")
         # for each open row: the least of its likes that begins a cluster, and whether an earlier one is open still
         near = like.join(open_rows.select("g", F.col("o").alias("b")), ["g", "b"])
         near = near.join(done.select("g", F.col("o").alias("a"), F.col("first").alias("of")), ["g", "a"], "left")
