@@ -64,11 +64,12 @@ def _stacked(arrays: list[np.ndarray], empty: int, dtype, backwards: bool = Fals
 
 def _sides(pairs) -> tuple[np.ndarray, np.ndarray]:
     """The texts, last word first, and the items, a column a pair. Ids of 0 and what is padded match nothing."""
-    top = max(max((int(a.max(initial=0)) for a, _ in pairs), default=0), max((int(b.max(initial=0)) for _, b in pairs), default=0))
-    kind = np.uint16 if top < 65_535 else np.uint32
-    item = _stacked([b for _, b in pairs], np.iinfo(kind).max, kind)
-    item[item == 0] = np.iinfo(kind).max
-    return _stacked([a for a, _ in pairs], 0, kind, backwards=True), item
+    doc, item = _stacked([a for a, _ in pairs], 0, np.uint32, backwards=True), _stacked([b for _, b in pairs], 0, np.uint32)
+    none = np.uint32(np.iinfo(np.uint32).max)
+    item[item == 0] = none
+    if int(doc.max(initial=0)) < 65_535 and int(item.max(initial=0, where=item < none)) < 65_535:
+        return doc.astype(np.uint16), item.astype(np.uint16)  # what matches nothing keeps all its bits
+    return doc, item
 
 
 def _diagonals(n: int, m: int) -> Iterator[tuple[int, int, int]]:
@@ -105,8 +106,8 @@ def scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best.astype(np.int64) - floor
 
 
-def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(score, start and end in the first, longest shared run) of the best alignment of each pair, whose scores are known: as
+def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> list[tuple[int, int, int]]:
+    """(score, start and end in the first) of the best alignment of each pair, whose scores are known: as
     `scores`, but a cell holds, below its score, how early its alignment began, so that the start comes along, and cells that
     reach the known score are looked up. Of several the one that ends first in the item counts, there the one that ends first
     in the text, and of these the one that begins first."""
@@ -118,9 +119,7 @@ def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> lis
     # score 0, begun at the cell's own place in the text: mask - (d - j)
     fresh = np.repeat((mask - 1 + np.arange(m + 1)).astype(kind)[:, None], p, axis=1)  # as of the diagonal before the first
     one, two, now = (np.full((m + 1, p), mask, dtype=kind) for _ in range(3))
-    short = np.int16 if m < 32_000 else np.int32
-    run1, run2, run = (np.zeros((m + 1, p), dtype=short) for _ in range(3))
-    same, longest = np.empty((m, p), dtype=bool), np.zeros(p, dtype=short)
+    same = np.empty((m, p), dtype=bool)
     goal = (known.astype(kind) << bits)[None, :]
     reach = np.repeat(np.where(goal > 0, goal, np.iinfo(kind).max), m, axis=0).astype(kind)
     found: list[tuple[int, int, int] | None] = [None] * p  # (place in the item, in the text, start)
@@ -139,8 +138,6 @@ def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> lis
         fresh -= kind(1)
         np.maximum(cell, fresh[lo : hi + 1], out=cell)
         now[0] = mask - d
-        np.multiply(run2[lo - 1 : hi] + short(1), eq, out=run[lo : hi + 1])
-        np.maximum(longest, run[lo : hi + 1].max(axis=0), out=longest)
         np.greater_equal(cell, reach[:k], out=eq)
         if eq.any():
             for j, q in zip(*np.nonzero(eq), strict=True):
@@ -148,8 +145,40 @@ def placed(pairs: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> lis
                 if found[q] is None or place < found[q][:2]:
                     found[q] = (*place, mask - (int(cell[j, q]) & mask))
         one, two, now = now, one, two
-        run1, run2, run = run, run1, run2
-    return [(int(v), f[2], f[1], int(r)) if f else (0, 0, 0, int(r)) for v, f, r in zip(known, found, longest, strict=True)]
+    return [(int(v), f[2], f[1]) if f else (0, 0, 0) for v, f in zip(known, found, strict=True)]
+
+
+def runs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The longest run of words that each pair shares."""
+    doc, item = _sides(pairs)
+    (n, p), m = doc.shape, len(item)
+    kind = next(t for t in (np.int8, np.int16, np.int32) if m < np.iinfo(t).max)
+    one, two, now = (np.zeros((m + 1, p), dtype=kind) for _ in range(3))
+    same, longest = np.empty((m, p), dtype=bool), np.zeros(p, dtype=kind)
+    for d, lo, hi in _diagonals(n, m):
+        eq, cell = same[: hi - lo + 1], now[lo : hi + 1]
+        np.equal(doc[n - d + lo : n - d + hi + 1], item[lo - 1 : hi], out=eq)
+        np.add(two[lo - 1 : hi], kind(1), out=cell)
+        cell *= eq
+        np.maximum(longest, cell.max(axis=0), out=longest)
+        one, two, now = now, one, two
+    return longest.astype(np.int64)
+
+
+def spans(own: list[np.ndarray], other: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in `own` an alignment of at least the score can lie: a word that `other` has adds a match at best, any other costs
+    at least one, so that the words of the alignment add up to its score or more. Words are looked up by hash; a collision
+    makes a span wider, never narrower."""
+    a, b = _stacked(own, 0, np.uint64), _stacked(other, 0, np.uint64)
+    column, bits = np.arange(a.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+    place = lambda x: ((x * np.uint64(0xC2B2AE3D27D4EB4F) + column) * np.uint64(0x9E3779B97F4A7C15)) >> bits
+    held = np.zeros(1 << 20, dtype=bool)
+    held[place(b)] = True
+    total = np.zeros((len(a) + 1, a.shape[1]), dtype=np.int32)
+    np.cumsum(np.where(held[place(a)] & (a > 0), MATCH, max(MISMATCH, GAP)), axis=0, out=total[1:])
+    after = np.maximum.accumulate(total[::-1], axis=0)[::-1]
+    before = np.minimum.accumulate(total, axis=0)
+    return (after >= total + least).argmax(axis=0), len(a) - (total >= before + least)[::-1].argmax(axis=0)
 
 
 def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], least: int = 0) -> list[tuple[int, int, int, int] | None]:
@@ -160,11 +189,24 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], least: int = 0) -> lis
     order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][0]) // 8, len(pairs[k][1])))
     for part in _batches(order, pairs, BATCH_WORDS):
         best[part] = scores([pairs[k] for k in part])
-    for part in _batches([k for k in order if best[k] >= least], pairs, BATCH_WORDS // 4):
-        for k, r in zip(part, placed([pairs[k] for k in part], best[part]), strict=True):
-            out[k] = r
+    hits = [k for k in order if best[k] >= max(least, 1)]
+    longest = np.zeros(len(pairs), dtype=np.int64)
+    for part in _batches(hits if least > 0 else order, pairs, BATCH_WORDS):
+        longest[part] = runs([pairs[k] for k in part])
+    # places are looked for where the score can come from
+    cut_to: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    for part in _batches(hits, pairs, BATCH_WORDS // 4):
+        docs, items = [pairs[k][0] for k in part], [pairs[k][1] for k in part]
+        (a, b), (c, d) = spans(docs, items, best[part]), spans(items, docs, best[part])
+        for i, k in enumerate(part):
+            cut_to[k] = (int(a[i]), docs[i][a[i] : b[i]], items[i][c[i] : d[i]])
+    small = {k: (x, y) for k, (_, x, y) in cut_to.items()}
+    hits.sort(key=lambda k: (len(small[k][0]) // 8, len(small[k][1])))
+    for part in _batches(hits, small, BATCH_WORDS // 4):
+        for k, (v, x, y) in zip(part, placed([small[k] for k in part], best[part]), strict=True):
+            out[k] = (v, cut_to[k][0] + x, cut_to[k][0] + y, int(longest[k]))
     if least <= 0:
-        out = [(0, 0, 0, 0) if r is None else r for r in out]
+        out = [(0, 0, 0, int(longest[k])) if r is None else r for k, r in enumerate(out)]
     return out
 
 
@@ -172,10 +214,15 @@ def _batches(order: list[int], pairs, most: int) -> Iterator[list[int]]:
     part: list[int] = []
     words = 0
     for k in order:
-        words = max(words, len(pairs[k][1]), len(pairs[k][0]) // 8)
-        if part and words * (len(part) + 1) > most:
+        a, b = pairs[k]
+        n, m = len(a) >> 3, len(b)
+        wide = n if n > m else m
+        if wide < words:
+            wide = words
+        if part and wide * (len(part) + 1) > most:
             yield part
-            part, words = [], max(len(pairs[k][1]), len(pairs[k][0]) // 8)
+            part, wide = [], max(n, m)
+        words = wide
         part.append(k)
     if part:
         yield part
