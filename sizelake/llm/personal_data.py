@@ -453,7 +453,7 @@ def _redact(source: str) -> tuple[str, list]:
 def _personal(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         rows = [(None, None) if t is None else _redact(t) for t in s]
-        yield pd.DataFrame({"redacted": [r[0] for r in rows], "found": [None if r[1] is None else [dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in r[1]] for r in rows]})
+        yield pd.DataFrame({"redacted": [r[0] for r in rows], "found": [None if r[1] is None else [dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in r[1]] for r in rows]}, dtype=object)
 
 
 def personal_data(df: DataFrame, text: str = "text") -> DataFrame:
