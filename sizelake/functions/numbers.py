@@ -90,8 +90,8 @@ def whole_or_two(c: Column) -> Column:
 
 
 def four_digits(c: Column) -> Column:
-    """Four significant digits, thousands grouped; large and small numbers with an exponent. Ties of what is printed go to
-    the even digit."""
+    """Four significant digits, thousands grouped; large and small numbers with an exponent. What lies in the
+    middle between two printed values may go to either, as the digits are brought to the front by a division."""
     size = F.floor(F.log10(F.abs(c))).cast("int")
     rounded = F.bround(c / F.pow(F.lit(10.0), size), 3)
     over = F.abs(rounded) >= 10

@@ -138,7 +138,7 @@ def _best_of(own: list[tuple]):
                     if score[i] > best[i] or t < text[i]:
                         best[i], text[i], rate[i], sure[i] = score[i], t, r[i], exact[i]
             hit = np.flatnonzero(best > 0)
-            yield pd.DataFrame({"item": [own[i][0] for i in hit], "score": best[hit], "f1": rate[hit], "text": [text[i] for i in hit], "exact": sure[hit]})
+            yield pd.DataFrame({"item": [own[i][0] for i in hit], "score": best[hit], "f1": rate[hit], "text": [text[i] for i in hit], "exact": sure[hit]}).astype({"text": object})
 
     return look
 

@@ -68,7 +68,7 @@ def amounts_udf(units: list[tuple], by_name: dict[str, str]):
                 h = h if isinstance(h, str) else None
                 got = to_base(r if isinstance(r, str) else None, b or bracket(h), q if isinstance(q, str) else None, by_name.get(n), table)
                 out.append(got or (None,) * 5)
-            yield pd.DataFrame(out, columns=["amount", "dims", "base_unit", "unit_group", "unit_from"])
+            yield pd.DataFrame(out, columns=["amount", "dims", "base_unit", "unit_group", "unit_from"]).astype({c: object for c in ("dims", "base_unit", "unit_group", "unit_from")})
 
     return amounts.asNondeterministic()  # or each filter on the result would evaluate it again
 

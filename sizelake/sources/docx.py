@@ -254,7 +254,7 @@ def documents(spark, path: str):
                     rows += read_docx(io.BytesIO(content), _name(p))
                 except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
                     rows.append((_name(p), 0, "unreadable", type(e).__name__, None, None, None, None, None, None, [], None))
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
     return _files(spark, path).mapInPandas(read, SCHEMA)
 
@@ -273,7 +273,7 @@ def package_media(spark, path: str):
                         rows += [(_name(p), n, data, n in used) for n, data in media(z).items()]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError):
                     continue
-            yield pd.DataFrame(rows, columns=["doc_id", "path", "data", "referenced"])
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "data", "referenced"], dtype=object)
 
     return _files(spark, path).mapInPandas(read, "doc_id string, path string, data binary, referenced boolean")
 

@@ -99,7 +99,7 @@ def read_workbooks(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
                     out += [(p, k, cells) for k, cells in enumerate(read_xlsx(io.BytesIO(content), sheet))]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError):
                     continue
-            yield pd.DataFrame(out, columns=["file", "row", "cells"])
+            yield pd.DataFrame(out, columns=["file", "row", "cells"], dtype=object)
 
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return f.where(~F.substring_index("path", "/", -1).startswith("~$")).mapInPandas(read, "file string, row int, cells array<string>")

@@ -114,13 +114,13 @@ class JobStates(StatefulProcessor):
                 self.handle.registerTimer(due)
         if state is not None:
             self.state.update((state, since, due))
-        yield pd.DataFrame({"job": [key[0]], "state": [state], "since": [since], "refused": [refused]})
+        yield pd.DataFrame({"job": [key[0]], "state": [state], "since": [since], "refused": [refused]}).astype({"state": object})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state, since, timer = self.state.get() if self.state.exists() else (None, None, None)
         if state == "running" and timer == expiredTimerInfo.getExpiryTimeInMs():
             self.state.update(("broken", since, None))
-            yield pd.DataFrame({"job": [key[0]], "state": ["broken"], "since": [since], "refused": [0]})
+            yield pd.DataFrame({"job": [key[0]], "state": ["broken"], "since": [since], "refused": [0]}).astype({"state": object})
 
     def close(self) -> None:
         pass
