@@ -13,15 +13,23 @@ PLAIN_FROM = "".join(_ACCENTED) + "đĐ"
 PLAIN_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED) + "dD"
 #: Blanks of any kind, line ends included.
 BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The same blanks, as a class that Java tests in half the time.
+FAST_BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, BLANKS, " "))
+    return F.trim(F.regexp_replace(c, FAST_BLANKS, " "))
 
 
 def norm(c: Column) -> Column:
     """Lower case, one blank between words, without a leading [...] of up to 80 signs."""
-    return F.lower(squeeze(F.regexp_replace(c, r"^\s*\[[^\]]{0,80}\]\s*", "")))
+    return F.lower(squeeze(F.when(F.contains(c, F.lit("[")), F.regexp_replace(c, r"^\s*\[[^\]]{0,80}\]\s*", "")).otherwise(c)))
+
+
+def run_hashes(words: str, n: Column) -> Column:
+    """A hash of each run of n neighbouring words of an array column, in order; none where there are fewer words."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))
 
 
 def fold_key(c: Column) -> Column:

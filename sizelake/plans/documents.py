@@ -10,6 +10,7 @@ from sizelake.functions import rows as R
 from sizelake.functions import text as X
 from sizelake.operators.running import neighbours, running
 from sizelake.plans.registry import query
+from sizelake.session import cut
 from sizelake.sources.tables import table as t
 
 #: Blanks of any kind, for SQL.
@@ -285,27 +286,47 @@ def image_numbering(spark, d):
     return r.join(e.groupBy("doc_id").agg(F.count("*").alias("of_all")), "doc_id").select("doc_id", "element_index", F.col("no").cast("long").alias("no"), "of_all")
 
 
+FEW = 200  # fixed value: quotes of a document up to which each of its texts is compared with all of them
+
+
 @query("JOIN-14 FUN-S1 ORD-6", f"""
 WITH {E}, k AS (SELECT DISTINCT nhan_xet_id, doc_id, lower(trim(regexp_replace(trich_dan_tai_lieu, '{WS}', ' ', 'g'))) AS k FROM nhan_xet_dinh_tinh WHERE trich_dan_tai_lieu <> ''),
  x AS (SELECT doc_id, element_index, kind, lower(trim(regexp_replace(regexp_replace(text, '^\\s*\\[[^\\]]{{0,80}}\\]\\s*', ''), '{WS}', ' ', 'g'))) AS nt FROM e WHERE text <> ''),
  m AS (SELECT k.nhan_xet_id, x.element_index, row_number() OVER (PARTITION BY k.nhan_xet_id ORDER BY CASE WHEN x.kind = 'paragraph' THEN 0 ELSE 1 END, x.element_index) AS r FROM k JOIN x ON x.doc_id = k.doc_id AND contains(x.nt, k.k) WHERE length(k.k) >= 30 AND k.k LIKE '% % %')
 SELECT nhan_xet_id, element_index FROM m WHERE r = 1""")
 def quote_anchor(spark, d):
-    """The first element that contains a quote, paragraphs before other kinds. A text that contains the quote holds the
-    quote's longest inner word as a word, so that the search is a join on (document, word) and not over all pairs. The words
-    go as hashes; the texts of elements that share the word, and no others, meet their quotes."""
-    q = t(spark, d, "nhan_xet_dinh_tinh").where("trich_dan_tai_lieu <> ''").select("nhan_xet_id", "doc_id", F.lower(X.squeeze(F.col("trich_dan_tai_lieu"))).alias("k")).distinct()
-    q = q.where((F.length("k") >= 30) & F.col("k").like("% % %"))
-    inner = F.slice(F.split("k", " "), 2, F.size(F.split("k", " ")) - 2)
-    q = q.withColumn("h", F.xxhash64(F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]))
-    raw = t(spark, d, "elements").where("doc_id is not null and element_index is not null and text <> ''")
-    nt = X.norm(F.col("text"))
-    # hashes of words straight from the scan; a repeated row gives the same ones, and the least place counts in the end
-    words = raw.select("doc_id", "element_index", F.explode(F.array_distinct(F.transform(F.split(nt, " "), lambda w: F.xxhash64(w)))).alias("h"))
-    near = words.join(q.select("nhan_xet_id", "doc_id", "h"), ["doc_id", "h"]).select("nhan_xet_id", "doc_id", "element_index").distinct()
-    text = raw.select("doc_id", "element_index", (F.col("kind") != "paragraph").cast("int").alias("other"), nt.alias("nt"))
-    m = text.join(near.join(q.select("nhan_xet_id", "doc_id", "k"), ["nhan_xet_id", "doc_id"]), ["doc_id", "element_index"]).where(F.contains("nt", "k"))
-    return m.groupBy("nhan_xet_id").agg(F.min(F.struct("other", "element_index"))["element_index"].alias("element_index"))
+    """The first element that contains a quote, paragraphs before other kinds. A document with few quotes sends them all to
+    each of its texts. In one with many, a text that contains a quote holds each run of the quote's inner words: quotes are
+    looked up by the run that the fewest texts of the document hold, so that what all texts say makes no pairs."""
+    quotes = t(spark, d, "nhan_xet_dinh_tinh").where("trich_dan_tai_lieu <> ''")
+    many = F.broadcast(quotes.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("doc_id"))  # a FEW-th of the quotes at most
+    raw = t(spark, d, "elements").where("doc_id is not null and element_index is not null and text <> ''").select("doc_id", "element_index", "kind", "text")
+
+    def quoted(side):
+        q = quotes.join(many, "doc_id", side).select("nhan_xet_id", "doc_id", F.lower(X.squeeze(F.col("trich_dan_tai_lieu"))).alias("k"))
+        return q.where((F.length("k") >= 30) & F.col("k").like("% % %")).distinct()
+
+    def texts(e):
+        return e.select("doc_id", "element_index", F.when(F.col("kind") == "paragraph", 0).otherwise(1).alias("other"), F.coalesce(X.norm(F.col("text")), F.lit("")).alias("nt"), *[c for c in e.columns if c == "lengths"])
+
+    few = quoted("left_anti").groupBy("doc_id").agg(F.collect_list(F.struct("nhan_xet_id", "k")).alias("q"))
+    held = F.filter("q", lambda q: F.contains(F.col("nt"), q["k"]))
+    direct = texts(raw.join(many, "doc_id", "left_anti")).join(few.hint("shuffle_hash"), "doc_id").select(F.explode(held["nhan_xet_id"]).alias("nhan_xet_id"), "other", "element_index")
+
+    q = cut(quoted("left_semi"))
+    keys = q.select("doc_id", "k").distinct().withColumn("w", F.split("k", " ")).withColumn("w", F.slice("w", 2, F.size("w") - 2))
+    keys = keys.withColumn("n", F.when(F.size("w") >= 8, 8).when(F.size("w") >= 4, 4).otherwise(F.least(F.size("w"), F.lit(2))))
+    runs = keys.select("doc_id", "k", F.explode(F.array_distinct(X.run_hashes("w", F.col("n")))).alias("h"))
+    lengths = F.broadcast(keys.groupBy("doc_id").agg(F.collect_set("n").alias("lengths")))  # no more rows than many
+    words = texts(raw.join(lengths, "doc_id")).withColumn("w", F.split("nt", " "))
+    hits = words.select("doc_id", "element_index", F.explode(F.array_distinct(F.flatten(F.transform("lengths", lambda n: X.run_hashes("w", n))))).alias("h"))
+    hits = cut(hits.join(runs.select("doc_id", "h").distinct().hint("shuffle_hash"), ["doc_id", "h"], "left_semi").distinct())
+    # a run that no text holds counts 0: its quote stands nowhere
+    rarest = runs.join(hits.groupBy("doc_id", "h").agg(F.count("*").alias("n")), ["doc_id", "h"], "left").groupBy("doc_id", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("r"))
+    near = hits.join(rarest.where("r.n > 0").select("doc_id", "k", "r.h"), ["doc_id", "h"]).select("doc_id", "element_index", "k")
+    m = texts(raw.join(many, "doc_id", "left_semi")).join(near, ["doc_id", "element_index"]).where(F.contains("nt", "k")).groupBy("doc_id", "k").agg(F.min(F.struct("other", "element_index")).alias("at"))
+    found = direct.unionByName(q.join(m, ["doc_id", "k"]).select("nhan_xet_id", "at.other", "at.element_index"))
+    return found.groupBy("nhan_xet_id").agg(F.min(F.struct("other", "element_index"))["element_index"].alias("element_index"))
 
 
 @query("FUN-S2 FUN-S15", f"""
